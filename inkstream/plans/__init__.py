@@ -6,7 +6,7 @@ import importlib
 
 from .catalogue import REGISTRY, Query
 
-MODULES = ("matching",)
+MODULES = ("matching", "reports")
 
 
 def load_all() -> dict[str, Query]:

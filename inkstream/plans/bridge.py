@@ -102,7 +102,7 @@ FROM {source}"""
 
 
 def _subscription_targets(d) -> str:
-    return "SELECT c_custkey AS subscription_id, c_custkey * 2 AS target_id FROM customer WHERE c_custkey % 3 = 0"
+    return "SELECT c_custkey AS subscription_id, c_custkey * 2 AS target_id FROM customer WHERE c_nationkey < 9"
 
 
 def _deliveries(d) -> str:
@@ -174,7 +174,7 @@ FROM region"""
 def _tags(d) -> str:
     return """
 SELECT p_partkey AS id, CAST(p_partkey % 5 AS INT) AS group_id, concat('tag-', CAST(p_partkey AS STRING)) AS slug, p_name AS name,
-  concat(p_brand, ' ', p_type) AS description, 0.35 + (p_size % 10) / 100.0 AS threshold,
+  concat(p_brand, ' ', p_type) AS description, CAST(35 + p_size % 10 AS DOUBLE) / 100 AS threshold,
   CASE WHEN p_partkey % 10 = 9 THEN 'v0' ELSE 'v1' END AS tagset_version
 FROM part"""
 
