@@ -92,6 +92,10 @@ def absolute_urls(bases: pd.Series, links: pd.Series) -> pd.Series:
     return pd.Series([None if ls is None else [_join(b, link) for link in ls] for b, ls in zip(bases, links)], dtype=object)
 
 
+# Its result is read inside lambdas, into which the optimiser must not move the call.
+absolute_urls = absolute_urls.asNondeterministic()
+
+
 def _with_param(url: str, name: str, value: str) -> str:
     parts = urlsplit(url)
     pairs = {**dict(parse_qsl(parts.query, keep_blank_values=True)), name: value}

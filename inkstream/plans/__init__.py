@@ -6,7 +6,7 @@ import importlib
 
 from .catalogue import REGISTRY, Query
 
-MODULES = ("matching", "reports")
+MODULES = ("matching", "reports", "discovery")
 
 
 def load_all() -> dict[str, Query]:
