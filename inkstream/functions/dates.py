@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,6 +25,11 @@ def _int(text: Column) -> Column:
     return text.try_cast("int")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Bind an expression once; inside lambdas repeated expressions would be evaluated again."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def parse_flexible(value: Column, tz: str = "UTC") -> Column:
     """Instant for the date spellings listing pages use; NULL when nothing parses.
 
@@ -30,9 +37,11 @@ def parse_flexible(value: Column, tz: str = "UTC") -> Column:
     """
     text = F.regexp_replace(strip(value), LABEL, "")
     text = F.regexp_replace(F.regexp_replace(text, "[年月]", "-"), "日", "")
-    core = F.regexp_extract(text, ISO_CORE, 0)
-    text = F.when(core != "", core).otherwise(text)
+    core = let(text, lambda t: let(F.regexp_extract(t, ISO_CORE, 0), lambda c: F.when(c != "", c).otherwise(t)))
+    return let(core, lambda t: _instant(t, tz))
 
+
+def _instant(text: Column, tz: str) -> Column:
     def part(i: int) -> Column:
         return F.regexp_extract(text, ISO_PARTS, i)
 
@@ -42,7 +51,7 @@ def parse_flexible(value: Column, tz: str = "UTC") -> Column:
     padded = (F.length(part(2)) == 2) & (F.length(part(3)) == 2) & (F.length(part(5)) == 2)
     # Without seconds, or with an offset after a blank, only the zero-padded spelling is a date.
     strict = has_time & ((seconds == "") | ((part(4) == " ") & (part(8) != "")))
-    accepted = (part(1) != "") & (~strict | padded) & (F.coalesce(_int(seconds), F.lit(0)) < 60)
+    accepted = (~strict | padded) & (F.coalesce(_int(seconds), F.lit(0)) < 60)
     iso = F.when(
         accepted,
         F.try_make_timestamp(
@@ -59,9 +68,13 @@ def parse_flexible(value: Column, tz: str = "UTC") -> Column:
     def whole_day(pattern: str) -> Column:
         y, m, d = (F.regexp_extract(text, pattern, i) for i in (1, 2, 3))
         zero = F.lit(0)
-        return F.when(y != "", F.try_make_timestamp(_int(y), _int(m), _int(d), zero, zero, zero, F.lit(tz)))
+        return F.try_make_timestamp(_int(y), _int(m), _int(d), zero, zero, zero, F.lit(tz))
 
-    return F.coalesce(iso, whole_day(SLASH_PARTS), whole_day(COMPACT_PARTS))
+    return (
+        F.when(text.rlike(ISO_PARTS), iso)
+        .when(text.rlike(SLASH_PARTS), whole_day(SLASH_PARTS))
+        .when(text.rlike(COMPACT_PARTS), whole_day(COMPACT_PARTS))
+    )
 
 
 def parse_http_date(value: Column) -> Column:

@@ -6,7 +6,7 @@ import importlib
 
 from .catalogue import REGISTRY, Query
 
-MODULES = ("matching", "reports", "discovery")
+MODULES = ("matching", "reports", "discovery", "onboarding")
 
 
 def load_all() -> dict[str, Query]:

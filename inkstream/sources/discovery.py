@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import html as H
 from ..functions.dates import parse_flexible, parse_http_date
 from ..functions.urls import absolute_urls, set_query_param
+from ..session import cut_lineage
 
 MIN_FEED_CONTENT = 500
 MAX_SITEMAPS = 100
@@ -106,8 +107,9 @@ def feed_items(feeds: DataFrame, *, content_mode: str = "auto", key: str = "page
     def date(entry: Column) -> Column:
         names = (("pubDate", "published", "issued"), ("updated", "modified", "date"), ("created",))
         texts = [_child_text(nodes, entry, n) for group in names for n in group]
-        read = [F.coalesce(parse_http_date(t), parse_flexible(t)) for t in texts]
-        return F.coalesce(*read)
+        given = F.filter(F.array(*texts), lambda t: t.isNotNull())
+        read = F.transform(given, lambda t: F.coalesce(parse_http_date(t), parse_flexible(t)))
+        return F.get(F.filter(read, lambda t: t.isNotNull()), 0)
 
     def content(entry: Column) -> Column:
         if content_mode == "never":
@@ -165,7 +167,8 @@ def sitemap_walk(
     Level by level down to the depth limit; per site at most 100 documents are visited, in the order
     a queue would visit them. Entries without a modification date are always kept.
     """
-    entries = sitemap_entries(sitemaps, keep=[])
+    # Parsed once: every level of the walk reads the entries.
+    entries = cut_lineage(sitemap_entries(sitemaps, keep=[]))
     children = entries.where("kind = 'sitemapindex'").select(F.col("url").alias("parent"), F.col("loc").alias("url"), "position")
     level = roots.select("site", "url", F.array(F.lit(0).cast("long")).alias("path"))
     visits = level
