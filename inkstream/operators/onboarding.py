@@ -5,12 +5,13 @@ Links and their surroundings are exploded once; everything after that is groupin
 
 from __future__ import annotations
 
+from difflib import SequenceMatcher
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-
-import pandas as pd
-from difflib import SequenceMatcher
+from pyspark.sql.window import Window
 
 from ..functions import html as H
 from ..functions import urls as U
@@ -147,8 +148,6 @@ def selector_candidates(parsed: DataFrame, link_rows: DataFrame, *, top: int = 5
 
 
 def top_per_page(rows: DataFrame, order: list[Column], k: int) -> DataFrame:
-    from pyspark.sql.window import Window
-
     ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("page_id").orderBy(*order)))
     return ranked.where(F.col("rank") <= k)
 
@@ -334,9 +333,24 @@ def subsequences(values: Column) -> Column:
     return F.filter(F.transform(subsets, lambda s: F.filter(values, lambda v: F.array_contains(s, v))), lambda s: F.size(s) > 0)
 
 
+MIN_SIMILARITY = 0.85
+
+
+def _similarity(left: str, right: str) -> float:
+    if left == right:
+        return 1.0
+    matcher = SequenceMatcher(None, left, right, autojunk=False)
+    # Both bounds lie above the ratio, so a pair they rule out needs no alignment.
+    for bound in (matcher.real_quick_ratio, matcher.quick_ratio):
+        if bound() < MIN_SIMILARITY:
+            return 0.0
+    return matcher.ratio()
+
+
 @F.pandas_udf(T.DoubleType())
 def text_similarity(left: pd.Series, right: pd.Series) -> pd.Series:
-    return pd.Series([SequenceMatcher(None, a or "", b or "", autojunk=False).ratio() for a, b in zip(left, right)])
+    """Ratio of matching text; 0 for pairs that stay below the minimum."""
+    return pd.Series([_similarity(a or "", b or "") for a, b in zip(left, right)])
 
 
 def article_text(parsed: DataFrame) -> DataFrame:
@@ -356,7 +370,8 @@ def confirm_dual_forms(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         (F.col("left_title") != "") & (F.col("left_title") == F.col("right_title"))
         & (F.least(F.char_length("left_text"), F.char_length("right_text")) >= 80)
     )
-    scored = eligible.withColumn("similarity", text_similarity("left_text", "right_text")).where("similarity >= 0.85")
+    # Alignment dominates the cost, so the pairs are spread before it.
+    scored = eligible.repartition("left_id", "right_id").withColumn("similarity", text_similarity("left_text", "right_text")).where(F.col("similarity") >= MIN_SIMILARITY)
     return scored.withColumn("confidence", F.bround(F.least(F.lit(0.99), F.lit(0.75) + F.col("similarity") * 0.24), 3)).drop(
         "left_title", "right_title", "left_text", "right_text"
     )

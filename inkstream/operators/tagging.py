@@ -14,8 +14,8 @@ def top_articles_per_tag(article_tags: DataFrame, score: str, *, k: int = 20) ->
     return article_tags.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= k).drop("_rank")
 
 
-# A frozen tag set is small by rule (at most this many tags); only below it are centroids broadcast.
-MAX_BROADCAST_TAGS = 10_000
+# A frozen tag set is small by its freeze rule; the broadcast below refuses anything larger.
+MAX_TAGS = 10_000
 
 
 def cosine_scores(vectors: DataFrame, centroids: DataFrame) -> DataFrame:
@@ -25,7 +25,8 @@ def cosine_scores(vectors: DataFrame, centroids: DataFrame) -> DataFrame:
     by broadcast, so the article rows are neither shuffled nor multiplied before the threshold.
     """
     unit = centroids.select("slug", "threshold", l2_normalize(F.col("centroid")).alias("centroid"))
-    tags = unit.agg(F.collect_list(F.struct("slug", "threshold", "centroid")).alias("tags"))
+    bounded = F.assert_true(F.count(F.lit(1)) <= MAX_TAGS, F.lit("tag set exceeds its bound")).isNull()
+    tags = unit.agg(F.collect_list(F.struct("slug", "threshold", "centroid")).alias("tags"), bounded.alias("_ok")).where("_ok").drop("_ok")
     own = l2_normalize(F.col("vector"))
     scored = F.transform(
         F.filter("tags", lambda t: F.size(t["centroid"]) == F.size("vector")),
@@ -50,3 +51,155 @@ def local_tags(vectors: DataFrame, centroids: DataFrame, *, k: int = 5) -> DataF
         .select("article_id", F.posexplode(F.slice(ranked, 1, k)).alias("rank", "tag"))
         .select("article_id", (F.col("rank") + 1).alias("rank"), F.col("tag.slug").alias("slug"), F.col("tag.score").alias("confidence"))
     )
+
+
+# ---- model responses ----------------------------------------------------------------------------
+
+FENCE = r"(?is)^\s*```(?:json)?\s*(.*?)\s*```\s*$"
+JSON_OBJECT = r"(?s)\{.*\}"
+
+
+def lenient_json(text: Column) -> Column:
+    """Variant of the JSON object in a model answer: fenced, plain, or between the outer braces."""
+    fenced = F.regexp_extract(text, FENCE, 1)
+    body = F.when(text.rlike(FENCE), fenced).otherwise(text)
+    value = F.coalesce(F.try_parse_json(body), F.try_parse_json(F.nullif(F.regexp_extract(body, JSON_OBJECT, 0), F.lit(""))))
+    return F.when(F.schema_of_variant(value).startswith("OBJECT"), value)
+
+
+def parse_tag_responses(responses: DataFrame, tagsets: DataFrame, *, k: int, min_confidence: float = 0.0) -> DataFrame:
+    """(article_id, valid, tags) of model answers (article_id, group_id, response).
+
+    One malformed entry invalidates the answer. Unknown slugs and confidences below the tag's or the
+    global floor drop out; a repeated slug keeps its maximum at its first accepted place. The k best
+    follow by confidence, ties in order of acceptance. Tagsets: group_id, slug, threshold.
+    """
+    # A frozen tag set is bounded by its freeze rule, so its thresholds travel as one map per group.
+    floors = tagsets.groupBy("group_id").agg(F.map_from_entries(F.collect_list(F.struct("slug", "threshold"))).alias("_floors"))
+    parsed = responses.join(floors, "group_id", "left").withColumn("_json", lenient_json(F.col("response")))
+    parsed = parsed.withColumn("_raw", F.try_variant_get("_json", "$.tags", "array<variant>"))
+
+    def kind(v: Column, path: str) -> Column:
+        return F.coalesce(F.schema_of_variant(F.try_variant_get(v, path, "variant")), F.lit("VOID"))
+
+    def entry(v: Column) -> Column:
+        number = kind(v, "$.confidence").rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)")
+        return F.struct(
+            F.when(kind(v, "$.slug") == "STRING", F.try_variant_get(v, "$.slug", "string")).alias("slug"),
+            F.when(number, F.try_variant_get(v, "$.confidence", "double")).alias("confidence"),
+        )
+
+    parsed = parsed.withColumn("_entries", F.transform("_raw", entry))
+    sound = F.forall("_entries", lambda e: e["slug"].isNotNull() & F.coalesce(e["confidence"].between(0, 1), F.lit(False)))
+    floor = lambda e: F.greatest(F.lit(float(min_confidence)), F.try_element_at("_floors", e["slug"]))
+    accepted = F.filter(
+        "_entries", lambda e: F.map_contains_key("_floors", e["slug"]) & (e["confidence"] >= floor(e))
+    )
+    checked = parsed.withColumn("valid", F.coalesce(sound, F.lit(False))).withColumn("_accepted", accepted)
+    slugs = F.array_distinct(F.transform("_accepted", lambda e: e["slug"]))
+    best = F.transform(
+        slugs,
+        lambda s, i: F.struct(
+            (-F.array_max(F.transform(F.filter("_accepted", lambda e: e["slug"] == s), lambda e: e["confidence"]))).alias("neg"), i.alias("i"), s.alias("slug")
+        ),
+    )
+    top = F.transform(F.slice(F.array_sort(best), 1, k), lambda b: F.struct(b["slug"].alias("slug"), (-b["neg"]).alias("confidence")))
+    nothing = F.array().cast("array<struct<slug:string,confidence:double>>")
+    return checked.select("article_id", "group_id", "valid", F.when(F.col("valid"), F.coalesce(top, nothing)).otherwise(nothing).alias("tags"))
+
+
+def replace_tags(
+    stored: DataFrame, results: DataFrame, articles: DataFrame, tags: DataFrame, *, backend: str, at: Column
+) -> tuple[DataFrame, DataFrame]:
+    """Persist tag results: (new article_tags, outcome per article).
+
+    A result is refused when its article is not EXTRACTED, belongs to another tag-set group, or uses
+    a slug that is not in the frozen set. Results: article_id, group_id, tags. Articles: id, status,
+    group_id. Tags: id, group_id, slug (current version).
+    """
+    state = articles.select(F.col("id").alias("article_id"), "status", F.col("group_id").alias("_own"))
+    judged = results.join(state, "article_id", "left")
+    flat = judged.select("article_id", "group_id", F.explode_outer("tags").alias("t")).select(
+        "article_id", "group_id", F.col("t.slug").alias("slug"), F.col("t.confidence").alias("confidence")
+    )
+    known = tags.select("group_id", "slug", F.col("id").alias("tag_id"))
+    resolved = flat.join(known, ["group_id", "slug"], "left")
+    unknown = resolved.groupBy("article_id").agg(F.bool_or(F.col("slug").isNotNull() & F.col("tag_id").isNull()).alias("_unknown"))
+    outcome = judged.join(unknown, "article_id").select(
+        "article_id",
+        F.when(~F.coalesce(F.col("status") == "EXTRACTED", F.lit(False)), "wrong_status")
+        .when(F.col("_own") != F.col("group_id"), "wrong_group")
+        .when(F.col("_unknown"), "unknown_tag")
+        .otherwise("tagged")
+        .alias("outcome"),
+    )
+    accepted = outcome.where("outcome = 'tagged'").select("article_id")
+    fresh = resolved.where("slug IS NOT NULL").join(accepted, "article_id", "left_semi").select(
+        "article_id", "tag_id", "confidence", F.lit(backend).alias("backend"), at.alias("created_at")
+    )
+    kept = stored.join(accepted, "article_id", "left_anti").select("article_id", "tag_id", "confidence", "backend", "created_at")
+    return kept.unionByName(fresh), outcome
+
+
+def summary_candidates(articles: DataFrame, *, enabled: bool, on_demand: bool = False) -> DataFrame:
+    """Articles that still need a summary; scheduled runs take EXTRACTED ones while enabled."""
+    open_rows = articles.where(F.coalesce("summary_backend", F.lit("")) == "")
+    if on_demand:
+        return open_rows
+    return open_rows.where((F.col("status") == "EXTRACTED") & F.lit(enabled))
+
+
+# ---- prompts ---------------------------------------------------------------------------------
+
+SYSTEM_PROMPT = (
+    "你是文章分类器。只能从给定标签列表中选择，不得创造新标签。"
+    '输出 JSON: {"tags":[{"slug":"...","confidence":0.0}]}。'
+    '若均不符合，输出 {"tags":[]}。'
+)
+CORRECTION = "\n上一次输出不符合格式。只输出一个 JSON 对象，不要 Markdown 或解释。"
+
+
+def tag_prompts(articles: DataFrame, tagsets: DataFrame, *, max_chars: int, correction: bool = False) -> DataFrame:
+    """(article_id, system, user) prompt texts; labels are listed in tag order."""
+    from ..functions.text import head_tail
+
+    label = F.concat(F.lit("- slug: "), "slug", F.lit("\n  名称: "), "name", F.lit("\n  判定: "), "description")
+    listed = tagsets.groupBy("group_id").agg(F.array_sort(F.collect_list(F.struct("id", label.alias("l")))).alias("_l"))
+    labels = listed.select("group_id", F.array_join(F.transform("_l", lambda x: x["l"]), "\n").alias("labels"))
+    user = F.concat(
+        F.lit("可用标签：\n"), "labels", F.lit("\n\n文章标题："), "title", F.lit("\n文章正文：\n"), head_tail(F.col("content_text"), max_chars)
+    )
+    system = F.lit(SYSTEM_PROMPT + (CORRECTION if correction else ""))
+    return articles.join(labels, "group_id").select(F.col("id").alias("article_id"), system.alias("system"), user.alias("user"))
+
+
+# ---- centroids ---------------------------------------------------------------------------------
+
+
+def tag_centroids(members: DataFrame, tag: str = "label") -> DataFrame:
+    """Unit-length mean of the member vectors (tag, vector) of every tag; NULL vectors are left out.
+
+    Averages run per dimension with partial aggregation, so a tag with very many members is no
+    hot spot.
+    """
+    from ..functions.vectors import l2_normalize
+
+    means = members.select(tag, F.posexplode("vector").alias("dim", "x")).groupBy(tag, "dim").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    ordered = means.groupBy(tag).agg(F.array_sort(F.collect_list(F.struct("dim", "x"))).alias("_v"))
+    return ordered.select(tag, l2_normalize(F.transform("_v", lambda e: e["x"])).alias("centroid"))
+
+
+def representatives(members: DataFrame, centroids: DataFrame, tag: str = "label", *, k: int = 3) -> DataFrame:
+    """The members nearest to the centroid of their tag. Members: tag, id, vector."""
+    # One row per tag: the rank limit is applied per partition before the shuffle.
+    scored = members.join(centroids, tag).withColumn("score", dot(F.col("vector"), F.col("centroid")))
+    order = Window.partitionBy(tag).orderBy(F.col("score").desc(), "id")
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(tag, "id", "rank", "score")
+
+
+def tag_with_model(articles: DataFrame, tag_batch, schema: str) -> DataFrame:
+    """Run an injected model function (iterator of pandas batches to the same) over articles.
+
+    The caller supplies the network call or model; nothing here holds credentials.
+    """
+    return articles.mapInPandas(tag_batch, schema)

@@ -70,11 +70,18 @@ def direction(spark, d):
     return O.pagination_direction(rows).select("page_id", "confidence", "page_order", "direction")
 
 
-@query("htm7_navigation_candidates", LINKS + """,
-hits AS (SELECT page_id, target, regexp_matches(regexp_extract(target, '^https?://[^/]+(.*)$', 1), 'news|notice|blog|posts?|archive|updates?', 'i') AS url_hit FROM links)
-SELECT page_id, target AS target_url, 1.0::DOUBLE AS score FROM hits WHERE url_hit GROUP BY 1, 2""")
+@query("htm7_navigation_candidates", f"""
+WITH p AS (SELECT page_id, {ORIGIN} AS o FROM pages)
+SELECT page_id, o || '/news/' || CAST(page_id AS STRING) || '?x=1' AS target_url, 0.35::DOUBLE AS score FROM p
+UNION ALL SELECT page_id, o || '/plain', 0.65 FROM p UNION ALL SELECT page_id, o || '/archive', 1.0 FROM p WHERE page_id % 2 = 0""")
 def navigation(spark, d):
-    return O.navigation_candidates(O.links(parsed(spark, d))).select("page_id", "target_url", "score")
+    """Every page gets links with the list words in the address, the text, or both."""
+    extra = F.concat(
+        F.lit('<p><a href="/news/'), F.col("page_id").cast("string"), F.lit('?x=1#top">x</a><a href="/plain">Blog posts</a><a href="https://other.example/news">news</a>'),
+        F.when(F.col("page_id") % 2 == 0, '<a href="/archive">x</a><a href="/archive" title="News">y</a>').otherwise(""),
+    )
+    pages = read(spark, d, "pages").withColumn("html", F.concat("html", extra))
+    return O.navigation_candidates(O.links(O.parse(pages))).select("page_id", "target_url", "score")
 
 
 @query("src16_feed_candidates", f"""
