@@ -6,7 +6,7 @@ import importlib
 
 from .catalogue import REGISTRY, Query
 
-MODULES = ("matching", "reports", "discovery", "onboarding", "tagging", "dedupe")
+MODULES = ("matching", "reports", "discovery", "onboarding", "tagging", "dedupe", "delivery")
 
 
 def load_all() -> dict[str, Query]:
