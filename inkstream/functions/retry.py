@@ -47,7 +47,9 @@ def retry_after_seconds(header: Column, now: Column) -> Column:
     header = F.when(header != "", header)
     at = parse_http_date(header)
     seconds = F.coalesce(header.try_cast("double"), (F.unix_micros(at) - F.unix_micros(now)) / F.lit(1e6))
-    return F.least(F.lit(float(RETRY_AFTER_CAP_SEC)), F.greatest(F.lit(0.0), seconds))
+    clamped = F.least(F.lit(float(RETRY_AFTER_CAP_SEC)), F.greatest(F.lit(0.0), seconds))
+    # least and greatest pass over NULLs, an unreadable header must stay NULL.
+    return F.when(seconds.isNotNull(), clamped)
 
 
 def lockout_minutes(failures: Column) -> Column:
