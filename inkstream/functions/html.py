@@ -365,6 +365,10 @@ def sanitize_html(fragments: pd.Series, bases: pd.Series) -> pd.Series:
     return pd.Series([_clean(h, b) for h, b in zip(fragments, bases)], dtype=object)
 
 
+# Kept apart from later projections, like the parsers above.
+sanitize_html = sanitize_html.asNondeterministic()
+
+
 def cut_source(html: Column, node: Column, dropped: Column) -> Column:
     """Source text of a node without the given inner nodes."""
     inner = F.filter(dropped, lambda d: inside(node, d))

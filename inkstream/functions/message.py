@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .dates import format_local, strip
@@ -47,10 +47,9 @@ def message_body(
     summary: Column,
     attachments: Column,
     body_format: str,
-    limit: Column,
     tz: str = "UTC",
 ) -> Column:
-    """Header, summary, attachments and content in the requested format, cut to the channel limit."""
+    """Header, summary, attachments and content in the requested format; see `cut_to_limit`."""
     names = tag_text(tags)
     date = F.coalesce(format_local(published_at, tz), F.lit(NO_DATE))
     summary = F.nullif(strip(F.coalesce(summary, F.lit(""))), F.lit(""))
@@ -80,4 +79,10 @@ def message_body(
             part(f"{rule}{FILES}（", F.when(count > 0, number), "）：\n", files),
             part(rule, content),
         )
-    return truncate_unicode(body, limit)
+    return body
+
+
+def cut_to_limit(messages: DataFrame, limit: Column, column: str = "body") -> DataFrame:
+    """Truncate bodies to the channel limit; only overlong ones change."""
+    cut = F.when(F.char_length(column) <= limit, F.col(column)).otherwise(truncate_unicode(column, limit))
+    return messages.withColumn(column, cut)

@@ -60,7 +60,7 @@ def _with_attachments(pages: DataFrame, config: AttachmentConfig) -> DataFrame:
     linked = F.filter(F.transform(H.select(nodes, "a[href]"), anchor(1)), lambda r: _any(r["href"], config.link_patterns))
     named = F.filter(F.transform(H.select_in(nodes, body, "a[href]"), anchor(2)), lambda r: _any(r["filename"], config.text_patterns))
     refs = F.filter(F.concat(F.coalesce(widget, none), F.coalesce(linked, none), F.coalesce(named, none)), lambda r: r["href"] != "")
-    found = pages.withColumn("_refs", refs).withColumn("_abs", absolute_urls(F.col("url"), F.transform("_refs", lambda r: r["href"])))
+    found = pages.withColumn("_refs", refs).withColumn("_abs", absolute_urls(F.col("url"), F.col("_refs.href")))
     located = F.zip_with("_refs", "_abs", lambda r, u: F.struct(u.alias("source_url"), r["filename"].alias("filename"), r["kind"].alias("kind")))
     usable = F.filter(located, lambda r: (r["kind"] != 1) | ~_any(r["source_url"], config.inline_image_patterns))
     found = found.withColumn("_usable", usable)
@@ -154,7 +154,10 @@ def finish_articles(extracted: DataFrame, config: ExtractConfig, key: str) -> Da
     )
     return (
         filled.withColumn("content_text", text)
-        .withColumn("content_html", H.sanitize_html(markup, F.col("url")))
+        .withColumn("_markup", markup)
+        # Read twice, the markup stays a column of its own: arguments of Python functions must not
+        # contain lambdas, which the optimiser fails to extract behind an aggregate.
+        .withColumn("content_html", F.when(F.col("_markup") != "", H.sanitize_html("_markup", "url")).otherwise(F.lit("")))
         .withColumn("error", error)
         .select(key, "url", "title", "author", "published_at", "lang", "content_text", "content_html", "attachments", "error")
     )

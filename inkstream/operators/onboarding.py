@@ -56,7 +56,7 @@ def links(parsed: DataFrame) -> DataFrame:
         ),
     )
     found = parsed.withColumn("_links", facts)
-    found = found.withColumn("_abs", U.absolute_urls(F.col("url"), F.transform("_links", lambda a: a["href"])))
+    found = found.withColumn("_abs", U.absolute_urls(F.col("url"), F.col("_links.href")))
     rows = found.select("page_id", "url", F.explode(F.arrays_zip("_links", "_abs")).alias("l"))
     return rows.select("page_id", "url", "l._links.*", F.col("l._abs").alias("target"))
 
@@ -259,7 +259,7 @@ def feed_candidates(parsed: DataFrame) -> DataFrame:
         for p in COMMON_FEEDS
     ])
     both = parsed.withColumn("_f", F.concat(found, common))
-    both = both.withColumn("_u", U.absolute_urls(F.col("url"), F.transform("_f", lambda f: f["href"])))
+    both = both.withColumn("_u", U.absolute_urls(F.col("url"), F.col("_f.href")))
     rows = both.select("page_id", F.posexplode(F.arrays_zip("_u", "_f")).alias("_pos", "_x")).select("page_id", "_pos", F.col("_x._u").alias("target_url"), "_x._f.*")
     web = rows.where(F.col("target_url").rlike("(?i)^https?:"))
     first = F.min_by(F.struct("kind", "confidence", "evidence"), "_pos")
@@ -274,7 +274,7 @@ def sitemap_candidates(robots: DataFrame) -> DataFrame:
     declared = F.transform(F.filter(values, lambda v: v != ""), lambda v: F.struct(v.alias("href"), F.lit(0.98).alias("confidence"), F.lit("robots.txt Sitemap directive").alias("evidence")))
     common = F.array(F.struct(F.lit("/sitemap.xml").alias("href"), F.lit(0.4).alias("confidence"), F.lit("common /sitemap.xml path").alias("evidence")))
     both = robots.withColumn("_f", F.concat(declared, common))
-    both = both.withColumn("_u", U.absolute_urls(F.col("url"), F.transform("_f", lambda f: f["href"])))
+    both = both.withColumn("_u", U.absolute_urls(F.col("url"), F.col("_f.href")))
     rows = both.select("page_id", F.posexplode(F.arrays_zip("_u", "_f")).alias("_pos", "_x")).select("page_id", "_pos", F.col("_x._u").alias("target_url"), "_x._f.*")
     first = F.min_by(F.struct("confidence", "evidence"), "_pos")
     web = rows.where(F.col("target_url").rlike("(?i)^https?:"))

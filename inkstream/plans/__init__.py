@@ -6,7 +6,7 @@ import importlib
 
 from .catalogue import REGISTRY, Query
 
-MODULES = ("matching", "reports", "discovery", "onboarding", "tagging", "dedupe", "delivery", "scalars", "bootstrap")
+MODULES = ("matching", "reports", "discovery", "onboarding", "tagging", "dedupe", "delivery", "scalars", "bootstrap", "streams", "runs")
 
 
 def load_all() -> dict[str, Query]:

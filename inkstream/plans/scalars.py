@@ -199,9 +199,10 @@ def message_markdown(spark, d):
     body = G.message_body(
         site_name=F.col("site_name"), url=F.col("url"), published_at=F.col("published_at"),
         tags=F.coalesce(F.transform("tags", lambda t: F.struct(t["name"].alias("name"), t["confidence"].alias("confidence"))), none),
-        content=F.col("content_text"), summary=F.col("summary"), attachments=files, body_format="markdown", limit=F.lit(2000), tz="Asia/Shanghai",
+        content=F.col("content_text"), summary=F.col("summary"), attachments=files, body_format="markdown", tz="Asia/Shanghai",
     )
-    return rows.select("id", G.message_title(F.col("site_name"), F.col("title")).alias("title"), F.md5(body).alias("body_md5"))
+    messages = rows.select("id", G.message_title(F.col("site_name"), F.col("title")).alias("title"), body.alias("body"))
+    return G.cut_to_limit(messages, F.lit(2000)).select("id", "title", F.md5("body").alias("body_md5"))
 
 
 @query("ded5_ded10_array_rules", """

@@ -34,7 +34,7 @@ class ListConfig:
 
 def _resolved(documents: DataFrame, page_url: Column, keep: list[str]) -> DataFrame:
     """Resolve `_found[].url` against the page and keep the first item per address, in order."""
-    urls = absolute_urls(page_url, F.transform("_found", lambda i: i["url"]))
+    urls = absolute_urls(page_url, F.col("_found.url"))
     joined = documents.withColumn("_urls", urls).withColumn(
         "_items", F.zip_with("_found", "_urls", lambda i, u: i.withField("url", u))
     )
@@ -153,7 +153,7 @@ def sitemap_entries(sitemaps: DataFrame, *, keep: list[str]) -> DataFrame:
     )
     parsed = sitemaps.withColumn("_nodes", H.xml_dom("xml")).withColumn("kind", root["tag"])
     usable = parsed.where(F.col("kind").isin("urlset", "sitemapindex")).withColumn("_found", F.filter(found, lambda i: i["url"].isNotNull()))
-    urls = absolute_urls(F.col("url"), F.transform("_found", lambda i: i["url"]))
+    urls = absolute_urls(F.col("url"), F.col("_found.url"))
     return usable.withColumn("_urls", urls).select(
         *keep, F.col("url"), "kind", F.posexplode(F.arrays_zip("_urls", "_found")).alias("position", "_e")
     ).select(*keep, "url", "kind", "position", F.col("_e._urls").alias("loc"), F.col("_e._found.lastmod").alias("lastmod"))
@@ -227,7 +227,7 @@ def json_items(responses: DataFrame, items_path: str, field_map: Mapping[str, st
     objects = F.filter("_values", lambda v: F.schema_of_variant(v).startswith("OBJECT"))
     found = parsed.withColumn("_found", F.filter(F.transform(objects, item), lambda i: F.trim(i["url"]) != ""))
     found = found.withColumn("error", F.when(F.col("_values").isNull(), F.lit("ItemsPathMiss")))
-    urls = absolute_urls(F.col("url"), F.transform("_found", lambda i: i["url"]))
+    urls = absolute_urls(F.col("url"), F.col("_found.url"))
     joined = found.withColumn("_urls", urls).withColumn("_items", F.zip_with("_found", "_urls", lambda i, u: i.withField("url", u)))
     rows = joined.select(key, F.col("url").alias("source_page"), "error", F.posexplode_outer("_items").alias("position", "item"))
     return rows.select(key, "source_page", "error", "position", *[F.col(f"item.{c}").alias(c) for c in ITEM_COLUMNS]).where(
