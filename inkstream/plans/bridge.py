@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import spread
 from .dialect import DUCK, SPARK
 
 # Fixed evaluation time of all "now"-dependent queries: 2024-01-15 00:00:00 UTC.
@@ -21,6 +22,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def read_spread(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """Selected columns for a stage that is heavy per row."""
+    return spread(read(spark, sf_dir, name).select(*columns))
+
+
 def _articles(d) -> str:
     return f"""
 SELECT doc_id AS id,

@@ -9,7 +9,7 @@ from ..functions.dates import to_iso
 from ..functions.urls import CanonicalConfig, canonical_url, url_hash
 from ..operators.extraction import AttachmentConfig, ExtractConfig, extract_articles
 from ..sources import discovery as D
-from .bridge import EPOCH, read
+from .bridge import EPOCH, read, read_spread
 from .catalogue import query
 
 ORIGIN = "regexp_extract(url, '^https?://[^/]+')"
@@ -24,7 +24,7 @@ named AS (SELECT page_id, {ORIGIN} || href AS url, trim({UNESCAPE.format('name')
 SELECT page_id, url, CASE WHEN arg_min(title, k) <> '' THEN arg_min(title, k) END AS title FROM named GROUP BY page_id, url""")
 def html_list(spark, d):
     config = D.ListConfig(item_selector="nav li", fields={"url": "a@href", "title": "a"})
-    return D.html_list(read(spark, d, "pages"), config).where("error IS NULL").select("page_id", "url", "title")
+    return D.html_list(read_spread(spark, d, "pages", "page_id", "url", "html"), config).where("error IS NULL").select("page_id", "url", "title")
 
 
 def _canonical_sql(strip: str) -> str:
@@ -178,7 +178,7 @@ EXTRACT = ExtractConfig(
 @query("htm1_extract_articles", f"""
 SELECT page_id, nullif(trim({UNESCAPE.format("regexp_extract(html, '<h1>([^<]*)</h1>', 1)")}), '') AS title, regexp_extract(html, '<html lang="([a-z]+)', 1) AS lang FROM pages""")
 def extract(spark, d):
-    return extract_articles(read(spark, d, "pages"), EXTRACT).select("page_id", "title", "lang")
+    return extract_articles(read_spread(spark, d, "pages", "page_id", "url", "html"), EXTRACT).select("page_id", "title", "lang")
 
 
 @query("htm1_article_text", f"""
@@ -186,12 +186,12 @@ WITH body AS (SELECT page_id, regexp_replace(regexp_extract(html, '<article>(.*?
 pieces AS (SELECT page_id, list_filter(list_transform(regexp_split_to_array(inner_html, '<[^>]*>'), lambda x: trim({UNESCAPE.format('x')}, ' ' || chr(9) || chr(10) || chr(13) || chr(160))), lambda x: x <> '') AS parts FROM body)
 SELECT page_id, array_to_string(parts, chr(10)) AS content_text FROM pieces""")
 def article_text(spark, d):
-    return extract_articles(read(spark, d, "pages"), ExtractConfig(selectors={"content": "article", "title": "title"})).select("page_id", "content_text")
+    return extract_articles(read_spread(spark, d, "pages", "page_id", "url", "html"), ExtractConfig(selectors={"content": "article", "title": "title"})).select("page_id", "content_text")
 
 
 @query("arr2_attachments")
 def attachments(spark, d):
-    found = extract_articles(read(spark, d, "pages"), EXTRACT).select("page_id", F.posexplode("attachments").alias("position", "a"))
+    found = extract_articles(read_spread(spark, d, "pages", "page_id", "url", "html"), EXTRACT).select("page_id", F.posexplode("attachments").alias("position", "a"))
     return found.select("page_id", "position", "a.source_url", "a.filename", "a.is_body")
 
 

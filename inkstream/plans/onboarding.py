@@ -6,13 +6,13 @@ from pyspark.sql import functions as F
 
 from ..operators import onboarding as O
 from ..operators.extraction import extract_articles
-from .bridge import read
+from .bridge import read, read_spread
 from .catalogue import query
 from .discovery import EXTRACT, ORIGIN
 
 
 def parsed(spark, d):
-    return O.parse(read(spark, d, "pages"))
+    return O.parse(read_spread(spark, d, "pages", "page_id", "url", "html"))
 
 
 LINKS = f"""
@@ -40,7 +40,7 @@ UNION ALL SELECT page_id, 'url_template', {ORIGIN} || '/list/{{page}}.htm', n, 0
 @query("htm5_ded8_pagination_candidates", PAGER_SQL)
 def pagination(spark, d):
     """Every page gets a pager of numeric links built from its own address."""
-    pages = read(spark, d, "pages")
+    pages = read_spread(spark, d, "pages", "page_id", "url", "html")
     base = F.regexp_extract("url", "^https?://[^/]+", 0)
     n = F.col("page_id") % 5 + 2
     by_query = F.transform(F.sequence(F.lit(1), n.cast("int")), lambda i: F.concat(F.lit('<a href="?p='), i.cast("string"), F.lit('">'), i.cast("string"), F.lit("</a>")))

@@ -8,7 +8,7 @@ from ..functions.errors import http_error_class
 from ..functions.text import head_tail
 from ..functions.vectors import l2_normalize
 from ..operators import tagging as T
-from .bridge import NOW, cte, read, table
+from .bridge import NOW, cte, read, read_spread, table
 from .catalogue import query
 
 N_TAGS = "(SELECT count(*) FROM part)"
@@ -29,7 +29,7 @@ def _answer(d: str) -> str:
 
 
 def responses(spark, d):
-    return read(spark, d, "documents").select(
+    return read_spread(spark, d, "documents", "doc_id", "source").select(
         F.col("doc_id").alias("article_id"), (F.expr("CAST(substr(source, 4) AS INT)") % 5).alias("group_id"), F.expr(_answer("spark")).alias("response")
     )
 
