@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions.text import name_key, normalize_slug
 from ..session import cut_lineage
+from ..sources.files import stage
 from .attachments import running_sum
 
 READY = ("EXTRACTED", "TAGGED", "NOTIFIED")
@@ -234,3 +235,19 @@ def require(problems: DataFrame, message: str, columns: Sequence[str]) -> None:
     examples = problems.select(*columns).take(5)
     if examples:
         raise ValueError(f"{message}: {[tuple(e) for e in examples]}")
+
+
+def freeze(document_tags: DataFrame, stored: DataFrame, subscription_tags: DataFrame, path: str, *, version: str) -> DataFrame:
+    """Stage the tags of a new frozen version at `path`; `promote` or `recover` completes it.
+
+    Ids stay stable per (group, slug). A version that drops a subscribed tag is refused. Document
+    tags: group_id, slug, position and the tag's own columns. Stored: id, group_id, slug.
+    """
+    groups = document_tags.select("group_id").distinct()
+    current = stored.join(groups, "group_id", "left_semi")
+    require(removed_subscribed_tags(current, subscription_tags, document_tags), "subscribed tags would be removed", ["group_id", "slug"])
+    numbered = assign_ids(document_tags.select("group_id", "slug", "position"), stored).select("group_id", "slug", "id")
+    frozen = document_tags.join(numbered, ["group_id", "slug"]).withColumn("tagset_version", F.lit(version))
+    untouched = stored.join(groups, "group_id", "left_anti")
+    stage(frozen.unionByName(untouched, allowMissingColumns=True), path)
+    return frozen
