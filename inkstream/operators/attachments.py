@@ -85,7 +85,7 @@ def store_within_quota(downloads: DataFrame, stored: DataFrame, *, quota: int) -
         left -= int(fits.agg(F.coalesce(F.sum("size_bytes"), F.lit(0))).first()[0])
         waiting = summed.where(F.col("id") > overflow).drop("total")
     if accepted is None:
-        accepted = first.limit(0).select("sha256", "id")
+        accepted = first.where(F.lit(False)).select("sha256", "id")
     result = downloads.join(accepted.withColumnRenamed("id", "_first"), "sha256", "left").join(known.withColumn("_known", F.lit(True)), "sha256", "left")
     outcome = (
         F.when(F.col("_known"), "reused").when(F.col("_first").isNull(), "skipped").when(F.col("_first") == F.col("id"), "downloaded").otherwise("reused")

@@ -20,10 +20,10 @@ def corpus(spark, d):
 
 @query("bst1_induction_batches", cte("articles", "sites") + """
 , corpus AS (SELECT a.id FROM articles a JOIN sites s ON s.id = a.site_id WHERE s.tagset_group_id = 2 AND trim(a.content_text, ' ') <> '' AND a.status IN ('EXTRACTED', 'TAGGED', 'NOTIFIED') ORDER BY a.id DESC LIMIT 2000)
-SELECT CAST(b AS INT) AS batch, list(id ORDER BY id) AS article_ids FROM (SELECT id, (row_number() OVER (ORDER BY id) - 1) // 40 AS b FROM corpus) x GROUP BY b""")
+SELECT CAST((row_number() OVER (ORDER BY id) - 1) // 40 AS INT) AS batch, id AS article_id FROM corpus""")
 def batches(spark, d):
     articles = B.historical_articles(table(spark, d, "articles"), table(spark, d, "sites"), 2)
-    return B.induction_batches(articles).select("batch", "article_ids")
+    return B.induction_batches(articles).select("batch", F.explode("article_ids").alias("article_id"))
 
 
 @query("ded10_foreign_ids", """

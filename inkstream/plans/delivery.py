@@ -104,7 +104,7 @@ def sending(spark, d):
 , res AS (SELECT *, NOT ok OR rejected AS failed, CASE WHEN rejected OR kind = 'view' THEN true ELSE false END AS fatal, attempts + CASE WHEN NOT ok OR rejected THEN 1 ELSE 0 END AS tries FROM mark),
 fin AS (SELECT *, failed AND (fatal OR tries >= 4 OR disables_target) AS terminal FROM res)
 SELECT delivery_id, CASE WHEN NOT failed THEN 'sent' WHEN terminal THEN 'failed' ELSE 'pending' END AS status, tries AS attempts,
- CASE WHEN failed AND NOT terminal THEN {NOW} + CASE WHEN has_wait THEN 45 ELSE 30 * CAST(pow(2, greatest(0, tries - 1)) AS INT) END END AS retry_second,
+ CASE WHEN failed AND NOT terminal THEN CAST({NOW} AS BIGINT) + CASE WHEN has_wait THEN 45 ELSE 30 * CAST(pow(2, greatest(0, tries - 1)) AS INT) END END AS retry_second,
  CASE WHEN NOT failed THEN NULL WHEN rejected THEN 'target is disabled' WHEN kind = 'error' THEN 'NotifyTransient: [redacted-url] not confirmed' WHEN kind = 'view' THEN 'TargetRejected: bad address' ELSE 'RateLimited: slow down' END AS last_error,
  terminal AND NOT disables_target AND NOT fatal AS promotes FROM fin""")
 def delivery_outcomes(spark, d):
@@ -179,7 +179,7 @@ def attachment_quota(spark, d):
     files = read(spark, d, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), "l_partkey", (F.col("l_quantity") * 1000).cast("bigint").alias("size"))
     once = files.groupBy("id").agg(F.min(F.struct("l_partkey", "size")).alias("f"))
     downloads = once.select("id", F.col("f.l_partkey").cast("string").alias("sha256"), F.col("f.size").alias("size_bytes"))
-    nothing = downloads.limit(0)
+    nothing = downloads.where(F.lit(False))
     return A.store_within_quota(downloads, nothing, quota=20_000_000)
 
 

@@ -100,7 +100,7 @@ def feed_items(spark, d):
     k = F.col("page_id") % 5
     feeds = read(spark, d, "pages").select("page_id", "url", F.when(k == 4, "<rss><broken>").when(k < 2, rss).otherwise(atom).alias("xml"))
     items = D.feed_items(feeds).where("error IS NULL")
-    return items.select("page_id", "url", "title", to_iso(F.col("published_at")).alias("published_at"), F.length("content_html").alias("content_chars"))
+    return items.select("page_id", "url", "title", to_iso(F.col("published_at")).alias("published_at"), F.length("content_html").cast("bigint").alias("content_chars"))
 
 
 @query("src17_document_kind", """
@@ -189,7 +189,12 @@ def article_text(spark, d):
     return extract_articles(read_spread(spark, d, "pages", "page_id", "url", "html"), ExtractConfig(selectors={"content": "article", "title": "title"})).select("page_id", "content_text")
 
 
-@query("arr2_attachments")
+@query("arr2_attachments", f"""
+WITH found AS (SELECT page_id, url, unnest(regexp_extract_all(html, '<li><a href="([^"]+)"', 1)) AS href, unnest(regexp_extract_all(html, '<li><a href="[^"]+">([^<]*)</a>', 1)) AS name,
+  generate_subscripts(regexp_extract_all(html, '<li><a href="([^"]+)"', 1), 1) AS k FROM pages),
+hits AS (SELECT page_id, {ORIGIN} || href AS source_url, nullif(trim({UNESCAPE.format('name')}), '') AS filename, k FROM found WHERE regexp_matches(href, '[.]pdf$|/th', 'i')),
+uniq AS (SELECT page_id, source_url, arg_min(filename, k) AS filename, min(k) AS k FROM hits GROUP BY 1, 2)
+SELECT page_id, CAST(rk - 1 AS INT) AS position, source_url, filename, false AS is_body FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY k) AS rk FROM uniq) x WHERE rk <= 5""")
 def attachments(spark, d):
     found = extract_articles(read_spread(spark, d, "pages", "page_id", "url", "html"), EXTRACT).select("page_id", F.posexplode("attachments").alias("position", "a"))
     return found.select("page_id", "position", "a.source_url", "a.filename", "a.is_body")

@@ -53,7 +53,7 @@ def pagination(spark, d):
 
 @query("htm6_agg14_pagination_direction", """
 WITH n AS (SELECT page_id, CAST(page_id % 9 AS INT) AS k FROM pages)
-SELECT page_id, CASE WHEN k = 4 OR k = 8 THEN 0.74 ELSE 0.86 END AS confidence,
+SELECT page_id, CASE WHEN k = 4 OR k = 8 THEN 0.74::DOUBLE ELSE 0.86 END AS confidence,
  CASE WHEN k = 4 OR k = 8 THEN NULL WHEN k > 4 AND page_id % 2 = 0 THEN 'desc_index' ELSE 'asc' END AS page_order,
  CASE WHEN k = 4 OR k = 8 THEN NULL WHEN k > 4 THEN 'newer_to_older' ELSE 'older_to_newer' END AS direction FROM n""")
 def direction(spark, d):
@@ -132,7 +132,8 @@ def dual_forms(spark, d):
     return O.dual_form_pairs(path.unionByName(query_form)).select("left_id", "right_id", "path_url", "query_url")
 
 
-@query("str13_confirm_dual_forms")
+@query("str13_confirm_dual_forms", """
+SELECT page_id * 2 AS left_id, page_id * 2 + 1 AS right_id, 0.99::DOUBLE AS confidence FROM pages WHERE length(trim(regexp_replace(html, '<[^>]*>', ' ', 'g'))) >= 80""")
 def confirm_dual_forms(spark, d):
     """Each page against its print form (a query address with the same article)."""
     pages = read(spark, d, "pages")

@@ -412,12 +412,12 @@ def active_admins(spark, d):
 
 
 @query("ded4_top1_dashboard", cte("articles", "sites", "deliveries", "subscriptions") + f"""
-SELECT DISTINCT a.id, a.title, {iso('a.published_at')} AS published_at, si.name AS site, a.published_at AS sort_key FROM articles a JOIN sites si ON si.id = a.site_id JOIN deliveries d ON d.article_id = a.id
-JOIN subscriptions s ON s.id = d.subscription_id WHERE s.user_id = 42 AND d.status = 'sent' ORDER BY sort_key DESC NULLS LAST, a.id DESC LIMIT 10""")
+SELECT id, title, {iso('moment')} AS published_at, site FROM (SELECT DISTINCT a.id, a.title, a.published_at AS moment, si.name AS site FROM articles a JOIN sites si ON si.id = a.site_id JOIN deliveries d ON d.article_id = a.id
+JOIN subscriptions s ON s.id = d.subscription_id WHERE s.user_id = 42 AND d.status = 'sent') x ORDER BY moment DESC NULLS LAST, id DESC LIMIT 10""")
 def dashboard(spark, d):
     names = ("articles", "sites", "deliveries", "subscriptions")
     seen = R.recent_articles(*[table(spark, d, n) for n in names], user_id=42)
-    return seen.select("id", "title", to_iso(F.col("published_at")).alias("published_at"), "site", F.col("published_at").alias("sort_key"))
+    return seen.select("id", "title", to_iso(F.col("published_at")).alias("published_at"), "site")
 
 
 @query("prj2_visible_articles", cte("articles", "sites", "deliveries", "subscriptions") + """
@@ -442,11 +442,12 @@ def findings(spark, d):
 
 
 @query("top7_ordered_tags", cte("article_tags", "tags") + """
-SELECT article_id, list(t.name || ':' || CAST(x.conf_pct AS STRING) ORDER BY x.conf_pct DESC, t.id) AS tags FROM article_tags x JOIN tags t ON t.id = x.tag_id GROUP BY article_id""")
+SELECT article_id, string_agg(t.name || ':' || CAST(x.conf_pct AS STRING), '|' ORDER BY x.conf_pct DESC, t.id) AS tags FROM article_tags x JOIN tags t ON t.id = x.tag_id GROUP BY article_id""")
 def ordered_tags(spark, d):
     tags = table(spark, d, "article_tags").withColumnRenamed("conf_pct", "confidence")
     listed = R.ordered_tags(tags, table(spark, d, "tags"))
-    return listed.select("article_id", F.transform("tags", lambda t: F.concat(t["name"], F.lit(":"), t["confidence"].cast("string"))).alias("tags"))
+    shown = F.transform("tags", lambda t: F.concat(t["name"], F.lit(":"), t["confidence"].cast("string")))
+    return listed.select("article_id", F.array_join(shown, "|").alias("tags"))
 
 
 @query("top8_articles_of_tag", cte("article_tags") + """

@@ -82,10 +82,10 @@ def retry_delays(spark, d):
 
 
 @query("dt10_page_dates", """
-SELECT event_id, [CAST(date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS INT), CAST(date_diff('day', DATE '1970-01-01', CAST(date_trunc('month', ts) AS DATE)) AS INT)] AS days FROM events""")
+SELECT event_id, CAST(date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS STRING) || ',' || CAST(date_diff('day', DATE '1970-01-01', CAST(date_trunc('month', ts) AS DATE)) AS STRING) AS days FROM events""")
 def page_dates(spark, d):
     text = F.concat(F.lit("x "), F.date_format("at", "yyyy.M.d"), F.lit(" y 2024-02-31 z "), F.date_format("at", "yyyy年MM"), F.lit("月"))
-    return events(spark, d).select("event_id", D.page_date_days(text).alias("days"))
+    return events(spark, d).select("event_id", F.array_join(D.page_date_days(text).cast("array<string>"), ",").alias("days"))
 
 
 @query("dt12_login_lockout", cte("users") + """
@@ -143,14 +143,14 @@ def charset(spark, d):
 
 
 @query("src9_detect_encoding", """
-SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'utf-8' WHEN 1 THEN 'gb18030' WHEN 2 THEN 'utf-8-sig' WHEN 3 THEN 'latin-1' ELSE 'utf-8' END AS encoding, substr(html, 1, 80) AS head FROM pages""")
+SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'utf-8' WHEN 1 THEN 'gb18030' WHEN 2 THEN 'utf-8-sig' WHEN 3 THEN 'latin-1' ELSE 'utf-8' END AS encoding, CASE page_id % 5 WHEN 2 THEN html ELSE regexp_replace(html, '[^\x00-\x7f]', '?', 'g') END AS decoded FROM pages""")
 def encoding(spark, d):
     k = F.col("page_id") % 5
     header = F.when(k == 1, "text/html; charset=GB2312").when(k == 3, 'text/html; charset="latin-1"').when(k == 4, "text/html; charset=unknown-8").otherwise(F.lit(None))
-    start = F.substring("html", 1, 80)
-    body = F.when(k == 2, F.concat(F.unhex(F.lit("EFBBBF")), F.encode(start, "UTF-8"))).otherwise(F.encode(F.regexp_replace(start, "[^\\x00-\\x7f]", "?"), "UTF-8"))
-    rows = read(spark, d, "pages").select("page_id", header.alias("h"), body.alias("b"), start.alias("head"))
-    return rows.select("page_id", N.detect_encoding("h", "b").alias("encoding"), "head")
+    marked = F.concat(F.unhex(F.lit("EFBBBF")), F.encode("html", "UTF-8"))
+    body = F.when(k == 2, marked).otherwise(F.encode(F.regexp_replace("html", "[^\\x00-\\x7f]", "?"), "UTF-8"))
+    rows = read(spark, d, "pages").select("page_id", header.alias("h"), body.alias("b"))
+    return rows.select("page_id", N.detect_encoding("h", "b").alias("encoding"), N.decode_body("h", "b").alias("decoded"))
 
 
 @query("str7_sanitize_filename", """
