@@ -44,18 +44,25 @@ def css_part(node: Column) -> Column:
     return F.concat(node["tag"], F.array_join(F.transform(F.slice(_classes(node), 1, 2), lambda c: F.concat(F.lit("."), c)), ""))
 
 
-def links(parsed: DataFrame) -> DataFrame:
-    """One row per link: page_id, url, n_id, up, href, title, text, spaced_text, rel, css, target."""
+def links(parsed: DataFrame, *, with_items: bool = False) -> DataFrame:
+    """One row per link: page_id, url, n_id, up, href, title, text, spaced_text, rel, css, target.
+
+    `with_items` adds `above`: the up to three elements around the link that could be its list item.
+    """
     nodes = F.col("nodes")
-    facts = F.transform(
-        H.select(nodes, "a[href]"),
-        lambda a: F.struct(
+
+    def facts(a: Column) -> Column:
+        fields = [
             a["id"].alias("n_id"), a["up"].alias("up"), a["attrs"]["href"].alias("href"), a["attrs"]["title"].alias("title"),
             H.text_of(nodes, a, "").alias("text"), H.text_of(nodes, a, " ").alias("spaced_text"),
             F.split(F.lower(F.coalesce(a["attrs"]["rel"], F.lit(""))), r"\s+").alias("rel"), css_part(a).alias("css"),
-        ),
-    )
-    found = parsed.withColumn("_links", facts)
+        ]
+        if with_items:
+            fields.append(_items_above(nodes, a).alias("above"))
+        return F.struct(*fields)
+
+    prepared = _with_dated_elements(parsed) if with_items else parsed
+    found = prepared.withColumn("_links", F.transform(H.select(nodes, "a[href]"), facts))
     found = found.withColumn("_abs", U.absolute_urls(F.col("url"), F.col("_links.href")))
     rows = found.select("page_id", "url", F.explode(F.arrays_zip("_links", "_abs")).alias("l"))
     return rows.select("page_id", "url", "l._links.*", F.col("l._abs").alias("target"))
@@ -66,22 +73,22 @@ def _same_host(target: Column, url: Column) -> Column:
     return F.coalesce(scheme.isin("http", "https") & (U.host_of(target) == U.host_of(url)), F.lit(False))
 
 
-def _ancestry(parsed: DataFrame) -> DataFrame:
-    """(page_id, n_id, item_css, item_id, level, n_matching, date_css) for up to three ancestors per link."""
+def _with_dated_elements(parsed: DataFrame) -> DataFrame:
+    """Adds `_dated`: innermost elements with a date in their own text."""
     nodes = F.col("nodes")
     dated_texts = F.filter(nodes, lambda n: (n["tag"] == "#text") & n["text"].rlike(PAGE_DATE))
-    prepared = parsed.withColumn("_dates", F.transform(dated_texts, lambda t: F.get(nodes, t["up"])))
-    # Innermost dated elements: no other dated element lies below them.
+    holders = parsed.withColumn("_holders", F.transform(dated_texts, lambda t: F.get(nodes, t["up"])))
     innermost = F.filter(
-        "_dates", lambda e: ~F.exists("_dates", lambda o: (o["id"] > e["id"]) & (o["id"] <= e["last"]))
+        "_holders", lambda e: ~F.exists("_holders", lambda o: (o["id"] > e["id"]) & (o["id"] <= e["last"]))
     )
-    prepared = prepared.withColumn("_dated", innermost)
+    return holders.withColumn("_dated", innermost)
+
 
-    def chain(a: Column) -> Column:
-        first = F.get(nodes, a["up"])
-        second = F.get(nodes, first["up"])
-        third = F.get(nodes, second["up"])
-        return F.array(first, second, third)
+def _items_above(nodes: Column, a: Column) -> Column:
+    """Candidate items around a link: item_css, item_id, level, n_matching, date_css."""
+    first = F.get(nodes, a["up"])
+    second = F.get(nodes, first["up"])
+    chain = F.array(first, second, F.get(nodes, second["up"]))
 
     def outside(p: Column) -> Column:
         return p.isNull() | p["tag"].isin("html", "body")
@@ -97,21 +104,17 @@ def _ancestry(parsed: DataFrame) -> DataFrame:
             F.array_distinct(F.transform(dates, css_part)).alias("date_css"),
         )
 
-    def above(a: Column) -> Column:
-        kept = F.filter(chain(a), lambda p, i: ~F.exists(F.slice(chain(a), F.lit(1), i + 1), outside))
-        return F.transform(F.transform(kept, describe), lambda s: F.struct(a["id"].alias("n_id"), s.alias("s")))
+    kept = F.filter(chain, lambda p, i: ~F.exists(F.slice(chain, F.lit(1), i + 1), outside))
+    return F.transform(kept, describe)
 
-    # Out-of-range parents of the root are NULL nodes.
-    everything = F.flatten(F.transform(H.select(nodes, "a[href]"), above))
-    return prepared.select("page_id", F.explode(everything).alias("x")).select("page_id", "x.n_id", "x.s.*")
 
-
-def selector_candidates(parsed: DataFrame, link_rows: DataFrame, *, top: int = 5) -> DataFrame:
-    """Ranked repeated link-bearing structures of every page."""
+def selector_candidates(link_rows: DataFrame, *, top: int = 5) -> DataFrame:
+    """Ranked repeated link-bearing structures of every page; needs links with their items."""
     facts = link_rows.select(
-        "page_id", "n_id", F.col("css").alias("link_css"), "text", "title", _same_host(F.col("target"), F.col("url")).alias("same_site")
+        "page_id", "n_id", F.col("css").alias("link_css"), "text", "title", _same_host(F.col("target"), F.col("url")).alias("same_site"),
+        F.explode("above").alias("_item"),
     )
-    joined = _ancestry(parsed).join(facts, ["page_id", "n_id"])
+    joined = facts.select("*", "_item.*").drop("_item")
     group = ["page_id", "item_css", "link_css"]
     # An item that holds several links of this kind is represented by its last one.
     fact = F.struct("text", "title", "same_site", "date_css", "n_matching", "level")
@@ -125,10 +128,13 @@ def selector_candidates(parsed: DataFrame, link_rows: DataFrame, *, top: int = 5
         F.count_if(F.col("_shown") != "").alias("_texts"), F.count_if(F.char_length("_shown").between(4, 120)).alias("_useful"),
         F.count_if("same_site").alias("_same"), F.count_if(longer).alias("_longer"),
         F.slice(F.array_sort(F.collect_list(F.when(F.col("_shown") != "", F.struct("pos", "_shown")))), 1, 3).alias("_samples"),
+        F.flatten(F.collect_list("date_css")).alias("_css"),
     ).where((F.col("matches").between(MIN_ROWS, MAX_ROWS)) & (F.col("matches") == F.col("n_matching")) & (F.col("_texts") > 0))
-    dates = items.select(*group, F.explode("date_css").alias("date_css")).groupBy(*group, "date_css").agg(F.count(F.lit(1)).alias("_n"))
-    best_date = dates.groupBy(*group).agg(F.min(F.struct((-F.col("_n")).alias("_n"), "date_css")).alias("_d"))
-    full = grouped.join(best_date, group, "left")
+    # All rows of a group lie on one page, so the gathered selectors are bounded by the page.
+    most_frequent = F.array_min(
+        F.transform(F.array_distinct("_css"), lambda c: F.struct((-F.size(F.filter("_css", lambda x: x == c))).alias("_n"), c.alias("date_css")))
+    )
+    full = grouped.withColumn("_d", most_frequent)
     n = F.col("matches")
     date_ratio = F.coalesce(-F.col("_d._n") / n, F.lit(0.0))
     same = F.col("_same") / n

@@ -26,8 +26,7 @@ def article_links(spark, d):
 
 @query("htm4_mth3_selector_candidates")
 def selectors(spark, d):
-    pages = parsed(spark, d)
-    return O.selector_candidates(pages, O.links(pages))
+    return O.selector_candidates(O.links(parsed(spark, d), with_items=True))
 
 
 PAGER_SQL = f"""
@@ -148,14 +147,14 @@ def confirm_dual_forms(spark, d):
 @query("mth4_page_types")
 def page_types(spark, d):
     pages = parsed(spark, d)
-    return O.page_types(pages, O.selector_candidates(pages, O.links(pages)))
+    return O.page_types(pages, O.selector_candidates(O.links(pages, with_items=True)))
 
 
 @query("htm9_onb1_onb3_config_candidates")
 def config_candidates(spark, d):
     pages = parsed(spark, d)
     links = O.links(pages)
-    selectors = O.selector_candidates(pages, links)
+    selectors = O.selector_candidates(O.links(pages, with_items=True))
     resources = pages.select("page_id", F.when(F.col("page_id") % 3 == 0, F.concat("url", F.lit("/feed"))).alias("feed_url"), F.when(F.col("page_id") % 3 == 1, F.concat("url", F.lit("/sitemap.xml"))).alias("sitemap_url"))
     return O.emit_config(O.config_candidates(O.page_types(pages, selectors), selectors, O.pagination_candidates(links), resources), "campus")
 

@@ -115,10 +115,10 @@ def test_selector_induction(spark):
     rows = "".join(f'<li class="row"><a class="t" href="/n/{i}" title="Long full title {i}">Long...</a><span class="d">2026-07-{i + 10}</span></li>' for i in range(8))
     html = f'<html><body><nav><a href="/a">A</a></nav><ul class="news">{rows}</ul></body></html>'
     parsed = O.parse(pages(spark, (1, "https://h/list", html)))
-    best = O.selector_candidates(parsed, O.links(parsed)).where("rank = 1").first()
+    best = O.selector_candidates(O.links(parsed, with_items=True)).where("rank = 1").first()
     assert (best.item_selector, best.link_selector, best.title_selector, best.published_at_selector) == ("li.row", "a.t@href", "a.t@title", "span.d")
     assert best.matches == 8 and best.confidence == 1.0 and best.evidence == "8 repeated items; 100% contain dates; 100% links stay on site"
-    kind = O.page_types(parsed, O.selector_candidates(parsed, O.links(parsed))).first()
+    kind = O.page_types(parsed, O.selector_candidates(O.links(parsed, with_items=True))).first()
     assert (kind.page_type, kind.confidence) == ("html_list", 1.0)
 
 
