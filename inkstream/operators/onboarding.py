@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 
 from ..functions import html as H
 from ..functions import urls as U
-from ..functions.dates import PAGE_DATE, page_date_days
+from ..functions.dates import PAGE_DATE, let, page_date_days
 from ..session import cut_lineage
 
 # Fixed words, types and extensions of the inspection rules.
@@ -104,7 +104,7 @@ def _items_above(nodes: Column, a: Column) -> Column:
             F.array_distinct(F.transform(dates, css_part)).alias("date_css"),
         )
 
-    kept = F.filter(chain, lambda p, i: ~F.exists(F.slice(chain, F.lit(1), i + 1), outside))
+    kept = let(chain, lambda c: F.filter(c, lambda p, i: ~F.exists(F.slice(c, F.lit(1), i + 1), outside)))
     return F.transform(kept, describe)
 
 
