@@ -55,6 +55,28 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+class Remembered(dict):
+    """Results of a function by key, in bounded memory: the last `entries` keys seen, and those seen before once again.
+
+    A full table becomes the older generation; what is asked for again moves back from there.
+    """
+
+    def __init__(self, function: Callable[[str], object], entries: int, longest: int) -> None:
+        super().__init__()
+        self.function, self.entries, self.longest, self.older = function, entries // 2, longest, {}
+
+    def __missing__(self, key: str) -> object:
+        found = self.older.get(key)
+        if found is None:
+            found = self.function(key)
+        if len(key) <= self.longest:
+            if len(self) >= self.entries:
+                self.older = dict(self)
+                self.clear()
+            self[key] = found
+        return found
+
+
 def in_batches(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]]) -> DataFrame:
     """mapInArrow with state per task: `make` runs once in the task and returns the function for its batches."""
 

@@ -7,13 +7,33 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash_golay
+from . import simhash_golay, token_counts, token_files
+from .common import new_folder
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_file(name: str) -> str:
+    """Place of a vocabulary file that is installed on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded, packed and written in id order, then read back from the files."""
+    path = new_folder(spark, "token-files")
+    token_files.write(table(spark, sf_dir, "documents"), path, tokenizer_file("byte_bpe_50k.json"))
+    return token_files.read_digests(spark, path)
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents: tokens of each whole text, counted by merging."""
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
 def op8_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents: 3-word shingles, fingerprints linked at 3 or fewer differing bits."""
     groups = simhash_golay.near_duplicates(table(spark, sf_dir, "documents"))
@@ -21,6 +41,8 @@ def op8_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_token_files": op5_token_files,
+    "op7_token_counts": op7_token_counts,
     "op8_simhash_golay": op8_simhash_golay,
 }
 
