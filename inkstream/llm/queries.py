@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash_golay, token_counts, token_files
+from . import mixing, simhash_golay, token_counts, token_files
 from .common import new_folder
 
 
@@ -29,6 +29,11 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_digests(spark, path)
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed by weights 5, 2, 1 over the sources."""
+    return mixing.takings(table(spark, sf_dir, "documents"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents: tokens of each whole text, counted by merging."""
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
@@ -42,8 +47,11 @@ def op8_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_files": op5_token_files,
+    "op6_mixing": op6_mixing,
     "op7_token_counts": op7_token_counts,
     "op8_simhash_golay": op8_simhash_golay,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op6_mixing": mixing.takings_sql(),
+}
