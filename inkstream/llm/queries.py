@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, simhash_golay, token_counts, token_files
+from . import mixing, sharding, simhash_golay, token_counts, token_files
 from .common import new_folder
 
 
@@ -22,6 +22,11 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 40 shards of near equal bytes."""
+    return sharding.shard(table(spark, sf_dir, "documents"), 40)
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents encoded, packed and written in id order, then read back from the files."""
     path = new_folder(spark, "token-files")
@@ -46,6 +51,7 @@ def op8_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sharding": op1_sharding,
     "op5_token_files": op5_token_files,
     "op6_mixing": op6_mixing,
     "op7_token_counts": op7_token_counts,
