@@ -65,8 +65,9 @@ def difference(sizes: np.ndarray) -> np.ndarray:
 def assign_groups(groups: DataFrame, shards: int, bucket_groups: int = BUCKET_GROUPS, fan_in: int = FAN_IN) -> DataFrame:
     """(key, shard) for groups (key, bytes).
 
-    Groups above a LARGE_PARTS-th of a shard (at most shards * LARGE_PARTS of them) are single entries of the last
-    combination, where they have all buckets as counterweights; the others go through the buckets.
+    Groups above a LARGE_PARTS-th of a shard (at most shards * LARGE_PARTS of them) and those of one bucket are single
+    entries of the last combination, so that large and small ones even out what the buckets leave; the others go
+    through their buckets.
     """
     count, total = groups.agg(F.count(F.lit(1)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
     limit = total / (shards * LARGE_PARTS)
@@ -86,7 +87,9 @@ def assign_groups(groups: DataFrame, shards: int, bucket_groups: int = BUCKET_GR
         return pd.DataFrame({"name": np.repeat(names, shards), "label": np.tile(np.arange(shards, dtype=np.int32), len(names)), "up": labels.reshape(-1).astype(np.int32), "bytes": sizes.reshape(-1)})
 
     combined = "name string, label int, up int, bytes bigint"
-    small = groups.filter(F.col("bytes") <= limit).withColumn("node", F.pmod(F.xxhash64("key"), F.lit(nodes)))
+    bucket = F.pmod(F.xxhash64("key"), F.lit(nodes))
+    single = (F.col("bytes") > limit) | (bucket == 0)
+    small = groups.filter(~single).withColumn("node", bucket)
     current = written(small.groupBy("node").applyInPandas(within, "key binary, bytes bigint, node bigint, label int"), "shard-groups")
     sums = current.groupBy("node", "label").agg(F.sum("bytes").alias("bytes"))
     up = F.expr(f"node div {fan_in}")
@@ -96,10 +99,10 @@ def assign_groups(groups: DataFrame, shards: int, bucket_groups: int = BUCKET_GR
         current = current.join(level.select("node", "label", "up"), ["node", "label"]).select("key", "bytes", up.alias("node"), F.col("up").alias("label"))
         sums = level.groupBy(up.alias("node"), F.col("up").alias("label")).agg(F.sum("bytes").alias("bytes"))
         nodes = -(-nodes // fan_in)
-    large = groups.filter(F.col("bytes") > limit).select(F.concat(F.lit("group "), F.hex("key")).alias("name"), F.lit(0).alias("label"), "bytes")
-    # At most fan_in * shards rows and shards * LARGE_PARTS large groups meet here.
-    last = sums.select(F.col("node").cast("string").alias("name"), "label", "bytes").unionAll(large)
-    last = written(last.groupBy(F.lit(0)).applyInPandas(combine, combined), "shard-last")
+    singles = groups.filter(single).select(F.concat(F.lit("group "), F.hex("key")).alias("name"), F.lit(0).alias("label"), "bytes")
+    # At most fan_in * shards rows, shards * LARGE_PARTS large groups and one bucket meet here.
+    last = sums.select(F.col("node").cast("string").alias("name"), "label", "bytes").unionAll(singles)
+    last = written(last.groupBy().applyInPandas(combine, combined), "shard-last")
     small = current.withColumn("name", F.col("node").cast("string")).join(last, ["name", "label"]).select("key", F.col("up").alias("shard"))
     return small.unionAll(last.filter("name like 'group %' and label = 0").select(F.unhex(F.substring("name", 7, 1 << 10)).alias("key"), F.col("up").alias("shard")))
 
