@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, sharding, simhash_golay, token_counts, token_files
+from . import chat_format, mixing, sharding, simhash_golay, token_counts, token_files
 from .common import new_folder
 
 
@@ -27,6 +27,12 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), 40)
 
 
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and a hostile one, formatted and read back from the output."""
+    turns = chat_format.with_hostile(spark, table(spark, sf_dir, "conversations"))
+    return chat_format.digests(chat_format.format_conversations(turns))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents encoded, packed and written in id order, then read back from the files."""
     path = new_folder(spark, "token-files")
@@ -52,6 +58,7 @@ def op8_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
+    "op3_chat_format": op3_chat_format,
     "op5_token_files": op5_token_files,
     "op6_mixing": op6_mixing,
     "op7_token_counts": op7_token_counts,
@@ -59,5 +66,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op3_chat_format": chat_format.DIGEST_SQL,
     "op6_mixing": mixing.takings_sql(),
 }
