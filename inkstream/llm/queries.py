@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, mixing, sharding, simhash_golay, token_counts, token_files
+from . import chat_format, mixing, quality_rules, sharding, simhash_golay, token_counts, token_files
 from .common import new_folder
 
 
@@ -27,6 +27,11 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), 40)
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents measured and judged by the base rules and the learned list."""
+    return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and a hostile one, formatted and read back from the output."""
     turns = chat_format.with_hostile(spark, table(spark, sf_dir, "conversations"))
@@ -58,6 +63,7 @@ def op8_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
+    "op2_quality_rules": op2_quality_rules,
     "op3_chat_format": op3_chat_format,
     "op5_token_files": op5_token_files,
     "op6_mixing": op6_mixing,
