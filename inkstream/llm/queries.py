@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, mixing, quality_rules, sharding, simhash_golay, token_counts, token_files
+from . import chat_format, mixing, quality_knn, quality_rules, sharding, simhash_golay, token_counts, token_files
 from .common import new_folder
 
 
@@ -38,6 +38,15 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digests(chat_format.format_conversations(turns))
 
 
+def op4_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents scored for quality; rows whose crc32(doc_id) mod 4 is 2 are held out of the labels."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    remainder = lambda: F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4))
+    model = quality_knn.fit(docs, labels.filter(remainder() != 2))
+    scored = quality_knn.score(docs, model)
+    return scored.select("doc_id", (remainder() == 2).alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents encoded, packed and written in id order, then read back from the files."""
     path = new_folder(spark, "token-files")
@@ -65,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_quality_rules": op2_quality_rules,
     "op3_chat_format": op3_chat_format,
+    "op4_quality_knn": op4_quality_knn,
     "op5_token_files": op5_token_files,
     "op6_mixing": op6_mixing,
     "op7_token_counts": op7_token_counts,
