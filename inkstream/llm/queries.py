@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, mixing, quality_knn, quality_rules, sharding, simhash_golay, token_counts, token_files
+from . import chat_format, decontaminate, mixing, quality_knn, quality_rules, sharding, simhash_golay, token_counts, token_files, toxicity
 from .common import new_folder
 
 
@@ -70,6 +70,17 @@ def op8_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents against all benchmark items: the pairs that leak, with their coverage."""
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents graded by the model fitted on the labelled ones."""
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_quality_rules": op2_quality_rules,
@@ -79,6 +90,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_mixing": op6_mixing,
     "op7_token_counts": op7_token_counts,
     "op8_simhash_golay": op8_simhash_golay,
+    "op9_string_tiling": op9_string_tiling,
+    "op10_toxicity": op10_toxicity,
 }
 
 SQL: dict[str, str] = {
