@@ -44,13 +44,14 @@ def features_of(token: str) -> tuple[str, ...]:
     return tuple(found)
 
 
-def fit_ordinal(matrix: np.ndarray, grades: np.ndarray, levels: int, row_weights: np.ndarray, rounds: int = 1500, shrink: float = 1e-6) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(matrix: np.ndarray, grades: np.ndarray, levels: int, row_weights: np.ndarray, rounds: int = 1500, shrink: float = 0.02) -> tuple[np.ndarray, np.ndarray]:
     """(weights, ascending thresholds) of the cumulative-link model, by gradient steps with adapted rates.
 
-    row_weights: how many rows each row stands for.
-    Thresholds are the first one and positive gaps, so they stay ordered.
+    row_weights: how many rows each row stands for. shrink: the weight of half the squared weights beside the rows'
+    summed loss. Thresholds are the first one and positive gaps, so they stay ordered.
     """
     above = np.stack([grades >= k for k in range(1, levels + 1)], axis=1).astype(np.float32)
+    shrink /= row_weights.sum()
     row_weights = (row_weights / row_weights.sum())[:, None]
     rates = np.clip((above * row_weights).sum(axis=0), 1e-4, 1 - 1e-4)
     starts = np.log(1 / rates - 1)
