@@ -127,6 +127,13 @@ def free_names(df: DataFrame, *wanted: str) -> list[str]:
     return found
 
 
+def without(docs: DataFrame, losers: DataFrame, id_col: str) -> DataFrame:
+    """docs without the rows whose id is an id of losers; all columns stay, a null id is one id."""
+    gone = free_names(docs, "gone")[0]
+    ids = losers.select(F.col(id_col).alias(gone)).distinct()
+    return docs.join(ids, docs[id_col].eqNullSafe(ids[gone]), "left_anti")
+
+
 #: Parts into which the joins of `components` cut the edges of a node, so that a hub is never one task's work.
 HUB_PARTS = 8
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Remembered, blocks_for, in_batches
+from .common import Remembered, blocks_for, in_batches, without
 
 #: Words of a seed, and the share of an item's words that tells a leak.
 SEED_WORDS, LEAST_COVERAGE = 5, 0.5
@@ -178,5 +178,4 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options: object) -> DataFrame:
     """docs without those that leak a benchmark item, by the rules of `leaks`; null ids are matched as one id."""
-    losers = leaks(docs, benchmark, id_col, **options).select(F.col(id_col).alias("_leaked")).distinct()
-    return docs.join(losers, F.col(id_col).eqNullSafe(F.col("_leaked")), "left_anti")
+    return without(docs, leaks(docs, benchmark, id_col, **options), id_col)

@@ -145,7 +145,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("label_id"), F.col(label_col).cast("int").alias("label"))
     chosen = known.orderBy(F.xxhash64("label_id"), "label_id", "label").limit(labelled_rows)
     # At most labelled_rows short rows.
-    rows = docs.join(F.broadcast(chosen), F.col(id_col) == F.col("label_id")).select("label_id", "label", F.col(text_col).alias("text"))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = texts.join(F.broadcast(chosen), F.col("id") == F.col("label_id")).select("label_id", "label", "text")
 
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:

@@ -2,13 +2,14 @@
 
 A partial partition is a vector of shard sizes. The two with the largest spread are repeatedly combined, the largest
 shard of one with the smallest of the other, until one is left; walking back gives every group its shard. The groups
-are hashed into buckets of bounded size that are partitioned side by side, and the buckets' vectors are combined by
-the same rule, FAN_IN of them at a time, level by level. Neither a task nor the driver ever holds all groups.
+are hashed into buckets of bounded size that are differenced side by side, so neither a task nor the driver ever holds
+all of them.
 """
 
 from __future__ import annotations
 
 import heapq
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -18,9 +19,9 @@ from pyspark.sql import functions as F
 from ..operators.skew import hot_salted_join
 from .common import blocks_for, utf8_bytes, written
 
-#: Groups that one task partitions, vectors that one task combines, and rows of a shard that one task numbers.
-BUCKET_GROUPS, FAN_IN, BLOCK_ROWS = 4096, 512, 20_000
-#: A group above this part of a shard's bytes is combined by itself.
+#: Groups that one task partitions, and rows of a shard that one task numbers.
+BUCKET_GROUPS, BLOCK_ROWS = 4096, 20_000
+#: A group above this part of a shard's bytes is placed before all others.
 LARGE_PARTS = 100
 #: Bytes that count for a document besides its text.
 ROW_BYTES = 16
@@ -62,52 +63,61 @@ def difference(sizes: np.ndarray) -> np.ndarray:
     return result
 
 
-def assign_groups(groups: DataFrame, shards: int, bucket_groups: int = BUCKET_GROUPS, fan_in: int = FAN_IN) -> DataFrame:
+def beside(loads: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Shard of each of `sizes`, differenced together with the shards' present loads."""
+    table = np.zeros((len(sizes) + 1, len(loads)), np.int64)
+    table[0], table[1:, 0] = loads, sizes
+    labels = difference(table)
+    own = np.empty(len(loads), np.int64)
+    own[labels[0]] = np.arange(len(loads))
+    return own[labels[1:, 0]].astype(np.int32)
+
+
+def dithered(loads: np.ndarray, step: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order of the shards, their loads in it, in multiples of step): right on average over the seeds.
+
+    Differences below the size of a group would send every bucket's remainder to the same shard.
+    """
+    draw = np.random.default_rng(seed)
+    order = draw.permutation(len(loads))
+    return order, (loads[order] + draw.integers(0, step, len(loads))) // step * step
+
+
+def assign_groups(groups: DataFrame, shards: int, bucket_groups: int = BUCKET_GROUPS) -> DataFrame:
     """(key, shard) for groups (key, bytes).
 
-    Groups above a LARGE_PARTS-th of a shard (at most shards * LARGE_PARTS of them) and those of one bucket are single
-    entries of the last combination, so that large and small ones even out what the buckets leave; the others go
-    through their buckets.
+    Groups above a LARGE_PARTS-th of a shard (at most shards * LARGE_PARTS of them) are differenced first. Each bucket
+    of the others is differenced beside its part of these loads, so that it fills what they leave open; the last
+    bucket is differenced beside the sum of all that, and evens out what the buckets leave.
     """
     count, total = groups.agg(F.count(F.lit(1)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
-    limit = total / (shards * LARGE_PARTS)
-    nodes = blocks_for(count, bucket_groups)
-
-    def within(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["bytes", "key"], ascending=False, kind="stable")
-        sizes = np.zeros((len(frame), shards), np.int64)
-        sizes[:, 0] = frame["bytes"]
-        return pd.DataFrame({"key": frame["key"], "bytes": frame["bytes"], "node": frame["node"], "label": difference(sizes)[:, 0].astype(np.int32)})
-
-    def combine(frame: pd.DataFrame) -> pd.DataFrame:
-        names = np.sort(frame["name"].unique())
-        sizes = np.zeros((len(names), shards), np.int64)
-        sizes[np.searchsorted(names, frame["name"]), frame["label"]] = frame["bytes"]
-        labels = difference(sizes)
-        return pd.DataFrame({"name": np.repeat(names, shards), "label": np.tile(np.arange(shards, dtype=np.int32), len(names)), "up": labels.reshape(-1).astype(np.int32), "bytes": sizes.reshape(-1)})
-
-    combined = "name string, label int, up int, bytes bigint"
-    bucket = F.pmod(F.xxhash64("key"), F.lit(nodes))
-    single = (F.col("bytes") > limit) | (bucket == 0)
-    small = groups.filter(~single).withColumn("node", bucket)
-    current = written(small.groupBy("node").applyInPandas(within, "key binary, bytes bigint, node bigint, label int"), "shard-groups")
-    sums = current.groupBy("node", "label").agg(F.sum("bytes").alias("bytes"))
-    up = F.expr(f"node div {fan_in}")
-    while nodes > fan_in:
-        # One row per bucket and shard: a table far smaller than the groups.
-        level = written(sums.withColumn("name", F.col("node").cast("string")).groupBy(up).applyInPandas(combine, combined), "shard-level").withColumn("node", F.col("name").cast("long"))
-        current = current.join(level.select("node", "label", "up"), ["node", "label"]).select("key", "bytes", up.alias("node"), F.col("up").alias("label"))
-        sums = level.groupBy(up.alias("node"), F.col("up").alias("label")).agg(F.sum("bytes").alias("bytes"))
-        nodes = -(-nodes // fan_in)
-    singles = groups.filter(single).select(F.concat(F.lit("group "), F.hex("key")).alias("name"), F.lit(0).alias("label"), "bytes")
-    # At most fan_in * shards rows, shards * LARGE_PARTS large groups and one bucket meet here.
-    last = sums.select(F.col("node").cast("string").alias("name"), "label", "bytes").unionAll(singles)
-    last = written(last.groupBy().applyInPandas(combine, combined), "shard-last")
-    small = current.withColumn("name", F.col("node").cast("string")).join(last, ["name", "label"]).select("key", F.col("up").alias("shard"))
-    return small.unionAll(last.filter("name like 'group %' and label = 0").select(F.unhex(F.substring("name", 7, 1 << 10)).alias("key"), F.col("up").alias("shard")))
-
-
-def shard(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text", bucket_groups: int = BUCKET_GROUPS, fan_in: int = FAN_IN, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    limit, buckets = total / (shards * LARGE_PARTS), blocks_for(count, bucket_groups)
+    node = F.when(F.col("bytes") > limit, F.lit(-1)).otherwise(F.pmod(F.xxhash64("key"), F.lit(buckets)))
+    groups = groups.withColumn("node", node)
+
+    def placed(part: DataFrame, loads: list[int], shared: bool = False) -> DataFrame:
+        def within(frame: pd.DataFrame) -> pd.DataFrame:
+            frame = frame.sort_values(["bytes", "key"], ascending=False, kind="stable")
+            order, now = np.arange(shards), np.array(loads, np.int64)
+            if shared:
+                order, now = dithered(now, int(frame["bytes"].iloc[0]) + 1, int(frame["node"].iloc[0]))
+            return frame[["key", "bytes"]].assign(shard=order[beside(now, frame["bytes"].to_numpy(np.int64))].astype(np.int32))
+
+        return written(part.groupBy("node").applyInPandas(within, "key binary, bytes bigint, shard int"), "shard-groups")
+
+    def loads_of(*parts: DataFrame) -> list[int]:
+        """One number per shard."""
+        sums = reduce(DataFrame.unionAll, parts).groupBy("shard").agg(F.sum("bytes").alias("bytes")).collect()
+        found = {r["shard"]: r["bytes"] for r in sums}
+        return [found.get(k, 0) for k in range(shards)]
+
+    large = placed(groups.filter("node = -1"), [0] * shards)
+    middle = placed(groups.filter("node > 0"), [load // buckets for load in loads_of(large)], shared=True)
+    last = placed(groups.filter("node = 0"), loads_of(large, middle))
+    return large.unionAll(middle).unionAll(last).select("key", "shard")
+
+
+def shard(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text", bucket_groups: int = BUCKET_GROUPS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(id, size, text_crc32, law, shard, slot, grown_shard) for every row of docs.
 
     Rows with the same text share a shard, so a text that alone outweighs a shard's part makes that shard larger.
@@ -121,7 +131,7 @@ def shard(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str =
     count = rows.count()
     groups = written(rows.groupBy("key").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")), "shard-sizes")
     hot = groups.filter(F.col("n") >= max(2, -(-count // HOT_SHARE))).select("key")
-    placed = hot_salted_join(rows, assign_groups(groups.select("key", "bytes"), shards, bucket_groups, fan_in), ["key"], F.col("id"), hot)
+    placed = hot_salted_join(rows, assign_groups(groups.select("key", "bytes"), shards, bucket_groups), ["key"], F.col("id"), hot)
     blocks = blocks_for(-(-count // shards), block_rows)
     placed = written(placed.withColumn("block", F.pmod(F.xxhash64("id", "key"), F.lit(blocks))), "shard-placed")
     counts = placed.groupBy("shard", "block").agg(F.count(F.lit(1)).alias("n"))

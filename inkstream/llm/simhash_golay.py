@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, in_batches, per_text, written
+from .common import components, in_batches, per_text, without, written
 
 #: The generator polynomial of the code, its word length and its check bits.
 GENERATOR, LENGTH, CHECKS = 0xAE3, 23, 11
@@ -207,5 +207,4 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", **options: object) -> Da
     anything that can be named, so they stay.
     """
     groups = near_duplicates(docs, id_col, **options)
-    losers = groups.filter(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
-    return docs.join(losers, id_col, "left_anti")
+    return without(docs, groups.filter(F.col(id_col) != F.col("component_id")), id_col)

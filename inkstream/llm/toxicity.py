@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Remembered, in_batches, written
+from .common import Remembered, in_batches, without, written
 
 #: Labelled rows that the model is made of, at most; the first by a hash of the id.
 LABELLED_ROWS = 20_000
@@ -109,7 +109,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("label_id"), (F.col(label_col) > 0).alias("toxic"))
     chosen = known.orderBy(F.xxhash64("label_id"), "label_id", "toxic").limit(labelled_rows)
     # At most labelled_rows short rows; the sample is written, for it is read twice.
-    sample = docs.join(F.broadcast(chosen), F.col(id_col) == F.col("label_id")).select("label_id", "toxic", F.col(text_col).alias("text"))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    sample = texts.join(F.broadcast(chosen), F.col("id") == F.col("label_id")).select("label_id", "toxic", "text")
     sample = written(sample, "toxic-sample")
     sizes = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     toxic, clean = sizes.get(True, 0), sizes.get(False, 0)
@@ -195,5 +196,4 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
 def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: object) -> DataFrame:
     """docs without those that the model fitted on `labels` finds toxic; with rows of one id, the toxic ones go together."""
     found = score(docs, fit(docs, labels, id_col, text_col, **options), id_col, text_col)
-    losers = found.filter("toxic").select(F.col(id_col).alias("_toxic_id")).distinct()
-    return docs.join(losers, F.col(id_col).eqNullSafe(F.col("_toxic_id")), "left_anti")
+    return without(docs, found.filter("toxic"), id_col)
