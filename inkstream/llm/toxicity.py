@@ -44,6 +44,20 @@ def features_of(token: str) -> tuple[str, ...]:
     return tuple(found)
 
 
+def distinct_features(ranked: list[tuple[str, int, int]]) -> list[str]:
+    """The features of (feature, toxic rows, clean rows) without those that say the same as a shorter one.
+
+    A word and its beginnings in the same rows would share one weight between them, and outweigh words without any.
+    """
+    kept: dict[tuple[int, int], list[str]] = {}
+    for feature, *rows in sorted(ranked, key=lambda r: (len(r[0].rstrip("*")), r[0])):
+        alike = kept.setdefault(tuple(rows), [])
+        if not any(feature.startswith(other.rstrip("*")) for other in alike):
+            alike.append(feature)
+    chosen = {f for alike in kept.values() for f in alike}
+    return [feature for feature, *_ in ranked if feature in chosen]
+
+
 def fit_ordinal(matrix: np.ndarray, grades: np.ndarray, levels: int, row_weights: np.ndarray, rounds: int = 1500, shrink: float = 0.02) -> tuple[np.ndarray, np.ndarray]:
     """(weights, ascending thresholds) of the cumulative-link model, by gradient steps with adapted rates.
 
@@ -135,7 +149,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = float(toxic + clean)
     statistic = part(t, toxic * (t + c) / rows) + part(c, clean * (t + c) / rows) + part(toxic - t, toxic * (rows - t - c) / rows) + part(clean - c, clean * (rows - t - c) / rows)
     ranked = counts.filter(t * clean > c * toxic).withColumn("statistic", statistic)
-    names = [r["feature"] for r in ranked.filter(F.col("statistic") >= LEAST_STATISTIC).orderBy(F.desc("statistic"), "feature").limit(FEATURES).select("feature").collect()]
+    best = ranked.filter(F.col("statistic") >= LEAST_STATISTIC).orderBy(F.desc("statistic"), "feature").limit(FEATURES)
+    names = distinct_features([tuple(r) for r in best.select("feature", "t", "c").collect()])
     if not names:
         return None
     places = {name: at for at, name in enumerate(names)}
