@@ -78,23 +78,29 @@ def extract_articles(pages: DataFrame, config: ExtractConfig, *, key: str = "pag
     """(key, title, author, published_at, lang, content_text, content_html, attachments, error).
 
     Input: key, url, html and optionally title_hint, published_hint, last_modified. Selectors come
-    first. Without a content selector the main region is the first article, main or body element,
-    read without navigation, header, footer and side elements. A rejected page keeps its row with
-    `error` set.
+    first. Without a content selector, or where it finds nothing, the main region is the first
+    article, main or body element, read without navigation, header, footer and side elements. Links
+    named as attachments are sought in the selected region, or in the body without a selector. A
+    rejected page keeps its row with `error` set.
     """
     nodes = F.col("_nodes")
     chosen = config.selectors.get("content")
-    boilerplate = [*config.strip_selectors] if chosen else [*config.strip_selectors, "nav", "header", "footer", "aside", "form"]
-    strip = ", ".join([*boilerplate, "script", "style", "template"])
-    region = H.first(nodes, chosen) if chosen else F.coalesce(H.first(nodes, "article"), H.first(nodes, "main"), H.first(nodes, "body"), F.get(nodes, 0))
-    # An explicit content region must exist for attachments, the fallback region always does.
-    parsed = pages.withColumn("_nodes", H.dom("html")).withColumn("_content", region).withColumn("_strip", H.select(nodes, strip))
+    unread = ", ".join([*config.strip_selectors, "script", "style", "template"])
+    main = F.coalesce(H.first(nodes, "article"), H.first(nodes, "main"), H.first(nodes, "body"), F.get(nodes, 0))
+    selected = H.first(nodes, chosen) if chosen else F.get(nodes, F.lit(-1))
+    parsed = pages.withColumn("_nodes", H.dom("html")).withColumn("_selected", selected)
+    parsed = parsed.withColumn("_content", F.col("_selected") if chosen else H.first(nodes, "body"))
     if config.attachments:
         parsed = _with_attachments(parsed, config.attachments)
     else:
         empty = "array<struct<source_url:string,filename:string,link_text:string,is_body:boolean>>"
         parsed = parsed.withColumn("attachments", F.array().cast(empty))
 
+    missed = F.col("_selected").isNull()
+    aside = H.select(nodes, f"{unread}, nav, header, footer, aside, form")
+    parsed = parsed.withColumn("_content", F.coalesce(F.col("_selected"), main))
+    parsed = parsed.withColumn("_strip", F.when(missed, aside).otherwise(H.select(nodes, unread)))
+
     def hint(name: str, kind: str) -> Column:
         return F.col(name) if name in pages.columns else F.lit(None).cast(kind)
 
@@ -109,7 +115,7 @@ def extract_articles(pages: DataFrame, config: ExtractConfig, *, key: str = "pag
     def chosen_value(name: str) -> Column:
         return H.value_of(nodes, None, config.selectors[name]) if name in config.selectors else F.lit(None).cast("string")
 
-    fallback_title = F.lit(None).cast("string") if chosen else F.coalesce(H.value_of(nodes, None, "h1"), H.value_of(nodes, None, "title"))
+    fallback_title = F.when(missed, F.coalesce(H.value_of(nodes, None, "h1"), H.value_of(nodes, None, "title")))
     published = chosen_value("published_at")
     if regex := config.selectors.get("published_at_regex"):
         page_text = H.text_of(nodes, F.get(nodes, 0))
@@ -137,7 +143,7 @@ def finish_articles(extracted: DataFrame, config: ExtractConfig, key: str) -> Da
     links = F.array_join(
         F.transform(
             "attachments",
-            lambda a: F.concat(F.lit('<li><a href="'), a["source_url"], F.lit('">'), F.coalesce(a["filename"], F.lit(ATTACHMENT_NAME)), F.lit("</a></li>")),
+            lambda a: F.concat(F.lit('<li><a href="'), H.escaped(a["source_url"]), F.lit('">'), H.escaped(F.coalesce(a["filename"], F.lit(ATTACHMENT_NAME))), F.lit("</a></li>")),
         ),
         "",
     )

@@ -128,6 +128,7 @@ SELECT event_id AS id, user_id AS subscription_id, event_id % 997 AS article_id,
     WHEN event_type = 'error' THEN 'NotifyTransient: not confirmed' END AS last_error,
   {at} AS created_at,
   CASE WHEN event_type = 'purchase' THEN {at} END AS sent_at,
+  CASE WHEN event_id % 4 = 0 THEN concat('lease-', CAST(user_id AS STRING)) END AS claim_token,
   CASE WHEN event_id % 4 = 0 THEN {lease} END AS claim_until
 FROM events"""
 

@@ -86,8 +86,11 @@ SENDING = cte("notify_targets") + """
 isl AS (SELECT a.*, t.consecutive_failures AS initial, t.enabled, count(*) FILTER (ok) OVER (PARTITION BY target_id ORDER BY ts, delivery_id) AS island FROM att a JOIN notify_targets t ON t.id = a.target_id),
 cnt AS (SELECT *, CASE WHEN ok THEN 0 ELSE count(*) FILTER (NOT ok) OVER (PARTITION BY target_id, island ORDER BY ts, delivery_id) + CASE WHEN island = 0 THEN initial ELSE 0 END END AS failures FROM isl),
 trip AS (SELECT target_id, arg_min(delivery_id, (ts, delivery_id)) AS trip_id, min((ts, delivery_id)) AS trip_at FROM cnt WHERE NOT ok AND failures >= 4 GROUP BY target_id),
-mark AS (SELECT c.*, CASE WHEN ok THEN 0 ELSE failures - 1 END AS target_failures, coalesce((c.ts, c.delivery_id) > t.trip_at, false) OR NOT c.enabled AS rejected, coalesce(c.delivery_id = t.trip_id, false) AS disables_target
-  FROM cnt c LEFT JOIN trip t ON t.target_id = c.target_id)"""
+judged AS (SELECT c.* EXCLUDE (failures, island), coalesce((c.ts, c.delivery_id) > t.trip_at, false) OR NOT c.enabled AS rejected, coalesce(c.delivery_id = t.trip_id, false) AS disables_target
+  FROM cnt c LEFT JOIN trip t ON t.target_id = c.target_id),
+runs AS (SELECT *, count(*) FILTER (ok AND NOT rejected) OVER (PARTITION BY target_id ORDER BY ts, delivery_id) AS island FROM judged),
+mark AS (SELECT *, CASE WHEN ok AND NOT rejected THEN 0 ELSE count(*) FILTER (NOT ok OR rejected) OVER (PARTITION BY target_id, island ORDER BY ts, delivery_id)
+  + CASE WHEN island = 0 THEN initial ELSE 0 END - 1 END AS target_failures FROM runs)"""
 
 
 @query("stm7_target_counters", SENDING + "SELECT delivery_id, CAST(target_failures AS INT) AS target_failures, rejected, disables_target FROM mark")
@@ -114,22 +117,34 @@ def delivery_outcomes(spark, d):
 
 @query("stm8_promotion", cte("deliveries") + """
 , lost AS (SELECT DISTINCT subscription_id, target_id, 'duplicate_of:' || CAST((article_id * 7) % 997 AS STRING) AS reason FROM deliveries WHERE status = 'skipped' AND attempts >= 3)
-SELECT id, 'pending' AS status FROM (SELECT d.id, row_number() OVER (PARTITION BY d.subscription_id, d.target_id, d.last_error ORDER BY d.created_at DESC, d.id DESC) AS rk
+SELECT id, 'pending' AS status, CAST(NULL AS VARCHAR) AS last_error FROM (SELECT d.id, row_number() OVER (PARTITION BY d.subscription_id, d.target_id, d.last_error ORDER BY d.created_at DESC, d.id DESC) AS rk
  FROM deliveries d JOIN lost l ON l.subscription_id = d.subscription_id AND l.target_id = d.target_id AND l.reason = d.last_error WHERE d.status = 'skipped') x WHERE rk = 1""")
 def promotion(spark, d):
     rows = table(spark, d, "deliveries")
     exhausted = rows.where("status = 'skipped' AND attempts >= 3").select("subscription_id", "target_id", (F.col("article_id") * 7 % 997).alias("article_id"))
-    return V.promote_skipped(exhausted, rows, now()).select("id", "status")
+    return V.promote_skipped(exhausted, rows, now()).select("id", "status", "last_error")
 
 
 @query("stm5_delivery_lease", cte("deliveries") + f"""
 , d AS (SELECT *, status = 'pending' AND (next_attempt_at IS NULL OR next_attempt_at <= {AT}) AND (claim_until IS NULL OR claim_until <= {AT}) AS due FROM deliveries)
-SELECT id, CASE WHEN due THEN 't-' || CAST(id AS STRING) END AS claim_token, CASE WHEN due THEN {NOW} + 3600 ELSE CAST(floor(epoch(claim_until)) AS BIGINT) END AS lease_second FROM d""")
+SELECT id, CASE WHEN due THEN 't-' || CAST(id AS STRING) ELSE claim_token END AS claim_token, CASE WHEN due THEN {NOW} + 3600 ELSE CAST(floor(epoch(claim_until)) AS BIGINT) END AS lease_second FROM d""")
 def lease(spark, d):
     token = F.concat(F.lit("t-"), F.col("id").cast("string"))
     return V.claim(table(spark, d, "deliveries"), now(), token).select("id", "claim_token", F.unix_timestamp("claim_until").alias("lease_second"))
 
 
+@query("stm6_lease_checked", cte("deliveries") + """
+SELECT id AS delivery_id, 'sent' AS status, CAST(NULL AS VARCHAR) AS claim_token FROM deliveries
+WHERE status = 'pending' AND claim_token IS NOT NULL AND id % 3 <> 0""")
+def lease_checked(spark, d):
+    """A third of the senders report under a token that isn't the delivery's any more."""
+    rows = table(spark, d, "deliveries")
+    token = F.when(F.col("id") % 3 == 0, F.lit("other")).otherwise(F.concat(F.lit("lease-"), F.col("subscription_id").cast("string")))
+    tried = rows.select(F.col("id").alias("delivery_id"), token.alias("token"), "attempts", F.lit(True).alias("ok"), F.lit(None).cast("string").alias("error"), F.lit(None).cast("double").alias("retry_after"), F.lit(False).alias("rejected"), F.lit(False).alias("disables_target"))
+    done = V.record_outcomes(V.still_held(tried, rows), at=now(), max_attempts=4, base_sec=30)
+    return done.select("delivery_id", "status", "claim_token")
+
+
 @query("stm2_article_state", """
 SELECT event_id % 300 AS article_id, arg_max(event_type, (ts, event_id)) AS status, count(*) AS n_transitions FROM events GROUP BY 1""")
 def article_state(spark, d):
