@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import re
+from collections import defaultdict
+from dataclasses import dataclass
+from itertools import islice
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.vectors import clip01, dot, l2_normalize
+from ..functions.vectors import clip01, dot
 
 
 def top_articles_per_tag(article_tags: DataFrame, score: str, *, k: int = 20) -> DataFrame:
@@ -14,25 +21,59 @@ def top_articles_per_tag(article_tags: DataFrame, score: str, *, k: int = 20) ->
     return article_tags.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= k).drop("_rank")
 
 
-# A frozen tag set is small by its freeze rule; the broadcast below refuses anything larger.
-MAX_TAGS = 10_000
+# Centroids of one matrix product; a tag set of any size is met block by block.
+CENTROID_BLOCK = 1024
+
+
+def _unit_rows(rows: list) -> np.ndarray:
+    """Unit rows of equally long vectors; a zero vector stays zero."""
+    matrix = np.array(rows, dtype=np.float64)
+    return matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-12)
+
+
+def _best_of_block(vectors: DataFrame, block: list, k: int | None) -> DataFrame:
+    """(article_id, slug, threshold, score) against the centroids of one block: the k best that reach their threshold, or all."""
+    by_size: dict[int, list] = defaultdict(list)
+    for row in block:
+        by_size[len(row["centroid"])].append(row)
+    matrices = {n: (_unit_rows([r["centroid"] for r in rows]), np.array([r["threshold"] for r in rows]), [r["slug"] for r in rows]) for n, rows in by_size.items()}
+    schema = f"article_id {vectors.schema['article_id'].dataType.simpleString()}, slug string, threshold double, score double"
 
+    def run(batches):
+        for batch in batches:
+            parts = []
+            for size, group in batch.groupby(batch["vector"].map(len)):
+                if size not in matrices:
+                    continue
+                tags, floors, slugs = matrices[size]
+                scores = _unit_rows(group["vector"].tolist()) @ tags.T
+                kept = np.ones_like(scores, dtype=bool) if k is None else scores >= floors
+                if k is not None and k < len(slugs):
+                    # Ties at the last place stay; the exact order is made over all blocks.
+                    last = np.partition(np.where(kept, scores, -np.inf), -k, axis=1)[:, -k][:, None]
+                    kept &= scores >= last
+                rows, tag = np.nonzero(kept)
+                parts.append(pd.DataFrame({"article_id": group["article_id"].to_numpy()[rows], "slug": np.array(slugs, dtype=object)[tag], "threshold": floors[tag], "score": scores[rows, tag]}))
+            if parts:
+                yield pd.concat(parts)
 
-def cosine_scores(vectors: DataFrame, centroids: DataFrame) -> DataFrame:
-    """Score of every article vector against every centroid of equal dimension.
+    return vectors.select("article_id", "vector").where("vector IS NOT NULL").mapInPandas(run, schema)
 
-    Input: article_id, vector / slug, threshold, centroid. The frozen tag set is one array carried
-    by broadcast, so the article rows are neither shuffled nor multiplied before the threshold.
+
+def cosine_scores(vectors: DataFrame, centroids: DataFrame, *, k: int | None = None, block_rows: int = CENTROID_BLOCK) -> DataFrame:
+    """(article_id, slug, threshold, score) of article vectors and centroids of equal dimension.
+
+    Input: article_id, vector / slug, threshold, centroid. Articles stay where they are; the centroids come in blocks
+    of at most block_rows, each a matrix product per batch. With k, only scores that reach the tag's threshold and are
+    among the k best of the block (with ties) leave the batch.
     """
-    unit = centroids.select("slug", "threshold", l2_normalize(F.col("centroid")).alias("centroid"))
-    bounded = F.assert_true(F.count(F.lit(1)) <= MAX_TAGS, F.lit("tag set exceeds its bound")).isNull()
-    tags = unit.agg(F.collect_list(F.struct("slug", "threshold", "centroid")).alias("tags"), bounded.alias("_ok")).where("_ok").drop("_ok")
-    own = l2_normalize(F.col("vector"))
-    scored = F.transform(
-        F.filter("tags", lambda t: F.size(t["centroid"]) == F.size("vector")),
-        lambda t: F.struct(t["slug"].alias("slug"), t["threshold"].alias("threshold"), dot(F.col("_unit"), t["centroid"]).alias("score")),
-    )
-    return vectors.withColumn("_unit", own).join(F.broadcast(tags)).withColumn("scored", scored).drop("tags", "_unit")
+    usable = centroids.where("centroid IS NOT NULL").select("slug", "threshold", "centroid").orderBy("slug")
+    found, block = None, []
+    rows = usable.toLocalIterator()
+    while block := list(islice(rows, block_rows)):
+        scored = _best_of_block(vectors, block, k)
+        found = scored if found is None else found.unionAll(scored)
+    return _best_of_block(vectors, [], k) if found is None else found
 
 
 def local_tags(vectors: DataFrame, centroids: DataFrame, *, k: int = 5) -> DataFrame:
@@ -40,17 +81,11 @@ def local_tags(vectors: DataFrame, centroids: DataFrame, *, k: int = 5) -> DataF
 
     An incomplete tag set (any centroid missing, or none at all) yields no tags.
     """
-    usable = centroids.where("centroid IS NOT NULL")
-    complete = centroids.agg((F.count(F.lit(1)) == F.count("centroid")).alias("_complete"))
-    scored = cosine_scores(vectors, usable)
-    kept = F.filter("scored", lambda t: t["score"] >= t["threshold"])
-    ranked = F.sort_array(F.transform(kept, lambda t: F.struct(clip01(t["score"]).alias("score"), t["slug"])), asc=False)
-    return (
-        scored.join(F.broadcast(complete))
-        .where("_complete")
-        .select("article_id", F.posexplode(F.slice(ranked, 1, k)).alias("rank", "tag"))
-        .select("article_id", (F.col("rank") + 1).alias("rank"), F.col("tag.slug").alias("slug"), F.col("tag.score").alias("confidence"))
-    )
+    incomplete = centroids.where("centroid IS NULL").limit(1).count() > 0
+    kept = cosine_scores(vectors, centroids.limit(0) if incomplete else centroids, k=k)
+    clipped = kept.withColumn("confidence", clip01(F.col("score")))
+    order = Window.partitionBy("article_id").orderBy(F.col("confidence").desc(), F.col("slug").desc())
+    return clipped.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("article_id", "rank", "slug", "confidence")
 
 
 # ---- model responses ----------------------------------------------------------------------------
@@ -68,16 +103,12 @@ def lenient_json(text: Column) -> Column:
 
 
 def parse_tag_responses(responses: DataFrame, tagsets: DataFrame, *, k: int, min_confidence: float = 0.0) -> DataFrame:
-    """(article_id, valid, tags) of model answers (article_id, group_id, response).
+    """(article_id, group_id, valid, tags) of model answers (article_id, group_id, response), one per article.
 
     One malformed entry invalidates the answer. Unknown slugs and confidences below the tag's or the
     global floor drop out; a repeated slug keeps its maximum at its first accepted place. The k best
     follow by confidence, ties in order of acceptance. Tagsets: group_id, slug, threshold.
     """
-    # A frozen tag set is bounded by its freeze rule, so its thresholds travel as one map per group.
-    floors = tagsets.groupBy("group_id").agg(F.map_from_entries(F.collect_list(F.struct("slug", "threshold"))).alias("_floors"))
-    parsed = responses.join(floors, "group_id", "left").withColumn("_json", lenient_json(F.col("response")))
-    parsed = parsed.withColumn("_raw", F.try_variant_get("_json", "$.tags", "array<variant>"))
 
     def kind(v: Column, path: str) -> Column:
         return F.coalesce(F.schema_of_variant(F.try_variant_get(v, path, "variant")), F.lit("VOID"))
@@ -89,23 +120,25 @@ def parse_tag_responses(responses: DataFrame, tagsets: DataFrame, *, k: int, min
             F.when(number, F.try_variant_get(v, "$.confidence", "double")).alias("confidence"),
         )
 
-    parsed = parsed.withColumn("_entries", F.transform("_raw", entry))
+    answer = responses.withColumn("_json", lenient_json(F.col("response")))
+    answer = answer.withColumn("_entries", F.transform(F.try_variant_get("_json", "$.tags", "array<variant>"), entry))
     sound = F.forall("_entries", lambda e: e["slug"].isNotNull() & F.coalesce(e["confidence"].between(0, 1), F.lit(False)))
-    floor = lambda e: F.greatest(F.lit(float(min_confidence)), F.try_element_at("_floors", e["slug"]))
-    accepted = F.filter(
-        "_entries", lambda e: F.map_contains_key("_floors", e["slug"]) & (e["confidence"] >= floor(e))
+    # Entries become rows that meet their tag by key, so no tag set travels with an article. The first row of an
+    # article carries its verdict, also where it names nothing.
+    entries = answer.select("article_id", "group_id", F.coalesce(sound, F.lit(False)).alias("valid"), F.posexplode_outer("_entries").alias("at", "e"))
+    entries = entries.select("article_id", "group_id", "valid", "at", "e.slug", "e.confidence")
+    floors = tagsets.select("group_id", "slug", F.greatest("threshold", F.lit(float(min_confidence))).alias("_floor"))
+    met = entries.join(floors, ["group_id", "slug"], "left")
+    accepted = F.coalesce(F.col("valid") & (F.col("confidence") >= F.col("_floor")), F.lit(False))
+    per_slug = met.groupBy("article_id", "group_id", "slug").agg(
+        F.any_value("valid").alias("valid"), F.max(F.when(accepted, F.col("confidence"))).alias("confidence"), F.min(F.when(accepted, F.col("at"))).alias("at")
     )
-    checked = parsed.withColumn("valid", F.coalesce(sound, F.lit(False))).withColumn("_accepted", accepted)
-    slugs = F.array_distinct(F.transform("_accepted", lambda e: e["slug"]))
-    best = F.transform(
-        slugs,
-        lambda s, i: F.struct(
-            (-F.array_max(F.transform(F.filter("_accepted", lambda e: e["slug"] == s), lambda e: e["confidence"]))).alias("neg"), i.alias("i"), s.alias("slug")
-        ),
-    )
-    top = F.transform(F.slice(F.array_sort(best), 1, k), lambda b: F.struct(b["slug"].alias("slug"), (-b["neg"]).alias("confidence")))
-    nothing = F.array().cast("array<struct<slug:string,confidence:double>>")
-    return checked.select("article_id", "group_id", "valid", F.when(F.col("valid"), F.coalesce(top, nothing)).otherwise(nothing).alias("tags"))
+    order = Window.partitionBy("article_id", "group_id").orderBy(F.col("confidence").desc_nulls_last(), "at")
+    best = per_slug.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= max(k, 1))
+    chosen = F.when(F.col("confidence").isNotNull() & (F.col("_rank") <= k), F.struct("_rank", "slug", "confidence"))
+    # At most k entries per article.
+    tags = F.transform(F.array_sort(F.collect_list(chosen)), lambda t: F.struct(t["slug"].alias("slug"), t["confidence"].alias("confidence")))
+    return best.groupBy("article_id", "group_id").agg(F.any_value("valid").alias("valid"), tags.alias("tags"))
 
 
 def replace_tags(
@@ -151,26 +184,38 @@ def summary_candidates(articles: DataFrame, *, enabled: bool, on_demand: bool =
 
 # ---- prompts ---------------------------------------------------------------------------------
 
-SYSTEM_PROMPT = (
-    "你是文章分类器。只能从给定标签列表中选择，不得创造新标签。"
-    '输出 JSON: {"tags":[{"slug":"...","confidence":0.0}]}。'
-    '若均不符合，输出 {"tags":[]}。'
-)
-CORRECTION = "\n上一次输出不符合格式。只输出一个 JSON 对象，不要 Markdown 或解释。"
+@dataclass(frozen=True)
+class PromptTemplate:
+    """Wording of the classification request; `{title}` and `{body}` are filled per article."""
+
+    system: str = 'You sort articles. Use only the labels that you are given. Reply with JSON: {"tags": [{"slug": "...", "confidence": 0.0}]}, or {"tags": []} if none fits.'
+    correction: str = "\nYour last reply could not be read. Reply with the JSON object alone."
+    label: str = "* {slug} ({name}): {description}"
+    article: str = "Title: {title}\n\n{body}"
+
+
+def _filled(template: str, **values: Column) -> Column:
+    """The template with columns for its names."""
+    parts = re.split(r"\{(\w+)\}", template)
+    return F.concat(*(F.coalesce(values[part], F.lit("")) if n % 2 else F.lit(part) for n, part in enumerate(parts)))
+
 
+def label_lines(tagsets: DataFrame, template: PromptTemplate = PromptTemplate()) -> DataFrame:
+    """(group_id, id, line): the label list of a group in tag order, one row per label.
 
-def tag_prompts(articles: DataFrame, tagsets: DataFrame, *, max_chars: int, correction: bool = False) -> DataFrame:
-    """(article_id, system, user) prompt texts; labels are listed in tag order."""
+    The caller of a model reads a group's lines once, in front of all its articles.
+    """
+    line = _filled(template.label, slug=F.col("slug"), name=F.col("name"), description=F.col("description"))
+    return tagsets.select("group_id", "id", line.alias("line"))
+
+
+def tag_prompts(articles: DataFrame, *, max_chars: int, correction: bool = False, template: PromptTemplate = PromptTemplate()) -> DataFrame:
+    """(article_id, group_id, system, user): the part of the request that belongs to the article."""
     from ..functions.text import head_tail
 
-    label = F.concat(F.lit("- slug: "), "slug", F.lit("\n  名称: "), "name", F.lit("\n  判定: "), "description")
-    listed = tagsets.groupBy("group_id").agg(F.array_sort(F.collect_list(F.struct("id", label.alias("l")))).alias("_l"))
-    labels = listed.select("group_id", F.array_join(F.transform("_l", lambda x: x["l"]), "\n").alias("labels"))
-    user = F.concat(
-        F.lit("可用标签：\n"), "labels", F.lit("\n\n文章标题："), "title", F.lit("\n文章正文：\n"), head_tail(F.col("content_text"), max_chars)
-    )
-    system = F.lit(SYSTEM_PROMPT + (CORRECTION if correction else ""))
-    return articles.join(labels, "group_id").select(F.col("id").alias("article_id"), system.alias("system"), user.alias("user"))
+    system = F.lit(template.system + (template.correction if correction else ""))
+    user = _filled(template.article, title=F.col("title"), body=head_tail(F.col("content_text"), max_chars))
+    return articles.select(F.col("id").alias("article_id"), "group_id", system.alias("system"), user.alias("user"))
 
 
 # ---- centroids ---------------------------------------------------------------------------------

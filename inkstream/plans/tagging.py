@@ -122,13 +122,17 @@ def normalize(spark, d):
     return rows.select("vec_id", "dim", (F.round("x", 6) + F.lit(0.0)).alias("x"))
 
 
-@query("mdl2_tag_prompts", cte("articles", "tags") + """
-, labels AS (SELECT group_id, string_agg('- slug: ' || slug || chr(10) || '  名称: ' || name || chr(10) || '  判定: ' || description, chr(10) ORDER BY id) AS labels FROM tags GROUP BY group_id)
-SELECT a.id AS article_id, md5('可用标签：' || chr(10) || labels || chr(10) || chr(10) || '文章标题：' || title || chr(10) || '文章正文：' || chr(10) ||
-  CASE WHEN length(content_text) <= 500 THEN content_text ELSE substr(content_text, 1, 300) || right(content_text, 200) END) AS prompt_md5 FROM articles a JOIN labels USING (group_id)""")
+@query("mdl2_tag_prompts", cte("articles") + """
+SELECT id AS article_id, group_id, md5('Title: ' || title || chr(10) || chr(10) ||
+  CASE WHEN length(content_text) <= 500 THEN content_text ELSE substr(content_text, 1, 300) || right(content_text, 200) END) AS prompt_md5 FROM articles""")
 def tag_prompts(spark, d):
-    prompts = T.tag_prompts(table(spark, d, "articles"), table(spark, d, "tags"), max_chars=500)
-    return prompts.select("article_id", F.md5("user").alias("prompt_md5"))
+    prompts = T.tag_prompts(table(spark, d, "articles"), max_chars=500)
+    return prompts.select("article_id", "group_id", F.md5("user").alias("prompt_md5"))
+
+
+@query("mdl2_label_lines", cte("tags") + "SELECT group_id, id, '* ' || slug || ' (' || name || '): ' || description AS line FROM tags")
+def label_lines(spark, d):
+    return T.label_lines(table(spark, d, "tags"))
 
 
 @query("mdl5_summary_candidates", cte("articles") + """
@@ -145,32 +149,3 @@ def http_errors(spark, d):
     detail = F.when(F.col("event_type") == "click", F.lit("Billing hard limit")).otherwise(F.col("event_type"))
     rows = read(spark, d, "events")
     return rows.select("event_id", http_error_class(status, detail, F.col("event_id") % 100).alias("error_class"))
-
-
-FALLBACK = """
-WITH k AS (SELECT doc_id, doc_id % 6 AS k FROM documents)
-SELECT doc_id AS article_id, CASE k WHEN 0 THEN 'a:m1' WHEN 1 THEN 'a:m2' WHEN 2 THEN 'b:m1' WHEN 3 THEN 'a:m1' WHEN 4 THEN 'a:m1' ELSE NULL END AS backend,
- CASE k WHEN 3 THEN 'corrected' WHEN 5 THEN NULL ELSE 'ok' END AS response FROM k"""
-
-
-@query("stm4_mdl1_provider_fallback", FALLBACK)
-def provider_fallback(spark, d):
-    """Scripted provider behaviour per article; the breaker threshold is out of reach here."""
-    from ..operators import models as P
-
-    def call(provider, model, row, correction):
-        k, where = row["article_id"] % 6, f"{provider}:{model}"
-        if k == 1 and where == "a:m1" or k == 5:
-            raise P.FatalError("bad request")
-        if k == 2 and provider == "a":
-            raise P.TransientError("busy")
-        if k == 3 and not correction:
-            raise P.InvalidOutput("not JSON")
-        if k == 4 and not row.setdefault("tried", 0):
-            row["tried"] = 1
-            raise P.TransientError("once", retry_after=0)
-        return "corrected" if correction else "ok"
-
-    articles = read_spread(spark, d, "documents", "doc_id").withColumnRenamed("doc_id", "article_id")
-    providers = [P.Provider("a", ("m1", "m2")), P.Provider("b", ("m1",))]
-    return P.answer_with_fallback(articles, providers, call, threshold=1_000_000, base_sec=0)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -29,15 +32,25 @@ def build_session(app: str = "inkstream", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
+_own_dir: str | None = None
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """Folder all executors see. A temporary folder is used only where the session names none."""
+    """Folder all executors see: spark.checkpoint.dir of the session.
+
+    Only a session on one machine (master local or local[n]) may name none; it gets a temporary folder that is removed
+    at its end. On a cluster the setting is required.
+    """
+    global _own_dir
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    known = getattr(spark, "_inkstream_shared_dir", None)
-    if known is None:
-        known = spark._inkstream_shared_dir = tempfile.mkdtemp(prefix="inkstream-")
-    return known
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if _own_dir is None:
+        _own_dir = tempfile.mkdtemp(prefix="inkstream-")
+        atexit.register(shutil.rmtree, _own_dir, ignore_errors=True)
+    return _own_dir
 
 
 def new_shared_path(spark: SparkSession, name: str) -> str:

@@ -2,55 +2,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from inkstream.operators import bootstrap as B
-from inkstream.operators import models as P
 from inkstream.operators import tagging as G
 from inkstream.sources.files import promote
 
 
-def answers(spark, call, n=1, **options):
-    rows = spark.createDataFrame([(i,) for i in range(n)], "id bigint").coalesce(1)
-    providers = [P.Provider("a", ("m1", "m2")), P.Provider("b", ("m1",))]
-    return [(r.backend, r.response) for r in P.answer_with_fallback(rows, providers, call, **options).orderBy("id").collect()]
-
-
-def test_quota_skips_the_provider(spark):
-    def call(provider, model, row, correction):
-        if provider == "a":
-            raise P.QuotaError()
-        return model
-
-    assert answers(spark, call) == [("b:m1", "m1")]
-
-
-def test_fatal_goes_to_the_next_model(spark):
-    def call(provider, model, row, correction):
-        if model == "m1" and provider == "a":
-            raise P.FatalError()
-        return "ok"
-
-    assert answers(spark, call) == [("a:m2", "ok")]
-
-
-def test_breaker_trips_for_following_articles(spark):
-    def call(provider, model, row, correction):
-        if provider == "a" and row["id"] == 0:
-            raise P.TransientError()
-        return "ok"
-
-    # Three failures trip provider a, so later articles go straight to b.
-    assert answers(spark, call, n=3, threshold=3, retries=5, base_sec=0) == [("b:m1", "ok")] * 3
-
-
-def test_nothing_answers(spark):
-    def call(provider, model, row, correction):
-        if provider == "local":
-            return "fallback"
-        raise P.InvalidOutput()
-
-    assert answers(spark, call) == [(None, None)]
-    assert answers(spark, call, local=call) == [("local", "fallback")]
-
-
 def test_tag_response_ties_keep_acceptance_order(spark):
     text = '```json\n{"tags":[{"slug":"exam","confidence":0.8},{"slug":"invented","confidence":0.9},{"slug":"course","confidence":0.8},{"slug":"low","confidence":0.2}]}\n```'
     rows = spark.createDataFrame([(1, 1, text)], "article_id bigint, group_id int, response string")
