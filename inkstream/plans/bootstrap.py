@@ -82,10 +82,14 @@ def curation(spark, d):
 
 
 @query("bst4_report", MERGED + """
- SELECT slug, '### `' || slug || '` — ' || name || chr(10) || chr(10) || '- Coverage: ' || CAST(coverage AS STRING) || chr(10) || '- Description: ' || description AS head FROM merged""")
+, words AS (SELECT root_slug AS slug, w, min((position, k)) AS seen FROM (SELECT r.root_slug, r.position, unnest([p.p_brand, p.p_type]) AS w, unnest([1, 2]) AS k FROM rows r JOIN part p ON p.p_partkey = r.position) q GROUP BY 1, 2),
+heads AS (SELECT root_slug AS slug, t, min(position) AS seen FROM (SELECT r.root_slug, r.position, p.p_name AS t FROM rows r JOIN part p ON p.p_partkey = r.position) q GROUP BY 1, 2),
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY seen) AS rk FROM heads) x WHERE rk <= 3)
+ SELECT m.slug, '### `' || m.slug || '` — ' || name || chr(10) || chr(10) || '- Coverage: ' || CAST(coverage AS STRING) || chr(10) || '- Description: ' || description
+  || chr(10) || '- Keywords: ' || (SELECT string_agg(w, ', ' ORDER BY seen) FROM words g WHERE g.slug = m.slug)
+  || chr(10) || '- Representatives: ' || (SELECT string_agg(t, ', ' ORDER BY seen) FROM top h WHERE h.slug = m.slug) || chr(10) AS section FROM merged m""")
 def report(spark, d):
-    lines = B.report_lines(B.merge_candidates(candidates(spark, d)))
-    return lines.select("slug", F.substring_index("section", "\n- Keywords", 1).alias("head"))
+    return B.report_lines(B.merge_candidates(candidates(spark, d))).select("slug", "section")
 
 
 @query("agg19_stm13_stable_ids", cte("tags") + """
@@ -121,7 +125,7 @@ def tagset_documents(spark, d):
     digest = F.concat(F.lit("sha256:"), F.sha2("canonical", 256))
     shown = F.when(F.col("p_partkey") % 6 == 1, F.lit("sha256:0")).otherwise(digest)
     # Key order and blanks differ from the canonical form on purpose.
-    spaced = F.concat(F.lit('{ "checksum" : "'), shown, F.lit('", '), F.substring("canonical", 2, 100_000))
+    spaced = F.concat(F.lit('{ "checksum" : "'), shown, F.lit('", '), F.expr("substring(canonical, 2)"))
     return rows.withColumn("document", F.when(F.col("p_partkey") % 6 == 2, F.lit("[broken")).otherwise(spaced)).withColumn("expected", digest)
 
 
@@ -142,5 +146,6 @@ def verify(spark, d):
 @query("bst2_cluster_vectors")
 def cluster(spark, d):
     """Clusters for naming; the number of clusters follows the labels of the table."""
-    vectors = read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    return B.cluster_vectors(vectors, k=10)
+    rows = read(spark, d, "embeddings")
+    vectors = rows.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return B.cluster_vectors(vectors, k=rows.agg(F.countDistinct("label")).first()[0])

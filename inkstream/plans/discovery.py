@@ -111,15 +111,20 @@ def document_kind(spark, d):
     return D.xml_kind(read(spark, d, "pages").select("page_id", body.alias("xml"))).select("page_id", "feed_kind", "sitemap_kind")
 
 
+# Pages of one root, below the visit limit of a site with its two indexes.
+ROOT_PAGES = 90
+
+
 @query("src4_sitemap_walk", f"""
-WITH leaf AS (SELECT page_id, url AS loc, regexp_extract(url, '^https?://[^/]+/([a-z]+)/', 1) AS section, page_id % 30 AS age FROM pages)
-SELECT section AS site, loc AS url, CASE WHEN min(page_id) % 7 = 0 THEN NULL ELSE strftime(make_timestamp(CAST({EPOCH} + (min(page_id) % 30) * 86400 AS BIGINT) * 1000000), '%Y-%m-%dT%H:%M:%S+00:00') END AS published_at
-FROM (SELECT *, row_number() OVER (PARTITION BY section ORDER BY page_id) AS rk FROM leaf) x
-WHERE rk <= 98 AND (page_id % 7 = 0 OR age >= 10) GROUP BY section, loc""")
+WITH leaf AS (SELECT page_id, url AS loc, regexp_extract(url, '^https?://[^/]+/([a-z]+)/', 1) || '-' || CAST(page_id // {ROOT_PAGES} AS STRING) AS site, page_id % 30 AS age FROM pages)
+SELECT site, loc AS url, CASE WHEN min(page_id) % 7 = 0 THEN NULL ELSE strftime(make_timestamp(CAST({EPOCH} + (min(page_id) % 30) * 86400 AS BIGINT) * 1000000), '%Y-%m-%dT%H:%M:%S+00:00') END AS published_at
+FROM leaf WHERE page_id % 7 = 0 OR age >= 10 GROUP BY site, loc""")
 def sitemap_walk(spark, d):
-    """Root index -> section index -> one urlset per page; the visit limit covers both indexes."""
-    pages = read(spark, d, "pages").select("page_id", "url", F.regexp_extract("url", "^https?://[^/]+/([a-z]+)/", 1).alias("section"))
-    leaf_url = F.concat(F.lit("https://maps.example.com/"), "section", F.lit("/"), F.lpad(F.col("page_id").cast("string"), 12, "0"), F.lit(".xml"))
+    """All pages: root index -> index of at most ROOT_PAGES pages -> one urlset per page."""
+    site = F.concat(F.regexp_extract("url", "^https?://[^/]+/([a-z]+)/", 1), F.lit("-"), F.expr(f"CAST(page_id div {ROOT_PAGES} AS STRING)"))
+    pages = read(spark, d, "pages").select("page_id", "url", site.alias("site"))
+    base = F.concat(F.lit("https://maps.example.com/"), "site")
+    leaf_url = F.concat(base, F.lit("/"), F.lpad(F.col("page_id").cast("string"), 12, "0"), F.lit(".xml"))
     day = F.date_format(F.timestamp_seconds(F.expr(PAGE_DAY)), "yyyy-MM-dd")
     lastmod = F.when(F.col("page_id") % 7 == 0, F.lit("")).otherwise(F.concat(F.lit("<lastmod>"), day, F.lit("</lastmod>")))
     leaves = pages.select(
@@ -127,15 +132,11 @@ def sitemap_walk(spark, d):
         F.concat(F.lit("<urlset xmlns='s'><url><loc>"), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("</loc>"), lastmod, F.lit("</url></urlset>")).alias("xml"),
     )
     entry = F.concat(F.lit("<sitemap><loc>"), leaf_url, F.lit("</loc></sitemap>"))
-    middle = pages.groupBy("section").agg(F.array_join(F.array_sort(F.collect_list(entry)), "").alias("_l"))
-    sections = middle.select(
-        F.concat(F.lit("https://maps.example.com/"), "section", F.lit("/index.xml")).alias("url"), F.concat(F.lit("<sitemapindex>"), "_l", F.lit("</sitemapindex>")).alias("xml")
-    )
-    tops = middle.select(
-        F.concat(F.lit("https://maps.example.com/"), "section", F.lit("/root.xml")).alias("url"), F.lit("<sitemapindex><sitemap><loc>index.xml</loc></sitemap></sitemapindex>").alias("xml")
-    )
-    roots = middle.select(F.col("section").alias("site"), F.concat(F.lit("https://maps.example.com/"), "section", F.lit("/root.xml")).alias("url"))
-    items = D.sitemap_walk(roots, leaves.unionByName(sections).unionByName(tops), cutoff=F.timestamp_seconds(F.lit(EPOCH + 10 * 86400)))
+    middle = pages.groupBy("site").agg(F.array_join(F.array_sort(F.collect_list(entry)), "").alias("_l"))
+    indexes = middle.select(F.concat(base, F.lit("/index.xml")).alias("url"), F.concat(F.lit("<sitemapindex>"), "_l", F.lit("</sitemapindex>")).alias("xml"))
+    tops = middle.select(F.concat(base, F.lit("/root.xml")).alias("url"), F.lit("<sitemapindex><sitemap><loc>index.xml</loc></sitemap></sitemapindex>").alias("xml"))
+    roots = middle.select("site", F.concat(base, F.lit("/root.xml")).alias("url"))
+    items = D.sitemap_walk(roots, leaves.unionByName(indexes).unionByName(tops), cutoff=F.timestamp_seconds(F.lit(EPOCH + 10 * 86400)))
     return items.select("site", "url", to_iso(F.col("published_at")).alias("published_at"))
 
 
@@ -176,9 +177,11 @@ EXTRACT = ExtractConfig(
 
 
 @query("htm1_extract_articles", f"""
-SELECT page_id, nullif(trim({UNESCAPE.format("regexp_extract(html, '<h1>([^<]*)</h1>', 1)")}), '') AS title, regexp_extract(html, '<html lang="([a-z]+)', 1) AS lang FROM pages""")
+SELECT page_id, nullif(trim({UNESCAPE.format("regexp_extract(html, '<h1>([^<]*)</h1>', 1)")}), '') AS title, regexp_extract(html, '<html lang="([a-z]+)', 1) AS lang,
+ CAST(NULL AS VARCHAR) AS author, nullif(regexp_extract(regexp_replace(regexp_replace(html, '<(script|style|template)[^>]*>.*?</(script|style|template)>', ' ', 'gs'), '<[^>]*>', ' ', 'g'), '(20\\d{{2}}-\\d{{2}}-\\d{{2}})', 1), '') || 'T00:00:00+00:00' AS published_at FROM pages""")
 def extract(spark, d):
-    return extract_articles(read_spread(spark, d, "pages", "page_id", "url", "html"), EXTRACT).select("page_id", "title", "lang")
+    found = extract_articles(read_spread(spark, d, "pages", "page_id", "url", "html"), EXTRACT)
+    return found.select("page_id", "title", "lang", "author", to_iso(F.col("published_at")).alias("published_at"))
 
 
 @query("htm1_article_text", f"""
@@ -200,7 +203,18 @@ def attachments(spark, d):
     return found.select("page_id", "position", "a.source_url", "a.filename", "a.is_body")
 
 
-@query("htm3_sanitize_html")
+ESCAPED = "replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+
+
+@query("htm3_sanitize_html", f"""
+SELECT doc_id, md5('<div><p>' || t || '</p><a href="https://e.example.com/doc?id=1&amp;copy=2" rel="noopener noreferrer">' || t || '</a><img alt="i">' || t || '</div>') AS clean_md5
+FROM (SELECT doc_id, {ESCAPED.format("text")} AS t FROM documents) x""")
 def sanitize(spark, d):
-    pages = read(spark, d, "pages")
-    return pages.select("page_id", H.sanitize_html("html", "url").alias("clean"))
+    """Whole texts inside allowed, forbidden and unknown elements, with harmful attributes and addresses."""
+    t = H.escaped(F.col("text"))
+    html = F.concat(
+        F.lit('<div class="c"><p onclick="x()">'), t, F.lit('</p><script>alert("'), F.lit('1")</script><![odd[section]]><a href="/doc?id=1&amp;copy=2" target="_blank">'), t,
+        F.lit('</a><img src="javascript:x" alt="i"><blink>'), t, F.lit("</blink></div>"),
+    )
+    rows = read(spark, d, "documents").select("doc_id", html.alias("html"), F.lit("https://e.example.com/a/").alias("base"))
+    return rows.select("doc_id", F.md5(H.sanitize_html("html", "base")).alias("clean_md5"))

@@ -12,6 +12,7 @@ from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import html as H
 from ..functions.dates import parse_flexible, parse_http_date
@@ -160,19 +161,20 @@ def sitemap_entries(sitemaps: DataFrame, *, keep: list[str]) -> DataFrame:
 
 
 def sitemap_walk(
-    roots: DataFrame, sitemaps: DataFrame, *, allow: str | None = None, cutoff: Column | None = None
+    roots: DataFrame, sitemaps: DataFrame, *, allow: str | None = None, cutoff: Column | None = None,
+    max_documents: int = MAX_SITEMAPS, max_depth: int = MAX_INDEX_DEPTH,
 ) -> DataFrame:
     """Items reachable from root sitemaps (site, url) through indexes, over fetched (url, xml).
 
-    Level by level down to the depth limit; per site at most 100 documents are visited, in the order
-    a queue would visit them. Entries without a modification date are always kept.
+    Level by level down to max_depth; per site at most max_documents are visited, in the order a queue
+    would visit them. Entries without a modification date are always kept.
     """
     # Parsed once: every level of the walk reads the entries.
     entries = cut_lineage(sitemap_entries(sitemaps, keep=[]))
     children = entries.where("kind = 'sitemapindex'").select(F.col("url").alias("parent"), F.col("loc").alias("url"), "position")
     level = roots.select("site", "url", F.array(F.lit(0).cast("long")).alias("path"))
     visits = level
-    for _ in range(MAX_INDEX_DEPTH):
+    for _ in range(max_depth):
         level = level.join(children.withColumnRenamed("url", "_child"), F.col("url") == F.col("parent")).select(
             "site", F.col("_child").alias("url"), F.concat("path", F.array(F.col("position").cast("long"))).alias("path")
         )
@@ -180,10 +182,8 @@ def sitemap_walk(
     # Queue order is by depth, then by the positions on the way down.
     order = F.struct(F.size("path").alias("depth"), "path")
     once = visits.groupBy("site", "url").agg(F.min(order).alias("_order"))
-    listed = once.groupBy("site").agg(F.array_sort(F.collect_list(F.struct("_order", "url"))).alias("_all"))
-    visited = listed.select("site", F.posexplode(F.slice("_all", 1, MAX_SITEMAPS)).alias("visit", "_v")).select(
-        "site", "visit", F.col("_v.url").alias("url")
-    )
+    queue = Window.partitionBy("site").orderBy("_order", "url")
+    visited = once.withColumn("visit", F.row_number().over(queue)).where(F.col("visit") <= max_documents).drop("_order")
     items = visited.join(entries.where("kind = 'urlset'"), "url")
     if allow:
         items = items.where(F.col("loc").rlike(allow))
