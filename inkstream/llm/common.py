@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 _own_folder: str | None = None
+_made: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -39,7 +40,9 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -77,6 +80,12 @@ class Remembered(dict):
         return found
 
 
+def clean_up(spark: SparkSession) -> None:
+    """Delete what the operators of this session have written to the shared folder; their results must be stored by then."""
+    while _made:
+        remove(spark, _made.pop())
+
+
 def in_batches(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]]) -> DataFrame:
     """mapInArrow with state per task: `make` runs once in the task and returns the function for its batches."""
 
