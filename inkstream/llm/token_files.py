@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import functools
 import re
+import struct
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -24,8 +25,8 @@ from .common import Remembered
 
 #: A block ends with the document that brings it to this many ids.
 BLOCK_IDS = 1 << 16
-#: Distinct chunks of text that a worker remembers, and the longest chunk worth remembering.
-CACHE_ENTRIES, CACHE_CHARS = 500_000, 64
+#: Distinct words, and distinct pre-tokens, that a worker remembers, and the longest one worth remembering.
+CACHE_ENTRIES, CACHE_CHARS = 600_000, 64
 #: A blank with something else than white space behind it begins a new pre-token in byte-level BPE.
 _CUT = re.compile(r" (?=\S)")
 #: Latin letters (each a Unicode letter), and the byte-level BPE pre-tokens of texts that hold only these, digits,
@@ -61,13 +62,25 @@ def unpack(payload: bytes, width: int, first: int, count: int) -> np.ndarray:
     return np.packbits(wide, axis=1, bitorder="little").view("<u4").reshape(-1)
 
 
+def _little(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+def byte_letters() -> dict[int, int]:
+    """The character that byte-level BPE writes for each byte: itself where it prints, else one from 256 on."""
+    prints = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = [b for b in range(256) if b not in prints]
+    return {b: b for b in prints} | {b: 256 + n for n, b in enumerate(others)}
+
+
 class Encoder:
-    """Ids of whole texts as the tokenizer gives them, each distinct chunk of text encoded once.
+    """Ids of whole texts as the tokenizer gives them, each distinct piece of text encoded once.
 
     Byte-level BPE cuts a text into pre-tokens and encodes each by itself. Texts of Latin letters, digits and ASCII
-    punctuation are cut just so here; any other text is cut at blanks before something that isn't white space, where
-    a pre-token always begins. Texts with a special token's string go whole to the library, as do all texts where the
-    tokenizer is of another kind.
+    punctuation are cut just so here, and their pre-tokens go to the library's model; where every blank stands before
+    something else, whole words are remembered as well. Any other text is cut at blanks before something that isn't
+    white space, where a pre-token always begins. Texts with a special token's string go whole to the library, as do
+    all texts where the tokenizer is of another kind.
     """
 
     def __init__(self, path: str) -> None:
@@ -81,10 +94,20 @@ class Encoder:
         self.by_chunk = rules["normalizer"] is None and cutter.get("type") == "ByteLevel" and not cutter["add_prefix_space"] and cutter["use_regex"]
         self.special = [t["content"] for t in rules["added_tokens"]]
         self.vocabulary = self.tokenizer.get_vocab_size()
-        self.known = Remembered(self.whole, CACHE_ENTRIES, CACHE_CHARS)
+        self.letters = byte_letters()
+        self.chunks = Remembered(self.whole, CACHE_ENTRIES // 4, CACHE_CHARS)
+        self.pretokens = Remembered(self.pretoken, CACHE_ENTRIES, CACHE_CHARS)
+        self.words = Remembered(lambda word: self.plain(" " + word), CACHE_ENTRIES, CACHE_CHARS)
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return _little(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def pretoken(self, text: str) -> bytes:
+        written = text.encode().decode("latin-1").translate(self.letters)
+        return _little([t.id for t in self.tokenizer.model.tokenize(written)])
+
+    def plain(self, text: str) -> bytes:
+        return b"".join(map(self.pretokens.__getitem__, _PRETOKENS.findall(text)))
 
     def __call__(self, text: str | None) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
@@ -93,11 +116,12 @@ class Encoder:
         if not self.by_chunk or any(s in text for s in self.special):
             return self.whole(text)
         if _PLAIN.fullmatch(text):
-            chunks = _PRETOKENS.findall(text)
-        else:
-            head, *rest = _CUT.split(text)
-            chunks = [head, *(" " + c for c in rest)]
-        return b"".join(map(self.known.__getitem__, chunks))
+            if "  " in text or " \n" in text or text[-1] == " ":
+                return self.plain(text)
+            head, *rest = text.split(" ")
+            return self.plain(head) + b"".join(map(self.words.__getitem__, rest))
+        head, *rest = _CUT.split(text)
+        return b"".join(map(self.chunks.__getitem__, [head, *(" " + c for c in rest)]))
 
 
 @functools.cache
