@@ -37,13 +37,23 @@ BUCKET_LIMIT = 4096
 _CHUNK = 50_000
 
 
-def bit_counts(text: str, size: int) -> tuple[np.ndarray, int]:
-    """How many of the shingles' hashes have each bit, lowest first, and the number of shingles."""
+def remixed(hashes: np.ndarray, round_: int) -> np.ndarray:
+    """Independent hashes for a further fingerprint of the same shingles; round 0 keeps them."""
+    if not round_:
+        return hashes
+    mixed = hashes ^ np.uint64(round_ * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+    mixed = (mixed ^ (mixed >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    mixed = (mixed ^ (mixed >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return mixed ^ (mixed >> np.uint64(31))
+
+
+def bit_counts(text: str, size: int, rounds: int = 1) -> tuple[np.ndarray, int]:
+    """How many of the shingles' hashes have each bit, lowest first, a row per round; and the number of shingles."""
     words = text.encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return np.zeros(64, np.int64), 0
+        return np.zeros((rounds, 64), np.int64), 0
     size = min(size, len(words))
-    counts, total = np.zeros(64, np.int64), len(words) - size + 1
+    counts, total = np.zeros((rounds, 64), np.int64), len(words) - size + 1
     digest = xxhash.xxh64_intdigest
     for first in range(0, total, _CHUNK):
         part = words[first : min(first + _CHUNK, total) + size - 1]
@@ -51,23 +61,25 @@ def bit_counts(text: str, size: int) -> tuple[np.ndarray, int]:
         ends = [e + i for i, e in enumerate(accumulate(map(len, part)))]
         starts = [0, *(e + 1 for e in ends)]
         hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends[size - 1 :])], np.uint64)
-        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        for round_ in range(rounds):
+            bits = np.unpackbits(remixed(hashes, round_).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            counts[round_] += bits.sum(axis=0, dtype=np.int64)
     return counts, total
 
 
-def fingerprint(text: str | None, size: int = 3) -> int:
-    """SimHash as a signed 64-bit number; 0 without words."""
-    counts, total = bit_counts(text or "", size)
-    return int(np.packbits(2 * counts > total, bitorder="little").view(np.int64)[0])
+def fingerprint(text: str | None, size: int = 3, rounds: int = 1) -> list[int]:
+    """SimHashes as signed 64-bit numbers, one per round; 0 without words."""
+    counts, total = bit_counts(text or "", size, rounds)
+    return np.packbits(2 * counts > total, axis=1, bitorder="little").view(np.int64)[:, 0].tolist()
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3) -> DataFrame:
-    """(id, fp): one row per document; null and empty texts have fp 0."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3, rounds: int = 1) -> DataFrame:
+    """(id, fp, fp1, ...): one row per document with a fingerprint per round; null and empty texts have 0."""
 
     def make() -> Callable[[list], list[pa.Array]]:
-        return lambda texts: [pa.array([fingerprint(t, shingle_words) for t in texts], pa.int64())]
+        return lambda texts: [pa.array(column, pa.int64()) for column in zip(*(fingerprint(t, shingle_words, rounds) for t in texts))]
 
-    return per_text(docs, [id_col], "fp bigint", make, text_col)
+    return per_text(docs, [id_col], ", ".join(["fp bigint", *(f"fp{n} bigint" for n in range(1, rounds))]), make, text_col)
 
 
 def syndrome(words: np.ndarray) -> np.ndarray:
@@ -182,22 +194,39 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, bucket_limit: int = BUCKET_L
     return plain.unionAll(_through_middles(members.distinct(), max_bits))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3, max_bits: int = MAX_BITS, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
+def _further_links(prints: DataFrame, column: str, max_bits: int, bucket_limit: int) -> DataFrame:
+    """(a, b): links of one more round, told by the fingerprints of the first (each value by its smallest)."""
+    pairs = written(prints.select("fp", F.col(column).alias("value")).distinct(), "round")
+    firsts = written(pairs.groupBy("value").agg(F.min("fp").alias("first")), "round-firsts")
+    equal = pairs.join(firsts, "value").filter("fp <> first").select(F.col("fp").alias("a"), F.col("first").alias("b"))
+    near = links(firsts.select(F.col("value").alias("fp")), max_bits, bucket_limit)
+    for side in ("a", "b"):
+        near = near.join(firsts.select(F.col("value").alias(side), F.col("first").alias(f"{side}_first")), side)
+    return written(equal.unionAll(near.select("a_first", "b_first")), "round-links")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3, max_bits: int = MAX_BITS, bucket_limit: int = BUCKET_LIMIT, rounds: int = 1) -> DataFrame:
     """(id, fp, component_id): the smallest id reachable through fingerprints at most max_bits apart.
 
+    With several rounds each document has as many independent fingerprints, and documents are linked where any of
+    them is near: a pair of similar texts gets as many chances. fp is the first round's.
+
     Equal fingerprints are one node, so copies cost a grouped minimum. Null and empty texts have fingerprint 0 and are
     linked like any other. Rows with a null id get their group's smallest id and never name a group (null if a group
     has no id). Repeated rows stay. An empty table gives no rows. Extra columns aren't read.
     """
-    prints = written(fingerprints(docs, id_col, text_col, shingle_words), "fingerprints")
+    prints = written(fingerprints(docs, id_col, text_col, shingle_words, rounds), "fingerprints")
     classes = written(prints.groupBy("fp").agg(F.min(id_col).alias("first_id")), "classes")
-    joined = components(links(classes.select("fp"), max_bits, bucket_limit), "simhash").withColumnRenamed("node", "fp")
+    edges = links(classes.select("fp"), max_bits, bucket_limit)
+    for n in range(1, rounds):
+        edges = edges.unionAll(_further_links(prints, f"fp{n}", max_bits, bucket_limit))
+    joined = components(edges, "simhash").withColumnRenamed("node", "fp")
     # Only groups of several fingerprints need their smallest id; any other fingerprint is its own group.
     grouped = classes.join(joined, "fp")
     least = grouped.groupBy("component").agg(F.min("first_id").alias("component_id"))
     named = grouped.select("fp", "component").join(least, "component").select("fp", "component_id")
     alone = classes.join(joined, "fp", "left_anti").select("fp", F.col("first_id").alias("component_id"))
-    return prints.join(written(named.unionAll(alone), "named"), "fp").select(id_col, "fp", "component_id")
+    return prints.select(id_col, "fp").join(written(named.unionAll(alone), "named"), "fp").select(id_col, "fp", "component_id")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", **options: object) -> DataFrame:

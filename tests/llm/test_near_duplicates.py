@@ -130,3 +130,16 @@ def test_odd_tables(odd, clashing, nothing):
     # Of the texts without words (2, 3, 4) the first stays, of the equal ones (1, 7) too; null ids stay.
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in kept.collect()) == [(False, i) for i in (1, 2, 5, 6, 8, 9)] + [(True, 0)] * 2
     assert simhash_golay.keep_first(nothing).collect() == []
+
+
+def test_further_rounds_only_join_more(plain):
+    rows = [(i, text(i)) for i in range(20)] + [(100 + i, text(i % 20, [3 * i + k for k in range(1 + i % 4)])) for i in range(60)] + [(200, None), (201, "")]
+    docs = plain(rows)
+    one = {r["doc_id"]: r["component_id"] for r in simhash_golay.near_duplicates(docs).collect()}
+    got = {r["doc_id"]: r["component_id"] for r in simhash_golay.near_duplicates(docs, rounds=4).collect()}
+    prints = {i: simhash_golay.fingerprint(t, 3, 4) for i, t in rows}
+    ids = [i for i, _ in rows]
+    want = brute_groups([(a, b) for n, a in enumerate(ids) for b in ids[n + 1 :] if any(far(x, y) <= 3 for x, y in zip(prints[a], prints[b]))])
+    assert got == {i: want.get(i, i) for i in ids}
+    assert sum(i != c for i, c in got.items()) > sum(i != c for i, c in one.items())
+    assert all(got[i] == got[c] for i, c in one.items()) and got[201] == 200
