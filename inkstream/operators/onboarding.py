@@ -311,20 +311,19 @@ def dual_form_pairs(urls: DataFrame) -> DataFrame:
     """Pairs of a path form and a query form that carry the same numbers on one host.
 
     Input: id, url (distinct urls). The numbers of the path must equal, in order, the query values
-    that occur among them. Candidates meet on (host, multiset of path numbers).
+    that occur among them. Candidates meet on (host, first path number), so an address gives a row per
+    numeric value; the whole sequence is compared afterwards.
     """
     base = urls.select("id", "url", U.host_of(F.col("url")).alias("host"), U.path_numbers(F.col("url")).alias("numbers"), U.query_pairs(F.col("url")).alias("pairs"),
                        (F.coalesce(F.try_parse_url("url", F.lit("QUERY")), F.lit("")) == "").alias("_plain"))
     values = F.transform("pairs", lambda p: p["value"])
-    path_form = base.where(F.size("numbers") > 0).select("host", F.col("numbers").alias("key"), F.col("id").alias("path_id"), F.col("url").alias("path_url"), F.col("_plain").alias("path_plain"))
-    # The query side offers every run of its numeric values that could equal a path's numbers.
+    path_form = base.where(F.size("numbers") > 0).select("host", F.get("numbers", 0).alias("first"), F.col("numbers").alias("key"), F.col("id").alias("path_id"), F.col("url").alias("path_url"), F.col("_plain").alias("path_plain"))
     numeric = F.filter(values, lambda v: v.rlike(r"^\d+$"))
     query_form = (
         base.where(~F.col("_plain")).withColumn("_v", numeric).where(F.size("_v") > 0)
-        .select("host", F.explode(subsequences(F.col("_v"))).alias("key"), F.col("_v").alias("values"), F.col("id").alias("query_id"), F.col("url").alias("query_url"))
-        .distinct()
+        .select("host", F.explode(F.array_distinct("_v")).alias("first"), F.col("_v").alias("values"), F.col("id").alias("query_id"), F.col("url").alias("query_url"))
     )
-    joined = path_form.join(query_form, ["host", "key"]).where(F.col("path_id") != F.col("query_id"))
+    joined = path_form.join(query_form, ["host", "first"]).where(F.col("path_id") != F.col("query_id"))
     same = F.filter("values", lambda v: F.array_contains("key", v)) == F.col("key")
     # With two query forms the earlier one is read as the query side.
     proper = F.col("path_plain") | (F.col("path_id") > F.col("query_id"))
@@ -332,13 +331,6 @@ def dual_form_pairs(urls: DataFrame) -> DataFrame:
     return found.select("host", F.least("path_id", "query_id").alias("left_id"), F.greatest("path_id", "query_id").alias("right_id"), "path_url", "query_url").distinct()
 
 
-def subsequences(values: Column) -> Column:
-    """Non-empty selections of an array by distinct values, order kept (query strings are short)."""
-    empty = F.array(F.array().cast("array<string>"))
-    subsets = F.aggregate(F.array_distinct(values), empty, lambda acc, v: F.concat(acc, F.transform(acc, lambda s: F.array_append(s, v))))
-    return F.filter(F.transform(subsets, lambda s: F.filter(values, lambda v: F.array_contains(s, v))), lambda s: F.size(s) > 0)
-
-
 MIN_SIMILARITY = 0.85
 
 

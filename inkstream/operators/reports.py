@@ -111,7 +111,7 @@ def newest_audit(audit: DataFrame, users: DataFrame, *, limit: int = 500) -> Dat
 
 def expired_attachments(attachments: DataFrame, deliveries: DataFrame, cutoff: Column) -> DataFrame:
     """Stored files past retention whose article has no pending delivery."""
-    waiting = deliveries.where("status = 'pending'").select("article_id").distinct()
+    waiting = deliveries.where("status = 'pending'").select("article_id")
     return attachments.where(F.col("local_path").isNotNull() & (F.col("created_at") < cutoff)).join(waiting, "article_id", "left_anti")
 
 

@@ -65,7 +65,8 @@ islands AS (SELECT *, count(*) FILTER (NOT failed) OVER (PARTITION BY site_id OR
 SELECT site_id, event_id, CAST(count(*) FILTER (failed) OVER (PARTITION BY site_id, island ORDER BY ts, event_id) AS INT) AS failures FROM islands""")
 def site_failures(spark, d):
     rows = events(spark, d).select((F.col("user_id") % 20).alias("site_id"), "event_id", "micros", "event_type")
-    counted = Q.running_failures(rows, ["site_id"], ["micros", "event_id"], F.col("event_type").isin("error", "view"), F.floor(F.col("micros") / DAY_US))
+    rows = Q.with_segments(rows, ["site_id"], "micros")
+    counted = Q.running_failures(rows, ["site_id"], ["micros", "event_id"], F.col("event_type").isin("error", "view"), F.col("segment"))
     return counted.select("site_id", "event_id", "failures")
 
 
@@ -100,7 +101,8 @@ def target_counters(spark, d):
 
 
 def sending(spark, d):
-    return V.sending_order(attempts(spark, d), table(spark, d, "notify_targets"), disable_after=4, slot=F.floor(F.col("due_at") / DAY_US))
+    rows = Q.with_segments(attempts(spark, d), ["target_id"], "due_at")
+    return V.sending_order(rows, table(spark, d, "notify_targets"), disable_after=4, slot=F.col("segment"))
 
 
 @query("stm6_stm7_dt8_delivery_outcomes", SENDING + f"""

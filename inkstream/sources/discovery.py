@@ -244,7 +244,7 @@ def first_seen(items: DataFrame, order: list[str], *, scope: str = "site_id") ->
 
 def not_yet_seen(pending: DataFrame, discovered: DataFrame) -> DataFrame:
     """Discovered items plus unfinished ones that this crawl did not find again."""
-    missing = pending.join(discovered.select("site_id", "url").distinct(), ["site_id", "url"], "left_anti")
+    missing = pending.join(discovered.select("site_id", "url"), ["site_id", "url"], "left_anti")
     return discovered.unionByName(missing)
 
 

@@ -251,3 +251,27 @@ def test_outcomes_promote_only_exhausted_retries(spark):
     assert next(r.last_error for r in done if r.delivery_id == 4) == "NotifyTransient: [redacted-url]"
 
 
+
+
+def test_segments_cut_inside_a_busy_slot(spark):
+    # One key and one hour: 300 rows in three seconds, 60 of them in one microsecond.
+    rows = [("k", 1_000_000 * (i % 3) + (7 if i < 60 else i), i) for i in range(300)]
+    frame = spark.createDataFrame(rows, "k string, micros bigint, id bigint")
+    got = Q.with_segments(frame, ["k"], "micros", rows_per_segment=40).collect()
+    sizes = {}
+    for r in got:
+        sizes[r.segment] = sizes.get(r.segment, 0) + 1
+    assert sum(sizes.values()) == 300 and len(sizes) >= 5 and max(sizes.values()) <= 80
+    ordered = sorted(got, key=lambda r: r.micros)
+    assert [r.segment for r in ordered] == sorted(r.segment for r in got)
+    for per in (40, 500_000):
+        plain = Q.rate_limit(frame, "k", "micros", "id", limit=5, window_seconds=1, rows_per_segment=per)
+        accepted = {r.id for r in plain.where("accepted").collect()}
+        if per == 40:
+            split = accepted
+    assert accepted == split
+    failed = F.col("id") % 7 != 0
+    parts = Q.with_segments(frame, ["k"], "micros", rows_per_segment=40)
+    by_part = {r.id: r.failures for r in Q.running_failures(parts, ["k"], ["micros", "id"], failed, F.col("segment")).collect()}
+    whole = {r.id: r.failures for r in Q.running_failures(frame, ["k"], ["micros", "id"], failed, F.lit(0)).collect()}
+    assert by_part == whole
