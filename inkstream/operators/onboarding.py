@@ -437,3 +437,20 @@ def reachable_pages(start: DataFrame, link_rows: DataFrame, fetched: DataFrame,
         level = level.join(edges, "page_id").select("site", F.col("next_id").alias("page_id"), F.lit(step).alias("depth")).distinct()
         seen = seen.unionByName(level)
     return seen.groupBy("site", "page_id").agg(F.min("depth").alias("depth"))
+
+
+def last_by_url(resources: DataFrame, scope: str = "page_id", position: str = "position") -> DataFrame:
+    """Feeds or sitemaps of a site that were found more than once: the last finding stands, at the first one's place."""
+    rest = [c for c in resources.columns if c not in (scope, "url", position)]
+    found = resources.groupBy(scope, "url").agg(F.min(position).alias(position), F.max_by(F.struct(*rest), position).alias("_last"))
+    return found.select(scope, "url", position, "_last.*")
+
+
+# Fixed value: list pages that a site report names.
+MAX_LIST_PAGES = 8
+
+
+def rank_list_pages(pages: DataFrame, scope: str = "site", position: str = "position", *, limit: int = MAX_LIST_PAGES) -> DataFrame:
+    """Likely list pages of each site: HTML lists first, then by confidence and matches; ties in order of discovery."""
+    order = Window.partitionBy(scope).orderBy((F.col("page_type") == "html_list").desc(), F.col("confidence").desc(), F.col("matches").desc(), position)
+    return pages.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)

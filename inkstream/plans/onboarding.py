@@ -171,3 +171,21 @@ def site_slug(spark, d):
 def dry_run(spark, d):
     """Preview: extraction with the error of each item instead of a failed batch."""
     return extract_articles(read(spark, d, "pages"), EXTRACT).select("page_id", "title", F.char_length("content_text").alias("n_chars"), F.size("attachments").alias("n_attachments"), "error")
+
+
+@query("ded6_last_by_url", """
+SELECT l_orderkey AS page_id, 'https://x.example.com/' || CAST(l_suppkey % 3 AS STRING) AS url, min(l_linenumber) AS position, arg_max(l_returnflag, l_linenumber) AS kind, arg_max(l_discount, l_linenumber) AS confidence
+FROM lineitem GROUP BY 1, 2""")
+def last_by_url(spark, d):
+    url = F.concat(F.lit("https://x.example.com/"), (F.col("l_suppkey") % 3).cast("string"))
+    rows = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("page_id"), url.alias("url"), F.col("l_linenumber").alias("position"), F.col("l_returnflag").alias("kind"), F.col("l_discount").alias("confidence"))
+    return O.last_by_url(rows)
+
+
+@query("top12_list_pages", """
+SELECT site, position, CAST(rank AS INT) AS rank FROM (SELECT l_suppkey AS site, l_orderkey * 8 + l_linenumber AS position,
+  row_number() OVER (PARTITION BY l_suppkey ORDER BY CASE WHEN l_returnflag = 'A' THEN 0 ELSE 1 END, l_discount DESC, l_quantity DESC, l_orderkey * 8 + l_linenumber) AS rank FROM lineitem) x WHERE rank <= 8""")
+def list_pages(spark, d):
+    kind = F.when(F.col("l_returnflag") == "A", "html_list").otherwise("article")
+    rows = read(spark, d, "lineitem").select(F.col("l_suppkey").alias("site"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("position"), kind.alias("page_type"), F.col("l_discount").alias("confidence"), F.col("l_quantity").alias("matches"))
+    return O.rank_list_pages(rows).select("site", "position", "rank")

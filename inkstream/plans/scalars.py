@@ -114,11 +114,11 @@ def human_size(spark, d):
 
 
 @query("str10_redact", r"""
-SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\bsk-[A-Za-z0-9_-]{8,}', '***', 'g'), '\bBearer\s+[A-Za-z0-9._-]{8,}', '***', 'gi'),
- '([?&](?:token|api_key|key|secret|password|signature|sig)=)[^&\s"'']+', '\1***', 'gi'), '\b(authorization|cookie|set-cookie):\s*[^\r\n]+', '\1: ***', 'gi') AS clean
-FROM (SELECT doc_id, 'https://h/p?token=' || CAST(doc_id AS STRING) || '&x=1 sk-abcdefgh' || CAST(doc_id AS STRING) || ' ' || text || chr(10) || 'Cookie: a=b' AS text FROM documents) d""")
+SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\bsk-[A-Za-z0-9_-]{8,}', '***', 'g'), '\bBearer\s+[A-Za-z0-9._-]{8,}', '***', 'gi'),
+ '(://)[^:@/\s]+:[^@/\s]+(@)', '\1***\2', 'g'), '([?&](?:token|api_key|key|secret|password|signature|sig)=)[^&\s"'']+', '\1***', 'gi'), '\b(authorization|cookie|set-cookie):\s*[^\r\n]+', '\1: ***', 'gi') AS clean
+FROM (SELECT doc_id, 'https://u' || CAST(doc_id AS STRING) || ':p4ss@h/p?token=' || CAST(doc_id AS STRING) || '&x=1 sk-abcdefgh' || CAST(doc_id AS STRING) || ' ' || text || chr(10) || 'Cookie: a=b' AS text FROM documents) d""")
 def redact(spark, d):
-    text = F.concat(F.lit("https://h/p?token="), F.col("doc_id").cast("string"), F.lit("&x=1 sk-abcdefgh"), F.col("doc_id").cast("string"), F.lit(" "), "text", F.lit("\nCookie: a=b"))
+    text = F.concat(F.lit("https://u"), F.col("doc_id").cast("string"), F.lit(":p4ss@h/p?token="), F.col("doc_id").cast("string"), F.lit("&x=1 sk-abcdefgh"), F.col("doc_id").cast("string"), F.lit(" "), "text", F.lit("\nCookie: a=b"))
     return read(spark, d, "documents").select("doc_id", X.redact(text).alias("clean"))
 
 
