@@ -174,11 +174,10 @@ def dry_run(spark, d):
 
 
 @query("ded6_last_by_url", """
-SELECT l_orderkey AS page_id, 'https://x.example.com/' || CAST(l_suppkey % 3 AS STRING) AS url, min(l_linenumber) AS position, arg_max(l_returnflag, l_linenumber) AS kind, arg_max(l_discount, l_linenumber) AS confidence
-FROM lineitem GROUP BY 1, 2""")
+SELECT user_id AS page_id, 'https://x.example.com/' || event_type AS url, min(event_id) AS position, arg_max(value, event_id) AS confidence FROM events GROUP BY 1, 2""")
 def last_by_url(spark, d):
-    url = F.concat(F.lit("https://x.example.com/"), (F.col("l_suppkey") % 3).cast("string"))
-    rows = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("page_id"), url.alias("url"), F.col("l_linenumber").alias("position"), F.col("l_returnflag").alias("kind"), F.col("l_discount").alias("confidence"))
+    url = F.concat(F.lit("https://x.example.com/"), "event_type")
+    rows = read(spark, d, "events").select(F.col("user_id").alias("page_id"), url.alias("url"), F.col("event_id").alias("position"), F.col("value").alias("confidence"))
     return O.last_by_url(rows)
 
 
