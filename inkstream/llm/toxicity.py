@@ -4,7 +4,7 @@ Features are whole words and word beginnings, without case. From a bounded sampl
 toxic rows (by a likelihood-ratio test) are selected. Labels only say toxic or not, so grades 1 to GRADES are made of
 the toxic rows by how much of their wording carries such features, in equal parts; grade 0 is the rest. One weight
 vector is shared by all thresholds: P(grade >= k) = logistic(weights . features - threshold k). The expected severity
-is the sum of these probabilities; a document whose P(grade >= 1) is at least one half is toxic.
+is the sum of these probabilities; a document whose P(grade >= 1) reaches TOXIC_FROM is toxic.
 """
 
 from __future__ import annotations
@@ -29,7 +29,8 @@ FEATURES, LEAST_STATISTIC = 512, 12.0
 GRADES = 3
 #: Lengths of the word beginnings that are features beside the word.
 BEGINNINGS = (4, 5, 6)
-TOXIC_FROM = 0.5
+#: Probability of grade 1 from which a document is toxic: missing one costs more than looking at one too many.
+TOXIC_FROM = 0.25
 _WORDS = re.compile(r"[^\W\d_]+")
 
 
@@ -45,14 +46,15 @@ def features_of(token: str) -> tuple[str, ...]:
 
 
 def distinct_features(ranked: list[tuple[str, int, int]]) -> list[str]:
-    """The features of (feature, toxic rows, clean rows) without those that say the same as a shorter one.
+    """The features of (feature, toxic rows, clean rows) without beginnings that say the same as something longer.
 
-    A word and its beginnings in the same rows would share one weight between them, and outweigh words without any.
+    A word and its beginnings in the same rows would share one weight between them, and outweigh words without any;
+    the longest is the most certain of them in other texts.
     """
     kept: dict[tuple[int, int], list[str]] = {}
-    for feature, *rows in sorted(ranked, key=lambda r: (len(r[0].rstrip("*")), r[0])):
+    for feature, *rows in sorted(ranked, key=lambda r: (-len(r[0]), r[0])):
         alike = kept.setdefault(tuple(rows), [])
-        if not any(feature.startswith(other.rstrip("*")) for other in alike):
+        if not any(other.startswith(feature.rstrip("*")) for other in alike):
             alike.append(feature)
     chosen = {f for alike in kept.values() for f in alike}
     return [feature for feature, *_ in ranked if feature in chosen]
@@ -187,7 +189,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, expected_severity, severity, toxic_probability, toxic) of every whole text.
 
-    severity: the largest grade whose probability is at least one half. Null and empty texts have no features and
+    severity: the largest grade whose probability reaches TOXIC_FROM. Null and empty texts have no features and
     stay at the thresholds' base. Without a model everything is 0 and not toxic. Repeated rows and null ids stay; an
     empty table gives no rows; extra columns aren't read.
     """
