@@ -10,7 +10,8 @@ most one error, or one error in each, so two fingerprints within 3 bits share at
 * the three codeword indices together (36 bits).
 
 One side of the join takes the nearest codeword, the other all within 4 bits (about five), so a fingerprint has about
-70 keys of 33 to 36 bits in all, and equal keys are verified on the whole fingerprints.
+70 keys of 33 to 36 bits in all. A near pair meets whichever of the two stands on which side, so the join keeps the
+meetings in one order, and verifies them on the whole fingerprints.
 """
 
 from __future__ import annotations
@@ -32,8 +33,8 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))
 PAIRS = [(i, j) for i in range(3) for j in range(3) if i != j]
 MAX_BITS = 3
 SEED = 42
-#: Keys with more than this many squared meetings go the linear way of `_through_middles`.
-BUCKET_LIMIT = 4096
+#: Keys with more meetings than the square of this go the linear way of `_through_middles`.
+BUCKET_LIMIT = 512
 _CHUNK = 50_000
 
 
@@ -187,10 +188,10 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, bucket_limit: int = BUCKET_L
     sizes = sizes.groupBy("key").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
     crowded = written(sizes.filter(F.col("x") * F.col("y") > bucket_limit * bucket_limit).select("key"), "crowded")
     if crowded.isEmpty():
-        return probe.join(nearest, (probe["key"] == nearest["key"]) & (F.col("a") != F.col("b")) & near).select("a", "b")
+        return probe.join(nearest, (probe["key"] == nearest["key"]) & (F.col("a") < F.col("b")) & near).select("a", "b")
     members = probe.join(crowded, "key", "left_semi").select(F.col("a").alias("fp")).unionAll(nearest.join(crowded, "key", "left_semi").select(F.col("b").alias("fp")))
     probe, nearest = probe.join(crowded, "key", "left_anti"), nearest.join(crowded, "key", "left_anti")
-    plain = probe.join(nearest, (probe["key"] == nearest["key"]) & (F.col("a") != F.col("b")) & near).select("a", "b")
+    plain = probe.join(nearest, (probe["key"] == nearest["key"]) & (F.col("a") < F.col("b")) & near).select("a", "b")
     return plain.unionAll(_through_middles(members.distinct(), max_bits))
 
 

@@ -58,7 +58,7 @@ def test_code_is_perfect():
         assert set(found[found >= 0]) == set(np.flatnonzero(row <= 4)) and row[found[0]] == row.min()
 
 
-@pytest.mark.parametrize("limit", [0, 3, 4096])
+@pytest.mark.parametrize("limit", [0, 3, simhash_golay.BUCKET_LIMIT])
 def test_links_equal_brute_force(spark, limit):
     values = near([int(v) for v in np.random.default_rng(2).integers(0, 1 << 63, 60)] + [0, (1 << 64) - 1], 3)
     want = [(a, b) for i, a in enumerate(values) for b in values[i + 1 :] if far(a, b) <= 3]
@@ -66,7 +66,7 @@ def test_links_equal_brute_force(spark, limit):
     got = {tuple(sorted((r["a"], r["b"]))) for r in simhash_golay.links(frame, bucket_limit=limit).collect()}
     assert all(far(a, b) <= 3 for a, b in got)
     assert brute_groups(got) == brute_groups(want)
-    if limit == 4096:
+    if limit == simhash_golay.BUCKET_LIMIT:
         assert got == {tuple(sorted(p)) for p in want}
 
 
