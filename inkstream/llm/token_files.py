@@ -26,7 +26,7 @@ from .common import Remembered
 #: A block ends with the document that brings it to this many ids.
 BLOCK_IDS = 1 << 16
 #: Distinct words, and distinct pre-tokens, that a worker remembers, and the longest one worth remembering.
-CACHE_ENTRIES, CACHE_CHARS = 300_000, 64
+CACHE_ENTRIES, CACHE_CHARS = 200_000, 64
 #: A blank with something else than white space behind it begins a new pre-token in byte-level BPE.
 _CUT = re.compile(r" (?=\S)")
 #: Latin letters (each a Unicode letter), and the byte-level BPE pre-tokens of texts that hold only these, digits,
