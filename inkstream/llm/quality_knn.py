@@ -2,6 +2,7 @@
 
 A text becomes a sparse vector of two hashed blocks: its words, and the shapes of its tokens (runs of letters,
 capitals, digits and marks, alone and beside their neighbour's shape, and whether a token repeats the one before).
+Tokens of more than PIECE_CHARS characters are cut into pieces, which all count.
 A bounded sample of labelled rows gives the inverse document frequencies, the latent axes (truncated singular value
 decomposition by random projection) and the labelled vectors. These are broadcast; every document's cosine with every
 labelled vector is computed exactly, block by block, and its nearest neighbours vote with their similarity.
@@ -35,15 +36,23 @@ _WORD_WEIGHT = 0.5
 def shape(token: str) -> str:
     """Runs of one kind of character as one letter each: a, A, 0, or the mark itself."""
     kinds: list[str] = []
-    for char in token[:_SHAPE_CHARS]:
+    for char in token:
         kind = "a" if char.islower() else "A" if char.isupper() else "0" if char.isdigit() else "x" if char.isalpha() else char
         if not kinds or kinds[-1] != kind:
             kinds.append(kind)
     return "".join(kinds)
 
 
-#: A shape is told by the beginning of a token; the token itself is hashed whole.
-_SHAPE_CHARS = 64
+#: Longer tokens (texts without blanks, encoded data) count as successive pieces of this length.
+PIECE_CHARS = 64
+
+
+def tokens_of(text: str | None) -> list[str]:
+    """The blank-separated tokens of the whole text, long ones in pieces."""
+    tokens = (text or "").split()
+    if max(map(len, tokens), default=0) <= PIECE_CHARS:
+        return tokens
+    return [t[at : at + PIECE_CHARS] for t in tokens for at in range(0, len(t), PIECE_CHARS)]
 
 
 def _token(token: str) -> int:
@@ -51,14 +60,14 @@ def _token(token: str) -> int:
     return crc32(shape(token).encode("utf-8", "surrogatepass")) * WORD_DIMS + crc32(token.lower().encode("utf-8", "surrogatepass")) % WORD_DIMS
 
 
-_tokens = Remembered(_token, 400_000, 64)
+_tokens = Remembered(_token, 400_000, PIECE_CHARS)
 
 
 def sparse_vectors(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row starts, dimensions, weights) of the texts: 1 + log of each count, without document frequencies."""
     starts, dims, counts = [0], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for text in texts:
-        tokens = (text or "").split()
+        tokens = tokens_of(text)
         codes = np.fromiter(map(_tokens.__getitem__, tokens), np.int64, len(tokens))
         shapes = codes // WORD_DIMS
         pairs = (shapes[:-1] * 31 + shapes[1:] + 1) % SHAPE_DIMS
