@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, mixing, quality_knn, quality_rules, sharding, simhash_golay, token_counts, token_files, toxicity
+from . import chat_format, decontaminate, importance, mixing, quality_knn, quality_rules, sharding, simhash_golay, token_counts, token_files, toxicity
 from .common import new_folder
 
 
@@ -81,6 +81,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents weighed towards the benchmark's texts, the highest tenth ranked."""
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_quality_rules": op2_quality_rules,
@@ -92,9 +97,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash_golay": op8_simhash_golay,
     "op9_string_tiling": op9_string_tiling,
     "op10_toxicity": op10_toxicity,
+    "op11_importance": op11_importance,
 }
 
 SQL: dict[str, str] = {
     "op3_chat_format": chat_format.DIGEST_SQL,
     "op6_mixing": mixing.takings_sql(),
+    "op11_importance": importance.RESAMPLE_SQL,
 }
