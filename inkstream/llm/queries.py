@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, importance, mixing, quality_knn, quality_rules, sharding, simhash_golay, token_counts, token_files, toxicity
+from . import chat_format, decontaminate, importance, mixing, personal_data, quality_knn, quality_rules, sharding, simhash_golay, token_counts, token_files, toxicity
 from .common import new_folder
 
 
@@ -86,6 +86,11 @@ def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents: spans of personal data, plain and disguised."""
+    return personal_data.digests(personal_data.find(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_quality_rules": op2_quality_rules,
@@ -98,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_string_tiling": op9_string_tiling,
     "op10_toxicity": op10_toxicity,
     "op11_importance": op11_importance,
+    "op12_personal_data": op12_personal_data,
 }
 
 SQL: dict[str, str] = {
