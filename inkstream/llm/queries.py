@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, importance, mixing, personal_data, quality_knn, quality_rules, sharding, simhash_golay, token_counts, token_files, toxicity
+from . import chat_format, decontaminate, hard_negatives, importance, mixing, personal_data, quality_knn, quality_rules, sharding, simhash_golay, token_counts, token_files, toxicity
 from .common import new_folder
 
 
@@ -91,6 +91,13 @@ def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data.digests(personal_data.find(table(spark, sf_dir, "documents")))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of all embeddings with ids divisible by 100; labels of ids divisible by 7 move on by one."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = hard_negatives.usable(table(spark, sf_dir, "embeddings").withColumn("label", moved))
+    return hard_negatives.mine(rows, F.col("id") % 100 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_quality_rules": op2_quality_rules,
@@ -104,10 +111,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
     "op11_importance": op11_importance,
     "op12_personal_data": op12_personal_data,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 SQL: dict[str, str] = {
     "op3_chat_format": chat_format.DIGEST_SQL,
     "op6_mixing": mixing.takings_sql(),
     "op11_importance": importance.RESAMPLE_SQL,
+    "op13_hard_negatives": hard_negatives.MINE_SQL,
 }
