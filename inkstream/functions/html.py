@@ -8,6 +8,7 @@ character offsets in the source. Text nodes have the tag `#text` and hold stripp
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from html import escape
 from html.parser import HTMLParser
 from urllib.parse import urljoin, urlsplit
@@ -146,10 +147,36 @@ class _Tree(_Lenient):
             self._add("#text", {}, text, at)["stop"] = at + len(data)
 
 
+def tree(page: str) -> list[dict]:
+    return _Tree(page).nodes
+
+
 @F.pandas_udf(NODES)
 def dom(pages: pd.Series) -> pd.Series:
     """HTML text -> nodes."""
-    return pd.Series([None if p is None else _Tree(p).nodes for p in pages], dtype=object)
+    return pd.Series([None if p is None else tree(p) for p in pages], dtype=object)
+
+
+def strict_tree(page: str) -> list[dict]:
+    """Nodes of a page that is well-formed; raises on any other."""
+    ElementTree.fromstring(page)
+    return tree(page)
+
+
+def isolated(parse: Callable[[str], list[dict]]):
+    """Column function: text -> (nodes, error). What `parse` raises on one text is that row's error, `Type: message`."""
+
+    def one(text: str | None) -> tuple[list[dict] | None, str | None]:
+        try:
+            return None if text is None else parse(text), None
+        except Exception as error:  # whatever a page provokes concerns that page alone
+            return None, f"{type(error).__name__}: {error}"
+
+    def run(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([one(t) for t in texts], columns=["nodes", "error"], dtype=object)
+
+    kind = T.StructType([T.StructField("nodes", NODES), T.StructField("error", T.StringType())])
+    return F.pandas_udf(run, kind).asNondeterministic()
 
 
 def _xml_nodes(text: str | None) -> list[dict] | None:

@@ -88,7 +88,8 @@ def extract_articles(pages: DataFrame, config: ExtractConfig, *, key: str = "pag
     unread = ", ".join([*config.strip_selectors, "script", "style", "template"])
     main = F.coalesce(H.first(nodes, "article"), H.first(nodes, "main"), H.first(nodes, "body"), F.get(nodes, 0))
     selected = H.first(nodes, chosen) if chosen else F.get(nodes, F.lit(-1))
-    parsed = pages.withColumn("_nodes", H.dom("html")).withColumn("_selected", selected)
+    parsed = pages if "_nodes" in pages.columns else pages.withColumn("_nodes", H.dom("html"))
+    parsed = parsed.withColumn("_selected", selected)
     parsed = parsed.withColumn("_content", F.col("_selected") if chosen else H.first(nodes, "body"))
     if config.attachments:
         parsed = _with_attachments(parsed, config.attachments)

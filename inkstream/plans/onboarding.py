@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import html as H
 from ..operators import onboarding as O
-from ..operators.extraction import extract_articles
+from ..operators import selectors as S
+from ..operators import site_walk as W
+from ..operators.extraction import ExtractConfig, extract_articles
 from .bridge import read, read_spread
 from .catalogue import query
 from .discovery import EXTRACT, ORIGIN
@@ -19,8 +22,8 @@ LINKS = f"""
 WITH links AS (SELECT page_id, url, {ORIGIN} || unnest(regexp_extract_all(html, 'href="([^"]+)"', 1)) AS target FROM pages)"""
 
 
-@query("htm8_article_links", LINKS + " SELECT page_id, target, count(*) AS n FROM links GROUP BY 1, 2")
-def article_links(spark, d):
+@query("src1_page_links", LINKS + " SELECT page_id, target, count(*) AS n FROM links GROUP BY 1, 2")
+def page_links(spark, d):
     return O.links(parsed(spark, d)).groupBy("page_id", "target").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -188,3 +191,104 @@ def list_pages(spark, d):
     kind = F.when(F.col("l_returnflag") == "A", "html_list").otherwise("article")
     rows = read(spark, d, "lineitem").select(F.col("l_suppkey").alias("site"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("position"), kind.alias("page_type"), F.col("l_discount").alias("confidence"), F.col("l_quantity").alias("matches"))
     return O.rank_list_pages(rows).select("site", "position", "rank")
+
+
+def list_page(n, k, site):
+    """A notice list of n items whose classes follow k: the first leads away, the last repeats the second."""
+    p = F.col("page_id").cast("string")
+    place = lambda i: F.when(i == 0, F.concat(F.lit("https://away.example/"), p)).otherwise(F.concat(F.lit("/a/"), p, F.lit("/"), F.when(i == n - 1, 1).otherwise(i).cast("string"), F.lit(".htm?x=1&amp;y=2")))
+    item = lambda i: F.concat(
+        F.lit('<li class="row r'), k, F.lit('"><a class="t t'), k, F.lit(' z" href="'), place(i), F.lit('">Title number '), i.cast("string"), F.lit(" of "), p,
+        F.lit('</a><a href="mailto:x@y.example">mail</a><span class="d">2024-0'), (i + 1).cast("string"), F.lit("-01</span></li>"),
+    )
+    items = F.array_join(F.transform(F.sequence(F.lit(0), n - 1), item), "\n")
+    return F.concat(F.lit('<title>'), site, F.lit('</title><div id="nav"><a class="t" href="/home">Home</a></div><ul class="list">'), items, F.lit("</ul>"))
+
+
+def built_lists(spark, d):
+    n, k = (F.col("page_id") % 5 + 3).cast("int"), (F.col("page_id") % 3).cast("string")
+    return read(spark, d, "pages").select("page_id", "url", list_page(n, k, F.col("url")).alias("html"))
+
+
+BUILT = f"""
+WITH p AS (SELECT page_id, {ORIGIN} AS o, CAST(page_id % 5 + 3 AS INT) AS n, CAST(page_id % 3 AS STRING) AS k FROM pages),
+items AS (SELECT *, unnest(range(0, n)) AS i FROM p)"""
+
+
+@query("htm8_article_urls", BUILT + """, targets AS (
+SELECT page_id, i, CASE WHEN i = 0 THEN 'https://away.example/' || CAST(page_id AS STRING) ELSE o || '/a/' || CAST(page_id AS STRING) || '/' || CAST(i AS STRING) || '.htm?x=1&y=2' END AS target FROM items WHERE i < n - 1 OR i = 1)
+SELECT page_id, CAST(i + 1 AS INT) AS position, target FROM targets""")
+def article_urls(spark, d):
+    """Where the best selector found on each list page leads; the selector is data of the page."""
+    pages = O.parse(built_lists(spark, d))
+    best = O.selector_candidates(O.links(pages, with_items=True)).where("rank = 1")
+    return S.article_urls(pages, best)
+
+
+@query("htm4_mth3_built_lists", BUILT + """
+SELECT page_id, 'li.row.r' || k AS item_selector, 'a.t.t' || k || '@href' AS link_selector, 'a.t.t' || k AS title_selector, 'span.d' AS published_at_selector, CAST(n AS BIGINT) AS matches,
+ round_even(0.30::DOUBLE * n / 8 + 0.25 + 0.20 * ((n - 1)::DOUBLE / n) + 0.15 + 0.10, 3) AS confidence,
+ array_to_string([('Title number ' || CAST(j AS STRING) || ' of ' || CAST(page_id AS STRING)) FOR j IN range(0, 3)], '; ') AS samples,
+ printf('%d repeated items; 100%% contain dates; %.0f%% links stay on site', n, (n - 1)::DOUBLE / n * 100) AS evidence
+FROM p""")
+def built_selectors(spark, d):
+    found = O.selector_candidates(O.links(O.parse(built_lists(spark, d)), with_items=True)).where("item_selector LIKE 'li%' AND link_selector LIKE 'a.t%'")
+    return found.select("page_id", "item_selector", "link_selector", "title_selector", "published_at_selector", "matches", "confidence", F.array_join("samples", "; ").alias("samples"), "evidence")
+
+
+@query("onb1_site_walk", """
+WITH p AS (SELECT page_id, page_id % 7 AS site FROM pages),
+edges AS (SELECT page_id, page_id + 14 AS t, 1 AS r, 'list keyword in link text, URL' AS evidence FROM p UNION ALL SELECT page_id, page_id + 7, 2, 'list keyword in URL' FROM p UNION ALL SELECT page_id, page_id + 35, 3, 'list keyword in URL' FROM p),
+l0 AS (SELECT site, page_id AS id, 0::BIGINT AS position, 'input page' AS evidence FROM p WHERE page_id < 7),
+o1 AS (SELECT site, t AS id, min(position * 10 + r) AS place, arg_min(edges.evidence, position * 10 + r) AS evidence FROM l0 JOIN edges ON id = page_id GROUP BY ALL),
+l1 AS (SELECT * FROM (SELECT site, id, 1 + row_number() OVER (PARTITION BY site ORDER BY place) - 1 AS position, evidence FROM o1 WHERE id NOT IN (SELECT id FROM l0)) x WHERE position < 8),
+o2 AS (SELECT l1.site, t AS id, min(position * 10 + r) AS place, arg_min(edges.evidence, position * 10 + r) AS evidence FROM l1 JOIN edges ON id = page_id GROUP BY ALL),
+l2 AS (SELECT * FROM (SELECT site, id, 4 + row_number() OVER (PARTITION BY site ORDER BY place) - 1 AS position, evidence FROM o2 WHERE id NOT IN (SELECT id FROM l0 UNION SELECT id FROM l1)) x WHERE position < 8),
+seen AS (SELECT *, 0 AS depth FROM l0 UNION ALL SELECT *, 1 FROM l1 UNION ALL SELECT *, 2 FROM l2)
+SELECT seen.site, position, depth, 'https://s' || CAST(seen.site AS STRING) || '.example/news/' || CAST(id AS STRING) AS url, p.page_id, evidence FROM seen LEFT JOIN p ON p.page_id = id""")
+def site_walk(spark, d):
+    """Seven sites whose pages link to each other; some linked pages were never fetched."""
+    place = lambda add: F.concat(F.lit("/news/"), (F.col("page_id") + add).cast("string"))
+    html = F.concat(
+        F.lit('<a href="'), place(0), F.lit('">self</a><a href="'), place(7), F.lit('">x</a><a href="'), place(14), F.lit('">Campus news</a><a href="'), place(35), F.lit('">y</a><a href="'),
+        place(7), F.lit('#again">x</a><a href="https://other.example/news/1">z</a>'),
+    )
+    site = F.col("page_id") % 7
+    url = F.concat(F.lit("https://s"), site.cast("string"), F.lit(".example"), place(0))
+    pages = read(spark, d, "pages").select("page_id", site.alias("site"), url.alias("url"), html.alias("html"))
+    edges = O.navigation_candidates(O.links(O.parse(pages))).select("page_id", "target_url", "rank", "evidence")
+    return W.walk(pages.where("page_id < 7").select("site", "url"), pages, edges, budget=8)
+
+
+def preview_items(spark, d):
+    """Items of 20 sites. Every fourth page is malformed, another fourth has no title, another was not fetched."""
+    p, kind = F.col("page_id").cast("string"), F.col("page_id") % 4
+    text = F.concat(F.lit("Text of page "), p, F.lit(" "), F.repeat(F.lit("word "), (F.col("page_id") % 70).cast("int")))
+    title = F.when(kind != 2, F.concat(F.lit("<h1>Title "), p, F.lit("</h1>"))).otherwise("")
+    html = F.concat(F.lit("<html><body>"), title, F.when(kind == 1, "<b>").otherwise(""), F.lit("<p>"), text, F.lit("</p></body></html>"))
+    pages = read(spark, d, "pages").select("page_id", F.concat("url", F.lit("/"), p).alias("url"), html.alias("html"))
+    items = pages.select((F.col("page_id") % 20).alias("site"), F.col("page_id").alias("position"), "url", F.lit(None).cast("string").alias("title"), F.lit(None).cast("timestamp").alias("published_at"), F.lit(None).cast("string").alias("content_html"))
+    return items, pages.where("page_id % 4 <> 3")
+
+
+PREVIEW = ExtractConfig(selectors={"title": "h1", "content": "p"})
+PREVIEW_SQL = """
+WITH p AS (SELECT page_id % 20 AS site, page_id AS position, page_id % 4 AS kind, trim('Text of page ' || CAST(page_id AS STRING) || ' ' || repeat('word ', CAST(page_id % 70 AS INT))) AS t,
+  row_number() OVER (PARTITION BY page_id % 20 ORDER BY page_id) AS n FROM pages)"""
+
+
+@query("onb2_preview", PREVIEW_SQL + """
+SELECT site, position, kind = 0 AS success, CASE WHEN kind = 0 THEN 'Title ' || CAST(position AS STRING) END AS title, CASE WHEN kind = 0 THEN CAST(length(t) AS INT) END AS content_length, CASE WHEN kind = 0 THEN substr(t, 1, 240) END AS summary,
+ CASE kind WHEN 1 THEN 'ParseError' WHEN 2 THEN 'SelectorMiss' WHEN 3 THEN 'PageMissing' END AS error FROM p WHERE n <= 4""")
+def preview(spark, d):
+    """A strict parser throws on malformed pages; their items fail alone."""
+    items, pages = preview_items(spark, d)
+    found = W.preview(items, pages, PREVIEW, sample_size=4, parse=H.strict_tree)
+    return found.select("site", "position", "success", "title", "content_length", "summary", F.substring_index("error", ":", 1).alias("error"))
+
+
+@query("onb2_preview_report", PREVIEW_SQL + """
+SELECT site, count(*) AS discovered, count(*) FILTER (n <= 4 AND kind = 0) AS succeeded, count(*) FILTER (n <= 4 AND kind <> 0) AS failed FROM p GROUP BY 1""")
+def preview_report(spark, d):
+    items, pages = preview_items(spark, d)
+    return W.preview_report(items, W.preview(items, pages, PREVIEW, sample_size=4, parse=H.strict_tree))
