@@ -25,8 +25,8 @@ from .common import Remembered
 
 #: A block ends with the document that brings it to this many ids.
 BLOCK_IDS = 1 << 16
-#: Distinct words, and distinct pre-tokens, that a worker remembers, and the longest one worth remembering.
-CACHE_ENTRIES, CACHE_CHARS = 200_000, 64
+#: Distinct words that a worker remembers, and the longest one worth remembering.
+CACHE_ENTRIES, CACHE_CHARS = 500_000, 64
 #: A blank with something else than white space behind it begins a new pre-token in byte-level BPE.
 _CUT = re.compile(r" (?=\S)")
 #: Latin letters (each a Unicode letter), and the byte-level BPE pre-tokens of texts that hold only these, digits,
@@ -78,14 +78,18 @@ class Encoder:
 
     Byte-level BPE cuts a text into pre-tokens and encodes each by itself. Texts of Latin letters, digits and ASCII
     punctuation are cut just so here, and their pre-tokens go to the library's model; where every blank stands before
-    something else, whole words are remembered as well. Any other text is cut at blanks before something that isn't
+    something else, whole words are remembered, and all words of a text that are not go to the library in one call: a
+    token that begins with a blank begins a word. Any other text is cut at blanks before something that isn't
     white space, where a pre-token always begins. Texts with a special token's string go whole to the library, as do
     all texts where the tokenizer is of another kind.
     """
 
     def __init__(self, path: str) -> None:
         import json
+        import os
 
+        # Tasks use the cores; the library's own threads would only stand in their way.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -96,8 +100,12 @@ class Encoder:
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.letters = byte_letters()
         self.chunks = Remembered(self.whole, CACHE_ENTRIES // 4, CACHE_CHARS)
-        self.pretokens = Remembered(self.pretoken, CACHE_ENTRIES, CACHE_CHARS)
-        self.words = Remembered(lambda word: self.plain(" " + word), CACHE_ENTRIES, CACHE_CHARS)
+        self.pretokens = Remembered(self.pretoken, CACHE_ENTRIES // 4, CACHE_CHARS)
+        self.words: dict[str, bytes] = {}
+        self.older_words: dict[str, bytes] = {}
+        blank = chr(self.letters[0x20])
+        self.begins = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
+        self.begins[[i for token, i in self.tokenizer.get_vocab().items() if token.startswith(blank)]] = True
 
     def whole(self, text: str) -> bytes:
         return _little(self.tokenizer.encode(text, add_special_tokens=False).ids)
@@ -109,6 +117,31 @@ class Encoder:
     def plain(self, text: str) -> bytes:
         return b"".join(map(self.pretokens.__getitem__, _PRETOKENS.findall(text)))
 
+    def new_words(self, words: list[str]) -> list[bytes]:
+        """Ids of words of plain texts, each behind a blank."""
+        encoded = self.tokenizer.encode_batch_fast([" " + " ".join(words)], add_special_tokens=False)[0]
+        ids = np.array(encoded.ids, "<u4")
+        cuts = [*(4 * np.flatnonzero(self.begins[ids])).tolist(), 4 * len(ids)]
+        if len(cuts) != len(words) + 1:
+            return [self.plain(" " + word) for word in words]
+        packed = ids.tobytes()
+        return [packed[a:b] for a, b in zip(cuts, cuts[1:])]
+
+    def of_words(self, words: list[str]) -> list[bytes]:
+        found = list(map(self.words.get, words))
+        if None in found:
+            missing = {w for w, ids in zip(words, found) if ids is None}
+            got = {w: ids for w in missing if (ids := self.older_words.get(w)) is not None}
+            if unknown := [w for w in missing if w not in got]:
+                got.update(zip(unknown, self.new_words(unknown), strict=True))
+            found = [got[w] if ids is None else ids for w, ids in zip(words, found)]
+            for w, ids in got.items():
+                if len(w) <= CACHE_CHARS:
+                    if len(self.words) >= CACHE_ENTRIES // 2:
+                        self.words, self.older_words = {}, self.words
+                    self.words[w] = ids
+        return found
+
     def __call__(self, text: str | None) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
         if not text:
@@ -119,7 +152,7 @@ class Encoder:
             if "  " in text or " \n" in text or text[-1] == " ":
                 return self.plain(text)
             head, *rest = text.split(" ")
-            return self.plain(head) + b"".join(map(self.words.__getitem__, rest))
+            return self.plain(head) + b"".join(self.of_words(rest))
         head, *rest = _CUT.split(text)
         return b"".join(map(self.chunks.__getitem__, [head, *(" " + c for c in rest)]))
 
