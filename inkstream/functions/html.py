@@ -8,7 +8,7 @@ character offsets in the source. Text nodes have the tag `#text` and hold stripp
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from html import escape
 from html.parser import HTMLParser
 from urllib.parse import urljoin, urlsplit
@@ -312,6 +312,56 @@ def text_of(nodes: Column, node: Column, separator: str = " ", *, visible: bool
     return F.array_join(F.transform(F.filter(nodes, wanted), lambda n: n["text"]), separator)
 
 
+# Own weights of the main-text score, in words: what an element costs, and what makes a word.
+BLOCK_COST, LINK_COST, LETTERS_PER_WORD, LEAST_SCORE = 2.0, 3.0, 6.0, 10.0
+INLINE = ("a", "abbr", "b", "br", "cite", "code", "em", "font", "i", "img", "mark", "q", "s", "small", "span", "strong", "sub", "sup", "time", "u", "wbr")
+IDEOGRAPHS = r"[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af]"
+
+
+def main_block(nodes: Column, aside: Sequence[str]) -> Column:
+    """The stretch of a page that holds its main text, as a node with the range of all its nodes; NULL if none stands out.
+
+    Every node has a score: text counts its words (an ideograph is a third of one), or loses them inside links, hidden
+    elements and those named in `aside`; block elements and links cost a little. The stretch with the largest sum wins, found
+    in one pass over the nodes: a sum below zero is never carried on. It begins and ends with text.
+    """
+    state = "struct<link:int,aside:int,sum:double,from:int,best:double,first:int,last:int>"
+    zero = F.struct(*(F.lit(v) for v in (-1, -1, 0.0, -1, 0.0, -1, -1))).cast(state)
+
+    def step(at: Column, n: Column) -> Column:
+        words = (F.char_length(n["text"]) + F.regexp_count(n["text"], F.lit(IDEOGRAPHS))) / LETTERS_PER_WORD
+        link = F.when(n["tag"] == "a", F.greatest(at["link"], n["last"])).otherwise(at["link"])
+        out = F.when(n["tag"].isin(*aside), F.greatest(at["aside"], n["last"])).otherwise(at["aside"])
+        loses = (n["id"] <= at["link"]) | (n["id"] <= at["aside"]) | n["hidden"]
+        cost = F.when(n["tag"] == "a", F.lit(-LINK_COST)).when(n["tag"].isin(*INLINE), F.lit(0.0)).otherwise(F.lit(-BLOCK_COST))
+        is_text = n["tag"] == "#text"
+        score = F.when(is_text, F.when(loses, -words).otherwise(words)).otherwise(cost)
+
+        def added(total: Column) -> Column:
+            fresh = is_text & ~loses & (at["sum"] <= 0)
+            begin = F.when(fresh, n["id"]).otherwise(at["from"])
+            better = is_text & (total > at["best"])
+            return F.struct(
+                link.alias("link"), out.alias("aside"), total.alias("sum"), begin.alias("from"), F.when(better, total).otherwise(at["best"]).alias("best"),
+                F.when(better, begin).otherwise(at["first"]).alias("first"), F.when(better, n["id"]).otherwise(at["last"]).alias("last"),
+            ).cast(state)
+
+        return let(F.greatest(at["sum"], F.lit(0.0)) + score, added)
+
+    def block(found: Column) -> Column:
+        # The source goes on to the next node, and begins with the element that the first text opens.
+        stop = F.coalesce(F.get(nodes, found["last"] + 1)["begin"], F.get(nodes, 0)["stop"])
+
+        def stretch(n: Column) -> Column:
+            opener = F.get(nodes, n["up"])
+            begin = F.when(n["up"] == n["id"] - 1, opener["begin"]).otherwise(n["begin"])
+            return n.withField("last", found["last"]).withField("begin", begin).withField("stop", F.greatest(stop, F.get(nodes, found["last"])["stop"]))
+
+        return F.when(found["best"] >= LEAST_SCORE, let(F.get(nodes, found["first"]), stretch))
+
+    return let(F.aggregate(nodes, zero, step), block)
+
+
 def value_of(nodes: Column, scope: Column | None, expression: str) -> Column:
     """`selector@attr` or `selector`: attribute or text of the first match; blank becomes NULL."""
     parts = re.fullmatch(r"(?s)(?:(?P<css>.*)@(?P<attr>[\w:-]+)|(?P<whole>.*))", expression)

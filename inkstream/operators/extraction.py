@@ -16,6 +16,8 @@ PDF_WIDGET = r"""(?i)showVsbpdfIframe\(\s*(['"])([^'"]+?)\1"""
 PDF_BODY_NAME = "正文.pdf"
 ATTACHMENT_NAME = "附件"
 BODY_IN_ATTACHMENTS = "正文见附件："
+# Elements around an article.
+ASIDE = ("nav", "header", "footer", "aside", "form")
 
 
 @dataclass(frozen=True)
@@ -79,14 +81,15 @@ def extract_articles(pages: DataFrame, config: ExtractConfig, *, key: str = "pag
 
     Input: key, url, html and optionally title_hint, published_hint, last_modified. Selectors come
     first. Without a content selector, or where it finds nothing, the main region is the first
-    article, main or body element, read without navigation, header, footer and side elements. Links
+    article or main element, or else the stretch of the page that scores as main text (see
+    html.main_block), or else the body, read without navigation, header, footer and side elements. Links
     named as attachments are sought in the selected region, or in the body without a selector. A
     rejected page keeps its row with `error` set.
     """
     nodes = F.col("_nodes")
     chosen = config.selectors.get("content")
     unread = ", ".join([*config.strip_selectors, "script", "style", "template"])
-    main = F.coalesce(H.first(nodes, "article"), H.first(nodes, "main"), H.first(nodes, "body"), F.get(nodes, 0))
+    named, body = F.coalesce(H.first(nodes, "article"), H.first(nodes, "main")), F.coalesce(H.first(nodes, "body"), F.get(nodes, 0))
     selected = H.first(nodes, chosen) if chosen else F.get(nodes, F.lit(-1))
     parsed = pages if "_nodes" in pages.columns else pages.withColumn("_nodes", H.dom("html"))
     parsed = parsed.withColumn("_selected", selected)
@@ -98,8 +101,11 @@ def extract_articles(pages: DataFrame, config: ExtractConfig, *, key: str = "pag
         parsed = parsed.withColumn("attachments", F.array().cast(empty))
 
     missed = F.col("_selected").isNull()
-    aside = H.select(nodes, f"{unread}, nav, header, footer, aside, form")
-    parsed = parsed.withColumn("_content", F.coalesce(F.col("_selected"), main))
+    aside = H.select(nodes, f"{unread}, {', '.join(ASIDE)}")
+    parsed = parsed.withColumn("_named", F.coalesce(F.col("_selected"), named))
+    # Only pages without such an element are scored.
+    scored = F.when(F.col("_named").isNull(), H.main_block(nodes, ASIDE))
+    parsed = parsed.withColumn("_content", F.coalesce("_named", scored, body))
     parsed = parsed.withColumn("_strip", F.when(missed, aside).otherwise(H.select(nodes, unread)))
 
     def hint(name: str, kind: str) -> Column:

@@ -218,3 +218,21 @@ def sanitize(spark, d):
     )
     rows = read(spark, d, "documents").select("doc_id", html.alias("html"), F.lit("https://e.example.com/a/").alias("base"))
     return rows.select("doc_id", F.md5(H.sanitize_html("html", "base")).alias("clean_md5"))
+
+
+@query("htm1_main_text", """
+WITH p AS (SELECT page_id, CAST(page_id % 4 + 2 AS INT) AS n FROM pages)
+SELECT page_id, array_to_string([('Paragraph ' || CAST(i AS STRING) || ' of page ' || CAST(page_id AS STRING) || repeat(' and more words', CAST((page_id + i) % 9 + 3 AS INT)) || '.') FOR i IN range(0, n)], chr(10)) AS content_text,
+ 'Page ' || CAST(page_id AS STRING) AS title FROM p""")
+def main_text(spark, d):
+    """Pages without article, main or a selector: link lists, a menu and short notes around the paragraphs."""
+    p = F.col("page_id").cast("string")
+    paragraph = lambda i: F.concat(F.lit("<p>Paragraph "), i.cast("string"), F.lit(" of page "), p, F.repeat(F.lit(" and more words"), ((F.col("page_id") + i) % 9 + 3).cast("int")), F.lit(".</p>"))
+    links = F.array_join(F.transform(F.sequence(F.lit(1), (F.col("page_id") % 13 + 4).cast("int")), lambda i: F.concat(F.lit('<li><a href="/l/'), i.cast("string"), F.lit('">A headline of another page that is long enough</a></li>'))), "")
+    html = F.concat(
+        F.lit("<html><head><title>Page "), p, F.lit("</title><style>p { margin: 0 }</style></head><body><nav>Menu of the site with quite a few words in it, which is no main text at all</nav><div><ul>"), links,
+        F.lit("</ul></div><div><div>"), F.array_join(F.transform(F.sequence(F.lit(0), (F.col("page_id") % 4 + 1).cast("int")), paragraph), "\n"), F.lit("</div><div><ul>"), links,
+        F.lit('</ul></div></div><div>Contact</div><script>var s = "words words words words words words";</script></body></html>'),
+    )
+    found = extract_articles(read(spark, d, "pages").select("page_id", "url", html.alias("html")), ExtractConfig())
+    return found.select("page_id", "content_text", "title")

@@ -142,3 +142,66 @@ def test_crawl_skips_known_and_similar_pages(spark):
     assert {(r.id, r.status, r.duplicate_of) for r in articles.collect()} == {(1, "EXTRACTED", None), (2, "SKIPPED", 1), (4, "EXTRACTED", None)}
     again = crawl(found.withColumn("site_id", F.lit(1)), articles.select("id", "url_hash", "fp", "status"), config)
     assert again.count() == 0
+
+
+PLAIN_PAGE = """<html lang="en"><head><title>The title</title></head><body><div class="top"><a href="/">Home</a> | <a href="/news">News of the day</a></div>
+<div id="menu"><ul><li><a href="/1">A long headline of another article</a></li><li><a href="/2">And one more long headline of an article</a></li></ul></div>
+<div id="c"><h1>The title</h1><p>The first paragraph has <b>enough</b> words to stand out from <a href="/x">what is</a> around it, as texts do.</p><div class="ad"><a href="/ad">Buy now</a></div>
+<p>The second paragraph goes on with more words &amp; more sense, again of a good length.</p></div><div>Copyright</div><ul><li><a href="/3">The most read article of the whole week</a></li></ul></body></html>"""
+CHINESE_PAGE = "<body><ul>" + '<li><a href="/a">关于举办第三届学术活动的通知公告</a></li>' * 6 + "</ul><div><p>各学院、各有关单位：为进一步加强教学管理，现将有关事项通知如下，请认真组织落实。</p><p>二〇二六年七月，教务处将对各单位的落实情况进行检查。</p></div><div>版权所有</div></body>"
+
+
+def test_main_text_without_selectors(spark):
+    long_list = "<body>" + "<ul>" + '<li><a href="/a">just a list of links</a></li>' * 9 + "</ul></body>"
+    named = "<body><p>" + "words outside of it " * 9 + "</p><main>short</main></body>"
+    rows = pages(spark, (1, "https://h/", PLAIN_PAGE), (2, "https://h/", CHINESE_PAGE), (3, "https://h/", long_list), (4, "https://h/", ""), (5, "https://h/", None), (6, "https://h/", named))
+    got = {r.page_id: r for r in extract_articles(rows, ExtractConfig()).collect()}
+    text = got[1].content_text.split("\n")
+    assert got[1].title == "The title" and text[-1].startswith("The second paragraph") and "The first paragraph has" in text
+    assert not {"Home", "Copyright", "A long headline of another article", "The most read article of the whole week"} & set(text)
+    markup = got[1].content_html
+    assert "<p>The second paragraph goes on with more words &amp; more sense, again of a good length.</p>" in markup and "headline" not in markup
+    assert markup.count("<p>") == markup.count("</p>") == 2
+    assert got[2].content_text == "各学院、各有关单位：为进一步加强教学管理，现将有关事项通知如下，请认真组织落实。\n二〇二六年七月，教务处将对各单位的落实情况进行检查。"
+    # Where nothing stands out the whole body stays; a main element comes before any score.
+    assert got[3].content_text.count("just a list of links") == 9 and got[6].content_text == "short"
+    assert got[4].content_text == "" and got[5].content_text == ""
+
+
+def plain_best_block(scores):
+    """All stretches that begin and end with text, by brute force."""
+    best = (0.0, None)
+    for i, (is_text, _) in enumerate(scores):
+        for j in range(i, len(scores)):
+            total = sum(s for _, s in scores[i : j + 1])
+            if is_text and scores[j][0] and total > best[0] + 1e-9:
+                best = (total, (i, j))
+    return best
+
+
+def test_main_block_is_the_largest_sum(spark):
+    import random
+
+    draw, sources = random.Random(5), []
+    for _ in range(60):
+        parts = [draw.choice(["<p>{}</p>", '<a href="#">{}</a>', "<div>{}</div>", "<nav>{}</nav>", "<b>{}</b>", "{}"]).format("x" * draw.choice([1, 5, 12, 30, 80]) if draw.random() < 0.9 else "") for _ in range(12)]
+        sources.append("".join(parts))
+    frame = pages(spark, *((i, "https://h/", s) for i, s in enumerate(sources))).withColumn("nodes", H.dom("html"))
+    rows = frame.select("page_id", "nodes", H.main_block(F.col("nodes"), ("nav",)).alias("b")).collect()
+    found = 0
+    for r in rows:
+        scores, link, aside = [], -1, -1
+        for n in r.nodes:
+            if n.tag == "#text":
+                worth = len(n.text) / H.LETTERS_PER_WORD
+                scores.append((True, -worth if n.id <= link or n.id <= aside else worth))
+            else:
+                link, aside = (max(link, n.last) if n.tag == "a" else link), (max(aside, n.last) if n.tag == "nav" else aside)
+                scores.append((False, -H.LINK_COST if n.tag == "a" else 0.0 if n.tag in H.INLINE else -H.BLOCK_COST))
+        total, stretch = plain_best_block(scores)
+        assert (r.b is None) == (total < H.LEAST_SCORE)
+        if r.b is not None:
+            found += 1
+            got = sum(s for _, s in scores[r.b.id : r.b.last + 1])
+            assert abs(got - total) < 1e-6 and scores[r.b.id][0] and scores[r.b.last][0]
+    assert found > 20
