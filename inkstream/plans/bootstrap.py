@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import bootstrap as B
+from ..operators import density as D
 from ..operators.sinks import insert_if_absent
 from ..sources.files import document_checksum, verify_tagsets
 from .bridge import cte, read, table
@@ -149,3 +150,23 @@ def cluster(spark, d):
     rows = read(spark, d, "embeddings")
     vectors = rows.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     return B.cluster_vectors(vectors, k=rows.agg(F.countDistinct("label")).first()[0])
+
+
+def vectors(spark, d):
+    return read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+
+
+@query("bst2_core_distances", """
+WITH n AS (SELECT vec_id AS id, list_transform(embedding, lambda c: c::DOUBLE) AS x FROM embeddings),
+u AS (SELECT id, list_transform(x, lambda c: round(c / sqrt(list_reduce(list_transform(x, lambda e: e * e), lambda a, b: a + b)) * 65536)) AS v FROM n),
+near AS (SELECT a.id, list_dot_product(a.v, a.v) + list_dot_product(b.v, b.v) - 2 * list_dot_product(a.v, b.v) AS w FROM u a JOIN u b ON a.id <> b.id)
+SELECT id, w::BIGINT AS core FROM near QUALIFY row_number() OVER (PARTITION BY id ORDER BY w) = 5""")
+def core_distances(spark, d):
+    """How dense the place of each vector is: squared distance to its fifth nearest neighbour, in whole units."""
+    return D.core_distances(D.unit_points(vectors(spark, d)), 5)
+
+
+@query("bst2_density_clusters")
+def density_clusters(spark, d):
+    """Clusters of the vectors for naming; what lies in no dense place is noise."""
+    return D.density_clusters(vectors(spark, d), least=5)
