@@ -61,29 +61,35 @@ def store_within_quota(downloads: DataFrame, stored: DataFrame, *, quota: int) -
     Downloads: id, sha256, size_bytes. Stored: id, sha256, size_bytes of files already kept. A known hash
     is reused without cost; a new one is kept while used + size stays within the quota, otherwise it
     is skipped and uses nothing. As the used space never shrinks, a refused hash stays refused, so
-    one decision per hash suffices. Files that fit together are accepted in bulk from running sums;
-    each file that does not fit starts a further round on what is left.
+    one decision per hash suffices.
+
+    Rounds halve the space that is left, however many files are refused: until less than half of it
+    remains, every file of at most half fits, and the first larger one that fits ends the round. So a
+    round is one running sum over the files of at most half.
     """
     kept = stored.where("sha256 IS NOT NULL").groupBy("sha256").agg(F.max("size_bytes").alias("size_bytes"))
     used = stored.groupBy(F.coalesce("sha256", F.concat(F.lit("id:"), F.col("id").cast("string"))).alias("k")).agg(F.max("size_bytes").alias("s"))
     left = quota - int(used.agg(F.coalesce(F.sum("s"), F.lit(0))).first()[0])
     known = kept.select("sha256").distinct()
     first = downloads.groupBy("sha256").agg(F.min_by(F.struct("id", "size_bytes"), "id").alias("f")).select("sha256", "f.*")
-    waiting = cut_lineage(first.join(known, "sha256", "left_anti").where(F.col("size_bytes") <= left))
+    waiting = cut_lineage(first.join(known, "sha256", "left_anti"))
     accepted = None
     while True:
-        bounds = waiting.where(F.col("size_bytes") <= left).agg(F.min("id"), F.max("id")).first()
+        waiting = waiting.where(F.col("size_bytes") <= left)
+        bounds = waiting.agg(F.min("id"), F.max("id")).first()
         if bounds[0] is None:
             break
-        summed = running_sum(waiting.where(F.col("size_bytes") <= left), "id", "size_bytes", bounds[0], bounds[1])
+        small = F.col("size_bytes") * 2 <= left
+        summed = running_sum(waiting.withColumn("_small", F.when(small, F.col("size_bytes")).otherwise(0)), "id", "_small", bounds[0], bounds[1])
         summed = cut_lineage(summed)
-        overflow = summed.where(F.col("total") > left).agg(F.min("id")).first()[0]
-        fits = summed if overflow is None else summed.where(F.col("id") < overflow)
+        ends = F.when(small, (left - F.col("total")) * 2 < left).otherwise(F.col("size_bytes") <= left - F.col("total"))
+        end = summed.where(ends).agg(F.min("id")).first()[0]
+        fits = summed.where(small if end is None else (F.col("id") < end) & small | (F.col("id") == end))
         accepted = fits.select("sha256", "id") if accepted is None else accepted.unionByName(fits.select("sha256", "id"))
-        if overflow is None:
+        if end is None:
             break
-        left -= int(fits.agg(F.coalesce(F.sum("size_bytes"), F.lit(0))).first()[0])
-        waiting = summed.where(F.col("id") > overflow).drop("total")
+        left -= int(fits.agg(F.sum("size_bytes")).first()[0])
+        waiting = summed.where(F.col("id") > end).drop("total", "_small")
     if accepted is None:
         accepted = first.where(F.lit(False)).select("sha256", "id")
     result = downloads.join(accepted.withColumnRenamed("id", "_first"), "sha256", "left").join(known.withColumn("_known", F.lit(True)), "sha256", "left")
@@ -93,6 +99,13 @@ def store_within_quota(downloads: DataFrame, stored: DataFrame, *, quota: int) -
     return result.select("id", outcome.alias("outcome"))
 
 
+def store_decisions(downloads: DataFrame, stored: DataFrame, *, quota: int) -> DataFrame:
+    """(id, outcome, path, skip_reason): where each download's content lies; the first of a hash writes it, skipped ones have none."""
+    decided = store_within_quota(downloads, stored, quota=quota).join(downloads.select("id", "sha256"), "id")
+    kept = F.col("outcome") != "skipped"
+    return decided.select("id", "outcome", F.when(kept, blob_path(F.col("sha256"))).alias("path"), F.when(~kept, F.lit("quota exceeded")).alias("skip_reason"))
+
+
 def running_sum(rows: DataFrame, order: str, value: str, low: int, high: int, *, blocks: int = BLOCKS) -> DataFrame:
     """Adds `total`: running sum in `order`. Blocks are summed apart and shifted by their offsets."""
     width = max(1, (high - low) // blocks + 1)

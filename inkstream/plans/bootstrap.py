@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ..operators import bootstrap as B
 from ..operators import density as D
+from ..operators import induction as I
 from ..operators.sinks import insert_if_absent
+from ..session import new_shared_path
+from ..sources import versions as V
 from ..sources.files import document_checksum, verify_tagsets
 from .bridge import cte, read, table
 from .catalogue import query
@@ -170,3 +174,78 @@ def core_distances(spark, d):
 def density_clusters(spark, d):
     """Clusters of the vectors for naming; what lies in no dense place is noise."""
     return D.density_clusters(vectors(spark, d), least=5)
+
+
+def merge_by_remainder(rows: pd.DataFrame) -> pd.DataFrame:
+    """Stand-in for a naming model: numbers with the same remainder by five become one tag, named after the first."""
+    kept = []
+    for _, same in rows.assign(_k=rows["slug"].str[1:].astype(int) % 5).groupby("_k", sort=False):
+        first = same.iloc[0]
+        kept.append((first["slug"], first["name"], first["description"], list(first["keywords"]), list(first["titles"]), same["slug"].tolist()))
+    return pd.DataFrame(kept, columns=["slug", "name", "description", "keywords", "titles", "sources"])
+
+
+@query("bst1_merge_rounds", """
+WITH RECURSIVE c AS (SELECT 0 AS level, p_partkey AS orig, p_partkey AS cur, false AS done FROM part
+ UNION ALL SELECT level + 1, orig, min(cur) OVER (PARTITION BY (dr - 1) // 20, cur % 5), n <= 20 FROM (SELECT *, max(dr) OVER () AS n FROM (SELECT *, dense_rank() OVER (ORDER BY cur) AS dr FROM c WHERE NOT done) x) y),
+last AS (SELECT orig, cur, level FROM c WHERE done)
+SELECT 's' || CAST(cur AS STRING) AS slug, 'Name ' || CAST(cur AS STRING) AS name, count(DISTINCT article) AS coverage, max(level) AS levels FROM (SELECT cur, level, unnest([orig % 500, orig % 7 + 500]) AS article FROM last) z GROUP BY 1, 2""")
+def merge_rounds(spark, d):
+    """One candidate per part, merged over several levels to at most five tags; members are counted as rows."""
+    key = F.col("p_partkey")
+    number = key.cast("string")
+    part = read(spark, d, "part")
+    rows = part.select(key.alias("position"), F.concat(F.lit("s"), number).alias("slug"), F.concat(F.lit("Name "), number).alias("name"), F.col("p_type").alias("description"), F.array("p_brand").alias("keywords"), F.array("p_name").alias("titles"))
+    members = part.select(F.concat(F.lit("s"), number).alias("slug"), F.explode(F.array(key % 500, key % 7 + 500)).alias("article_id"))
+    tags, _, levels = I.merge_rounds(rows, members, merge_by_remainder, max_tags=5)
+    return tags.select("slug", "name", "coverage", F.lit(levels).alias("levels"))
+
+
+class Crash(RuntimeError):
+    """Stands for the end of a process."""
+
+
+@query("bst6_stm13_review_and_recovery", """
+WITH t AS (SELECT p_size % 5 AS g, count(*) AS n, max(p_partkey) AS top FROM part GROUP BY 1)
+SELECT CASE g WHEN 0 THEN 'rejected' WHEN 1 THEN 'draft' WHEN 2 THEN 'published' WHEN 3 THEN 'lost' ELSE 'finished' END AS name, CASE WHEN g IN (2, 4) THEN 'v2' WHEN g = 3 THEN 'v1' END AS current,
+ CASE WHEN g >= 2 THEN n END AS tags, CASE WHEN g IN (2, 4) THEN top + 1 WHEN g = 3 THEN top END AS top,
+ CASE g WHEN 1 THEN 'v2:draft' WHEN 2 THEN 'v2:current' WHEN 3 THEN 'v1:current,v2:discarded' WHEN 4 THEN 'v1:current,v2:current' ELSE '' END AS states FROM t""")
+def review_and_recovery(spark, d):
+    """Five groups: too few tags, a draft, a published draft, and crashes before and after the group's own record changed."""
+    part = read(spark, d, "part").select((F.col("p_size") % 5).alias("g"), F.col("p_partkey").alias("id"), F.col("p_name").alias("slug"))
+    root, groups = new_shared_path(spark, "tagset-versions"), {}
+
+    def crash_after(at):
+        def after(step):
+            if step == at:
+                raise Crash(at)
+        return after
+
+    names = ["rejected", "draft", "published", "lost", "finished"]
+    for g, name in enumerate(names):
+        old = part.where(F.col("g") == g).drop("g")
+        new = old.withColumn("id", F.col("id") + 1)
+        put = lambda version, name=name: groups.__setitem__(name, version)
+        plain = V.Versions(spark, root)
+        if name == "rejected":
+            V.bootstrap(plain, new.where("id < 0"), name, "v2", min_tags=1, review=False, update_group=put)
+        elif name in ("draft", "published"):
+            V.bootstrap(plain, new, name, "v2", min_tags=1, review=True, update_group=put)
+            if name == "published":
+                V.publish(plain, name, "v2", update_group=put)
+        else:
+            V.bootstrap(plain, old, name, "v1", min_tags=1, review=False, update_group=put)
+            try:
+                V.bootstrap(V.Versions(spark, root, crash_after("staged" if name == "lost" else "group")), new, name, "v2", min_tags=1, review=False, update_group=put)
+            except Crash:
+                plain.recover(name, groups[name])
+    store = V.Versions(spark, root)
+    states = store.states().orderBy("version").collect()
+    rows = [(n, store.current_version(n), ",".join(f"{r['version']}:{r['state']}" for r in states if r["group"] == n)) for n in names]
+    found = spark.createDataFrame(rows, "name string, current string, states string")
+    held = None
+    for n, version, _ in rows:
+        if version:
+            one = store.read(n).agg(F.count(F.lit(1)).alias("tags"), F.max("id").alias("top")).select(F.lit(n).alias("name"), "tags", "top")
+            held = one if held is None else held.unionByName(one)
+    return found.join(held, "name", "left").select("name", "current", "tags", "top", "states")

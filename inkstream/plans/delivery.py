@@ -200,6 +200,22 @@ def attachment_quota(spark, d):
     return A.store_within_quota(downloads, nothing, quota=20_000_000)
 
 
+@query("stm18_snk8_store_decisions", """
+WITH RECURSIVE seq AS (SELECT o_orderkey AS id, sha256(CAST(o_custkey AS STRING)) AS h, CAST(o_totalprice AS BIGINT) AS size FROM orders), held AS (SELECT c_custkey AS k, sha256(CAST(c_custkey AS STRING)) AS h FROM customer WHERE c_custkey % 10 = 0),
+firsts AS (SELECT h, min(id) AS id, arg_min(size, id) AS size FROM seq WHERE h NOT IN (SELECT h FROM held) GROUP BY h), nr AS (SELECT *, row_number() OVER (ORDER BY id) AS rn FROM firsts),
+run AS (SELECT CAST(0 AS BIGINT) AS rn, CAST(NULL AS VARCHAR) AS h, 40000000 - (SELECT count(*) FROM held) * 1000 AS space, false AS kept UNION ALL
+ SELECT n.rn, n.h, CASE WHEN n.size <= r.space THEN r.space - n.size ELSE r.space END, n.size <= r.space FROM run r JOIN nr n ON n.rn = r.rn + 1)
+SELECT s.id, CASE WHEN d.h IS NOT NULL THEN 'reused' WHEN NOT r.kept THEN 'skipped' WHEN f.id = s.id THEN 'downloaded' ELSE 'reused' END AS outcome,
+ CASE WHEN d.h IS NOT NULL OR r.kept THEN substr(s.h, 1, 2) || '/' || substr(s.h, 3, 2) || '/' || s.h END AS path, CASE WHEN d.h IS NULL AND NOT r.kept THEN 'quota exceeded' END AS skip_reason
+FROM seq s LEFT JOIN held d ON d.h = s.h LEFT JOIN run r ON r.h = s.h LEFT JOIN firsts f ON f.h = s.h""")
+def store_decisions(spark, d):
+    """Each order is a file whose content is its customer's; a tenth of the contents is kept already."""
+    digest = lambda c: F.sha2(F.col(c).cast("string"), 256).alias("sha256")
+    downloads = read(spark, d, "orders").select(F.col("o_orderkey").alias("id"), digest("o_custkey"), F.floor(F.col("o_totalprice") + 0.5).cast("bigint").alias("size_bytes"))
+    stored = read(spark, d, "customer").where("c_custkey % 10 = 0").select((-F.col("c_custkey")).alias("id"), digest("c_custkey"), F.lit(1000).cast("bigint").alias("size_bytes"))
+    return A.store_decisions(downloads, stored, quota=40_000_000)
+
+
 @query("flt19_inline_attachments", cte("attachments", "notify_targets") + """
 SELECT a.id, a.source_url, coalesce(a.local_path IS NOT NULL AND a.size_bytes <= least(30000, CASE split_part(t.url_fingerprint, ':', 1) WHEN 'tgram' THEN 52428800 WHEN 'discord' THEN 26214400 WHEN 'slack' THEN 1073741824 END)
   AND split_part(t.url_fingerprint, ':', 1) IN ('tgram', 'discord', 'slack'), false) AS inline FROM attachments a JOIN notify_targets t ON t.id = a.article_id""")

@@ -275,3 +275,30 @@ def test_segments_cut_inside_a_busy_slot(spark):
     by_part = {r.id: r.failures for r in Q.running_failures(parts, ["k"], ["micros", "id"], failed, F.col("segment")).collect()}
     whole = {r.id: r.failures for r in Q.running_failures(frame, ["k"], ["micros", "id"], failed, F.lit(0)).collect()}
     assert by_part == whole
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_quota_equals_one_file_after_the_other(spark, seed):
+    """Sizes from tiny to larger than the quota, contents that come again, some kept already."""
+    import random
+
+    draw = random.Random(seed)
+    files = [(i * 3, f"h{draw.randrange(220)}", draw.choice([0, 1, draw.randrange(1, 30), draw.randrange(30, 400), draw.randrange(400, 3000)])) for i in range(400)]
+    size = {}
+    for _, h, s in files:
+        size.setdefault(h, s)
+    files = [(i, h, size[h]) for i, h, _ in files]
+    stored = [(-k, f"h{k}", 7) for k in range(1, 20)]
+    kept, space, want = {h for _, h, _ in stored}, 4000 - 7 * len(stored), {}
+    for i, h, s in files:
+        if h in kept:
+            want[i] = "reused"
+        elif s <= space:
+            space, want[i] = space - s, "downloaded"
+            kept.add(h)
+        else:
+            want[i] = "skipped"
+    schema = "id bigint, sha256 string, size_bytes bigint"
+    got = A.store_decisions(spark.createDataFrame(files, schema), spark.createDataFrame(stored, schema), quota=4000).collect()
+    assert {r.id: r.outcome for r in got} == want and set(want.values()) == {"reused", "downloaded", "skipped"}
+    assert all((r.path is None) == (r.outcome == "skipped") == (r.skip_reason is not None) for r in got)
