@@ -124,6 +124,38 @@ def blocks_for(rows: int, per_block: int) -> int:
     return max(1, math.ceil(rows / per_block))
 
 
+def first_by_hash(rows: DataFrame, key: str, count: int, *ties: str | Column) -> DataFrame:
+    """The first `count` rows by a hash of `key`, then `ties`.
+
+    Rows that the table's size puts far beyond the last of them are dropped before any are ordered, so about `count` rows
+    are ordered in all, not as many of each partition. A table that is scanned twice here should be written before.
+    """
+    total, place = rows.count(), F.xxhash64(key)
+    share = (count + 6 * math.sqrt(count) + 10) / max(total, 1)
+    while share < 1:
+        near = rows.filter(place <= int(-(2**63) + share * (2**64 - 1)))
+        if near.count() >= count:
+            return near.orderBy(place, key, *ties).limit(count)
+        # A key that holds many rows lies beyond the cut.
+        share *= 8
+    return rows.orderBy(place, key, *ties).limit(count)
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, count: int, *ties: str) -> DataFrame:
+    """(label_id, *ties, text): at most `count` labelled documents of docs, the first by a hash of the id.
+
+    labels: label_id and the columns `ties`. Only labels of ids that docs hold are candidates, so a part of the documents
+    has as many rows to learn from as it can; where ids repeat, the bound holds for the joined rows as well.
+    """
+    ids = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("label_id")).distinct()
+    known = written(labels.join(ids, "label_id", "left_semi"), "labelled-ids")
+    chosen = first_by_hash(known, "label_id", count, *ties)
+    # At most `count` short rows.
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = written(texts.join(F.broadcast(chosen), F.col("id") == F.col("label_id")).select("label_id", *ties, "text"), "labelled-texts")
+    return written(first_by_hash(rows, "label_id", count, *ties, F.xxhash64("text")), "labelled-rows") if rows.count() > count else rows
+
+
 def free_names(df: DataFrame, *wanted: str) -> list[str]:
     """Column names that df doesn't have yet (compared as Spark does, without case)."""
     taken = {c.lower() for c in df.columns}

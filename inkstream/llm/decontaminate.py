@@ -177,5 +177,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options: object) -> DataFrame:
-    """docs without those that leak a benchmark item, by the rules of `leaks`; null ids are matched as one id."""
-    return without(docs, leaks(docs, benchmark, id_col, **options), id_col)
+    """docs without those that leak a benchmark item, by the rules of `leaks`; null ids are matched as one id.
+
+    Where less than SEED_WORDS words are marked nothing is dropped: a short item stands in many clean texts.
+    """
+    return without(docs, leaks(docs, benchmark, id_col, **options).filter(F.col("matched_words") >= SEED_WORDS), id_col)

@@ -20,7 +20,7 @@ import pyarrow.compute  # noqa: F401  makes pa.compute known
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Remembered, in_batches
+from .common import Remembered, in_batches, labelled_sample
 
 #: Labelled rows that the model is made of, at most; the first by a hash of the id.
 LABELLED_ROWS = 4000
@@ -152,10 +152,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     The texts stay on the executors: their sparse vectors (at most WORD_DIMS + SHAPE_DIMS entries each) come back.
     """
     known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("label_id"), F.col(label_col).cast("int").alias("label"))
-    chosen = known.orderBy(F.xxhash64("label_id"), "label_id", "label").limit(labelled_rows)
-    # At most labelled_rows short rows.
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = texts.join(F.broadcast(chosen), F.col("id") == F.col("label_id")).select("label_id", "label", "text")
+    rows = labelled_sample(docs, known, id_col, text_col, labelled_rows, "label")
 
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:

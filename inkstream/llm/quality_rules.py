@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import per_text, written
+from .common import first_by_hash, per_text, written
 
 #: Characters that count as symbols, and the blanks between words.
 SYMBOLS, BLANKS = "#*$%&|<>", " \t\n\x0b\x0c\r"
@@ -200,7 +200,8 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     rows = rows.withColumn("base_failed", failed)
     known = labels.filter(F.col(label_col).isNotNull()).select(F.col(id_col).alias("label_id"), (F.col(label_col) == 0).alias("low"))
-    sample = rows.filter("not base_failed").join(known, F.col(id_col) == F.col("label_id")).orderBy(F.xxhash64("label_id"), "label_id", *FEATURES, "low").limit(labelled_rows)
+    labelled = written(rows.filter("not base_failed").join(known, F.col(id_col) == F.col("label_id")).select("label_id", *FEATURES, "low"), "quality-labelled")
+    sample = first_by_hash(labelled, "label_id", labelled_rows, *FEATURES, "low")
     found = sample.select(*FEATURES, "low").toPandas()
     rules = learn({f: found[f].to_numpy(float) for f in FEATURES}, found["low"].to_numpy(bool))
     return rows.select(id_col, *MEASURES[:5], "base_failed", (~F.col("base_failed") & verdict(rules)).alias("kept"))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Remembered, in_batches, without, written
+from .common import Remembered, in_batches, labelled_sample, without
 
 #: Labelled rows that the model is made of, at most; the first by a hash of the id.
 LABELLED_ROWS = 20_000
@@ -123,11 +123,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     Feature counts are summed on the executors; the driver gets FEATURES names and the rows' counts of these.
     """
     known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("label_id"), (F.col(label_col) > 0).alias("toxic"))
-    chosen = known.orderBy(F.xxhash64("label_id"), "label_id", "toxic").limit(labelled_rows)
-    # At most labelled_rows short rows; the sample is written, for it is read twice.
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    sample = texts.join(F.broadcast(chosen), F.col("id") == F.col("label_id")).select("label_id", "toxic", "text")
-    sample = written(sample, "toxic-sample")
+    # Written, for it is read twice.
+    sample = labelled_sample(docs, known, id_col, text_col, labelled_rows, "toxic")
     sizes = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     toxic, clean = sizes.get(True, 0), sizes.get(False, 0)
     if not toxic or not clean:
@@ -151,8 +148,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = float(toxic + clean)
     statistic = part(t, toxic * (t + c) / rows) + part(c, clean * (t + c) / rows) + part(toxic - t, toxic * (rows - t - c) / rows) + part(clean - c, clean * (rows - t - c) / rows)
     ranked = counts.filter(t * clean > c * toxic).withColumn("statistic", statistic)
-    best = ranked.filter(F.col("statistic") >= LEAST_STATISTIC).orderBy(F.desc("statistic"), "feature").limit(FEATURES)
-    names = distinct_features([tuple(r) for r in best.select("feature", "t", "c").collect()])
+    # A word stands with its beginnings, which go afterwards: so many rows hold the FEATURES best of what stays.
+    best = ranked.filter(F.col("statistic") >= LEAST_STATISTIC).orderBy(F.desc("statistic"), "feature").limit(FEATURES * (1 + len(BEGINNINGS)))
+    names = distinct_features([tuple(r) for r in best.select("feature", "t", "c").collect()])[:FEATURES]
     if not names:
         return None
     places = {name: at for at, name in enumerate(names)}

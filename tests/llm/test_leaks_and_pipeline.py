@@ -73,6 +73,13 @@ def test_leaks(spark, plain, block_bytes):
     assert decontaminate.clean(docs, bench.limit(0)).count() == docs.count()
 
 
+def test_short_items_are_reported_and_drop_nothing(spark, plain):
+    bench = spark.createDataFrame([(1, "yes"), (2, "one two three four"), (3, "one two three four five")], "item_id bigint, text string")
+    docs = plain([(1, "yes it is"), (2, "one two three four times"), (3, "say one two three four five")])
+    assert sorted((r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, bench).collect()) == [(1, 1), (2, 2), (3, 2), (3, 3)]
+    assert sorted(r["doc_id"] for r in decontaminate.clean(docs, bench).collect()) == [1, 2]
+
+
 def test_leaks_of_odd_tables(spark, odd, clashing):
     bench = spark.createDataFrame([(1, "plain words of a small text in one line")], "item_id bigint, text string")
     for docs in (odd, clashing):
