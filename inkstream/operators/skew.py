@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 # A key is hot from this many rows on. At most (rows / HOT_ROWS) keys can be hot, which bounds the
 # size of every hot-key table by construction.
 HOT_ROWS = 1_000_000
@@ -18,25 +20,6 @@ def hot_keys(df: DataFrame, keys: Sequence[str], *, min_rows: int = HOT_ROWS) ->
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_rows).drop("_n")
 
 
-def salted_join(
-    many: DataFrame,
-    few: DataFrame,
-    keys: Sequence[str],
-    spread: Column,
-    *,
-    salts: int = SALTS,
-    how: str = "inner",
-) -> DataFrame:
-    """Equi-join on a low-cardinality key.
-
-    `many` is spread over `salts` sub-keys by a hash of `spread`; `few` is repeated once per salt.
-    Use it where the distinct keys are far fewer than the tasks of the cluster (labels, profiles).
-    """
-    left = many.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
-    right = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.join(right, [*keys, "_salt"], how).drop("_salt")
-
-
 def hot_salted_join(
     many: DataFrame,
     few: DataFrame,
@@ -49,8 +32,12 @@ def hot_salted_join(
 ) -> DataFrame:
     """Equi-join where only the keys listed in `hot` are spread and repeated.
 
-    `hot` comes from `hot_keys`, so its size is bounded by rows / HOT_ROWS and it may be broadcast.
+    `hot` comes from `hot_keys`, so its size is bounded by rows / HOT_ROWS and it may be broadcast. Where it is empty
+    the join is a plain one.
     """
+    hot = cut_lineage(hot)
+    if hot.isEmpty():
+        return many.join(few, list(keys), how)
     flag = F.broadcast(hot.select(*keys).withColumn("_hot", F.lit(True)))
     salt = F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")
     left = (

@@ -8,6 +8,7 @@ from ..functions.dates import to_iso
 from ..functions.errors import attachment_failure_status, error_class, is_fatal, is_retryable
 from ..operators import attachments as A
 from ..operators import delivery as V
+from ..operators import housekeeping as K
 from ..operators import matching as M
 from ..operators import sequences as Q
 from ..operators.sinks import insert_if_absent, latest_by
@@ -304,3 +305,62 @@ def delivery_dedupe(spark, d):
     fps = fingerprints(spark, d, "md5").select(F.col("id").alias("article_id"), "fp")
     done = V.suppress_duplicates(planned(spark, d), fps, existing, at=now())
     return done.select("subscription_id", "target_id", "article_id", "status", "duplicate_of")
+
+
+RETENTION = """
+WITH attachments AS (SELECT o_orderkey AS id, o_orderkey % 997 AS article_id, o_custkey % 300 AS f, o_orderdate AS created FROM orders WHERE o_orderkey % 5 <> 0),
+pending AS (SELECT DISTINCT event_id % 997 AS article_id FROM events WHERE event_type NOT IN ('error', 'purchase', 'view') AND event_id % 4 = 0),
+old AS (SELECT * FROM attachments WHERE created < TIMESTAMP '2024-01-15' - INTERVAL 9700 DAY AND article_id NOT IN (SELECT article_id FROM pending)),
+refs AS (SELECT a.f, count(*) AS n, count(o.id) AS released, max(o.id) AS last FROM attachments a LEFT JOIN old o ON o.id = a.id GROUP BY a.f),
+kept AS (SELECT r.last AS id FROM refs r WHERE r.n = r.released AND r.f % 7 = 0),
+after AS (SELECT a.id, CASE WHEN o.id IS NULL OR k.id IS NOT NULL THEN 'blobs/' || CAST(a.f AS STRING) END AS local_path FROM attachments a LEFT JOIN old o ON o.id = a.id LEFT JOIN kept k ON k.id = a.id)"""
+
+
+def retention_tables(spark, d):
+    """Files are shared by the orders of a customer group; sessions are events that last a while."""
+    orders, log = read(spark, d, "orders"), read(spark, d, "events")
+    return {
+        "sessions": log.select(F.col("event_id").alias("id"), (F.lit(NOW) + (F.col("event_id") % 1000 - 400) * 3600).cast("timestamp").alias("expires_at")),
+        "articles": table(spark, d, "articles").select("id", "status", "published_at", "discovered_at", F.lit("<p/>").alias("content_html")),
+        "attachments": orders.where("o_orderkey % 5 <> 0").select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % 997).alias("article_id"), F.concat(F.lit("blobs/"), (F.col("o_custkey") % 300).cast("string")).alias("local_path"), F.col("o_orderdate").cast("timestamp").alias("created_at")),
+        "deliveries": log.where("event_type NOT IN ('error', 'purchase', 'view') AND event_id % 4 = 0").select((F.col("event_id") % 997).alias("article_id"), F.lit("pending").alias("status")),
+        "audit_log": table(spark, d, "audit_log"),
+    }
+
+
+def refuse_sevens(path):
+    """Stands for the file store: it cannot delete every seventh file."""
+    if int(path.split("/")[1]) % 7 == 0:
+        raise PermissionError(path)
+
+
+def kept_house(spark, d):
+    at = F.timestamp_seconds(F.lit(NOW))
+    return K.housekeeping(retention_tables(spark, d), at=at, article_days=3, attachment_days=9700, audit_days=9600, delete=refuse_sevens)
+
+
+@query("stm12_attachment_retention", RETENTION + " SELECT * FROM after")
+def attachment_retention(spark, d):
+    return kept_house(spark, d)[0]["attachments"].select("id", "local_path")
+
+
+@query("stm12_housekeeping_counts", RETENTION + ", " + cte("articles", "audit_log").removeprefix("WITH ") + """
+SELECT 'sessions' AS "table", count(*) FILTER (event_id % 1000 - 400 <= 0) AS affected FROM events
+UNION ALL SELECT 'articles', count(*) FILTER (status = 'NOTIFIED' AND coalesce(published_at, discovered_at) < TIMESTAMP '2024-01-12') FROM articles
+UNION ALL SELECT 'attachments', count(*) FILTER (local_path IS NULL) FROM after
+UNION ALL SELECT 'audit_log', count(*) FILTER (created_at < TIMESTAMP '2024-01-15' - INTERVAL 9600 DAY) FROM audit_log""")
+def housekeeping_counts(spark, d):
+    return kept_house(spark, d)[1]
+
+
+@query("snk4_provider_health", """
+WITH calls AS (SELECT user_id % 40 AS provider, event_id AS id, ts AS called_at, event_type IN ('click', 'view') AS worked, event_type AS error, event_id % 11 = 0 AS fatal FROM events),
+tail AS (SELECT c.*, NOT worked AND NOT EXISTS (SELECT 1 FROM calls s WHERE s.worked AND s.provider = c.provider AND (s.called_at, s.id) > (c.called_at, c.id)) AS since FROM calls c)
+SELECT provider, count(*) AS total_calls, count(*) FILTER (NOT worked) AS total_failures, count(*) FILTER (since) AS consecutive_failures, arg_max(error, (called_at, id)) FILTER (since) AS last_error,
+ epoch(CASE WHEN count(*) FILTER (since) >= 2 OR arg_max(fatal, (called_at, id)) FILTER (since) THEN date_trunc('second', arg_max(called_at, (called_at, id)) FILTER (since)) + INTERVAL 300 SECOND END)::BIGINT AS cooldown_until FROM tail GROUP BY provider""")
+def provider_health(spark, d):
+    log = read(spark, d, "events")
+    outcome = F.when(F.col("event_type").isin("click", "view"), "success").otherwise("failure")
+    calls = log.select((F.col("user_id") % 40).alias("provider"), F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("called_at"), outcome.alias("outcome"), F.col("event_type").alias("error"), (F.col("event_id") % 11 == 0).alias("fatal"))
+    found = K.provider_health(calls, threshold=2, cooldown_sec=300)
+    return found.select("provider", "total_calls", "total_failures", "consecutive_failures", "last_error", F.unix_timestamp("cooldown_until").alias("cooldown_until"))
