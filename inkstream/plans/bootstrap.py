@@ -12,6 +12,8 @@ from ..operators.sinks import insert_if_absent
 from ..session import new_shared_path
 from ..sources import versions as V
 from ..sources.files import document_checksum, verify_tagsets
+from ..sources.site_files import import_sites as import_site_rows
+from ..sources.site_files import parse_site_files
 from .bridge import cte, read, table
 from .catalogue import query
 
@@ -187,17 +189,17 @@ def merge_by_remainder(rows: pd.DataFrame) -> pd.DataFrame:
 
 @query("bst1_merge_rounds", """
 WITH RECURSIVE c AS (SELECT 0 AS level, p_partkey AS orig, p_partkey AS cur, false AS done FROM part
- UNION ALL SELECT level + 1, orig, min(cur) OVER (PARTITION BY (dr - 1) // 20, cur % 5), n <= 20 FROM (SELECT *, max(dr) OVER () AS n FROM (SELECT *, dense_rank() OVER (ORDER BY cur) AS dr FROM c WHERE NOT done) x) y),
+ UNION ALL SELECT level + 1, orig, min(cur) OVER (PARTITION BY (dr - 1) // 100, cur % 5), n <= 100 FROM (SELECT *, max(dr) OVER () AS n FROM (SELECT *, dense_rank() OVER (ORDER BY cur) AS dr FROM c WHERE NOT done) x) y),
 last AS (SELECT orig, cur, level FROM c WHERE done)
 SELECT 's' || CAST(cur AS STRING) AS slug, 'Name ' || CAST(cur AS STRING) AS name, count(DISTINCT article) AS coverage, max(level) AS levels FROM (SELECT cur, level, unnest([orig % 500, orig % 7 + 500]) AS article FROM last) z GROUP BY 1, 2""")
 def merge_rounds(spark, d):
-    """One candidate per part, merged over several levels to at most five tags; members are counted as rows."""
+    """One candidate per part, merged by hundreds over several levels until five are left; members are counted as rows."""
     key = F.col("p_partkey")
     number = key.cast("string")
     part = read(spark, d, "part")
     rows = part.select(key.alias("position"), F.concat(F.lit("s"), number).alias("slug"), F.concat(F.lit("Name "), number).alias("name"), F.col("p_type").alias("description"), F.array("p_brand").alias("keywords"), F.array("p_name").alias("titles"))
     members = part.select(F.concat(F.lit("s"), number).alias("slug"), F.explode(F.array(key % 500, key % 7 + 500)).alias("article_id"))
-    tags, _, levels = I.merge_rounds(rows, members, merge_by_remainder, max_tags=5)
+    tags, _, levels = I.merge_rounds(rows, members, merge_by_remainder, max_tags=25)
     return tags.select("slug", "name", "coverage", F.lit(levels).alias("levels"))
 
 
@@ -249,3 +251,37 @@ def review_and_recovery(spark, d):
             one = store.read(n).agg(F.count(F.lit(1)).alias("tags"), F.max("id").alias("top")).select(F.lit(n).alias("name"), "tags", "top")
             held = one if held is None else held.unionByName(one)
     return found.join(held, "name", "left").select("name", "current", "tags", "top", "states")
+
+
+def site_files(spark, d):
+    """One file per part, written as text and read back: most are sound, others break one rule each."""
+    body = F.expr("""concat('{"tagset_groups": [{"slug": "g', p_size % 9, '", "name": "Group ', p_size % 9, '"}], "sites": [{"slug": "site-', p_partkey % 900, '", "name": "Site ', p_partkey, '", "base_url": "', CASE WHEN p_partkey % 8 = 1 THEN 'ftp' ELSE 'https' END,
+      '://s', p_partkey, '.example/", "discovery_mode": "', CASE WHEN p_partkey % 8 = 2 THEN 'guess' ELSE 'rss' END, '", "tagset_group": "g', CASE WHEN p_partkey % 8 = 3 THEN 99 ELSE p_size % 9 END, '", "enabled": ', CASE WHEN p_partkey % 8 = 4 THEN '"yes"' ELSE 'false' END,
+      ', "crawl_interval_sec": ', CASE WHEN p_partkey % 8 = 5 THEN 5 ELSE 60 + p_size END, ', "config": {"n": ', p_partkey, '}}]}')""")
+    text = F.when(F.col("p_partkey") % 8 == 6, F.lit("{ broken")).when(F.col("p_partkey") % 8 == 7, F.lit('{"sites": {"slug": "x"}}')).otherwise(body)
+    rows = read(spark, d, "part").select(F.format_string("%012d", "p_partkey").alias("path"), text.alias("document"))
+    folder = new_shared_path(spark, "site-files")
+    rows.select(F.to_json(F.struct("path", "document")).alias("value")).write.text(folder)
+    held = spark.read.text(folder).select(F.from_json("value", "path string, document string").alias("f")).select("f.*")
+    groups, sites = parse_site_files(held)
+    stored = read(spark, d, "part").where("p_partkey % 50 = 0").select(F.concat(F.lit("site-"), (F.col("p_partkey") % 900).cast("string")).alias("slug"))
+    return import_site_rows(groups, sites, spark.createDataFrame([("g0",)], "slug string"), stored)
+
+
+SITE_FILES = """
+WITH f AS (SELECT p_partkey AS k, p_partkey % 8 AS e, p_size % 9 AS g, p_size, 'site-' || CAST(p_partkey % 900 AS STRING) AS slug FROM part),
+stored AS (SELECT DISTINCT 'site-' || CAST(p_partkey % 900 AS STRING) AS slug FROM part WHERE p_partkey % 50 = 0)"""
+
+
+@query("src13_site_files", SITE_FILES + """
+SELECT slug, 'Site ' || CAST(min(k) AS STRING) AS name, 'https://s' || CAST(min(k) AS STRING) || '.example/' AS base_url, 'g' || CAST(arg_min(g, k) AS STRING) AS tagset_group, false AS enabled, false AS render_js,
+ CAST(60 + arg_min(p_size, k) AS INT) AS crawl_interval_sec, '{"n":' || CAST(min(k) AS STRING) || '}' AS config FROM f WHERE e = 0 AND slug NOT IN (SELECT slug FROM stored) GROUP BY slug""")
+def import_site_files(spark, d):
+    return site_files(spark, d)[1].drop("discovery_mode")
+
+
+@query("src13_refused_site_files", SITE_FILES + """
+SELECT lpad(CAST(k AS STRING), 12, '0') AS path, 0 AS position, CASE WHEN e < 6 THEN slug END AS slug, CASE e WHEN 1 THEN 'base_url' WHEN 2 THEN 'discovery_mode' WHEN 3 THEN 'tagset_group' WHEN 4 THEN 'flag' WHEN 5 THEN 'crawl_interval_sec' WHEN 6 THEN 'unreadable' ELSE 'not_a_list' END AS error
+FROM f, range(2) r(n) WHERE e BETWEEN 1 AND 7 AND (n = 0 OR e >= 6)""")
+def refused_site_files(spark, d):
+    return site_files(spark, d)[2]

@@ -179,16 +179,34 @@ def sniff(spark, d):
     return read(spark, d, "part").select("p_partkey", N.sniff_mime(F.concat(F.unhex(magic), F.encode("p_name", "UTF-8"))).alias("mime"))
 
 
-BODY = """'**标签**：' || coalesce(g.tags, '无') || chr(10) || '**来源**：' || s.name || ' · ' || coalesce(strftime(a.published_at + INTERVAL 8 HOUR, '%Y-%m-%d %H:%M'), '未知时间') || chr(10) || '**原文**：' || a.url ||
- CASE WHEN trim(coalesce(a.summary, '')) <> '' THEN chr(10) || chr(10) || '---' || chr(10) || '**AI 总结**：' || chr(10) || trim(a.summary, ' ' || chr(9) || chr(10) || chr(13) || chr(160)) ELSE '' END ||
- chr(10) || chr(10) || '---' || chr(10) || '附件（1）：' || chr(10) || '- f.pdf (2 KB)' || chr(10) || chr(10) || '---' || chr(10) || a.content_text"""
+DATE = "coalesce(strftime(a.published_at + INTERVAL 8 HOUR, '%Y-%m-%d %H:%M'), '未知时间')"
+GIVEN_SUMMARY = "trim(a.summary, ' ' || chr(9) || chr(10) || chr(13) || chr(160))"
 
 
-@query("str16_message_markdown", cte("articles", "sites", "article_tags") + f"""
+def plain_body(bold: str, rule: str) -> str:
+    """The message in SQL, with marks around headings and a rule between sections."""
+    return f"""'{bold}标签{bold}：' || coalesce(g.tags, '无') || chr(10) || '{bold}来源{bold}：' || s.name || ' · ' || {DATE} || chr(10) || '{bold}原文{bold}：' || a.url ||
+ CASE WHEN trim(coalesce(a.summary, '')) <> '' THEN {rule} || '{bold}AI 总结{bold}：' || chr(10) || {GIVEN_SUMMARY} ELSE '' END || {rule} || '附件（1）：' || chr(10) || '- f.pdf (2 KB)' || {rule} || a.content_text"""
+
+
+def quoted(value: str) -> str:
+    for plain, written in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("''", "&#x27;")):
+        value = f"replace({value}, '{plain}', '{written}')"
+    return value
+
+
+HTML_BODY = f"""'<b>标签</b>：' || {quoted("coalesce(g.tags, '无')")} || '<br><b>来源</b>：' || {quoted("s.name")} || ' · ' || {DATE} || '<br><b>原文</b>：<a href="' || {quoted("a.url")} || '">' || {quoted("a.url")} || '</a>' ||
+ CASE WHEN trim(coalesce(a.summary, '')) <> '' THEN '<hr><b>AI 总结</b>：<br>' || replace({quoted(GIVEN_SUMMARY)}, chr(10), '<br>') ELSE '' END || '<hr>附件（1）：<br>- f.pdf (2 KB)<hr><pre>' || {quoted("a.content_text")} || '</pre>'"""
+
+
+def message_sql(body: str) -> str:
+    return cte("articles", "sites", "article_tags") + f"""
 , g AS (SELECT article_id, string_agg('tag-' || CAST(tag_id AS STRING) || ' (0.' || lpad(CAST(conf_pct AS STRING), 2, '0') || ')', ' · ' ORDER BY conf_pct DESC, tag_id) AS tags FROM article_tags GROUP BY article_id),
-m AS (SELECT a.id, '[' || s.name || '] ' || CASE WHEN a.title = '' THEN '无标题' ELSE a.title END AS title, {BODY} AS body FROM articles a JOIN sites s ON s.id = a.site_id LEFT JOIN g ON g.article_id = a.id)
-SELECT id, title, md5(CASE WHEN length(body) <= 2000 THEN body ELSE rtrim(substr(body, 1, 1990), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160)) || '…（全文见原文链接）' END) AS body_md5 FROM m""")
-def message_markdown(spark, d):
+m AS (SELECT a.id, '[' || s.name || '] ' || CASE WHEN a.title = '' THEN '无标题' ELSE a.title END AS title, {body} AS body FROM articles a JOIN sites s ON s.id = a.site_id LEFT JOIN g ON g.article_id = a.id)
+SELECT id, title, md5(CASE WHEN length(body) <= 2000 THEN body ELSE rtrim(substr(body, 1, 1990), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160)) || '…（全文见原文链接）' END) AS body_md5 FROM m"""
+
+
+def messages(spark, d, body_format):
     tags = table(spark, d, "article_tags").groupBy("article_id").agg(
         F.array_sort(F.collect_list(F.struct((-F.col("conf_pct")).alias("o"), "tag_id", F.concat(F.lit("tag-"), F.col("tag_id").cast("string")).alias("name"), (F.col("conf_pct") / 100).alias("confidence")))).alias("tags")
     )
@@ -199,10 +217,25 @@ def message_markdown(spark, d):
     body = G.message_body(
         site_name=F.col("site_name"), url=F.col("url"), published_at=F.col("published_at"),
         tags=F.coalesce(F.transform("tags", lambda t: F.struct(t["name"].alias("name"), t["confidence"].alias("confidence"))), none),
-        content=F.col("content_text"), summary=F.col("summary"), attachments=files, body_format="markdown", tz="Asia/Shanghai",
+        content=F.col("content_text"), summary=F.col("summary"), attachments=files, body_format=body_format, tz="Asia/Shanghai",
     )
-    messages = rows.select("id", G.message_title(F.col("site_name"), F.col("title")).alias("title"), body.alias("body"))
-    return G.cut_to_limit(messages, F.lit(2000)).select("id", "title", F.md5("body").alias("body_md5"))
+    found = rows.select("id", G.message_title(F.col("site_name"), F.col("title")).alias("title"), body.alias("body"))
+    return G.cut_to_limit(found, F.lit(2000)).select("id", "title", F.md5("body").alias("body_md5"))
+
+
+@query("str16_message_markdown", message_sql(plain_body("**", "chr(10) || chr(10) || '---' || chr(10)")))
+def message_markdown(spark, d):
+    return messages(spark, d, "markdown")
+
+
+@query("str16_message_text", message_sql(plain_body("", "chr(10) || chr(10)")))
+def message_text(spark, d):
+    return messages(spark, d, "text")
+
+
+@query("str16_message_html", message_sql(HTML_BODY))
+def message_html(spark, d):
+    return messages(spark, d, "html")
 
 
 @query("ded5_ded10_array_rules", """
