@@ -143,9 +143,11 @@ def merge_candidates(candidates: DataFrame) -> DataFrame:
 
     def first_seen(column: str, keep: int | None = None) -> DataFrame:
         seen = rows.select("root", "position", F.posexplode(column).alias("_i", "_x")).groupBy("root", "_x").agg(F.min(F.struct("position", "_i")).alias("_at"))
+        if keep:
+            # Only what is kept is gathered.
+            seen = seen.withColumn("_r", F.row_number().over(Window.partitionBy("root").orderBy("_at"))).where(F.col("_r") <= keep)
         ordered = seen.groupBy("root").agg(F.array_sort(F.collect_list(F.struct("_at", "_x"))).alias("_l"))
-        texts = F.transform("_l", lambda e: e["_x"])
-        return ordered.select("root", (F.slice(texts, 1, keep) if keep else texts).alias(column))
+        return ordered.select("root", F.transform("_l", lambda e: e["_x"]).alias(column))
 
     merged = scalars.join(members, "root", "left").join(first_seen("keywords"), "root", "left").join(first_seen("titles", MAX_TITLES), "root", "left")
     none = F.array().cast("array<string>")
