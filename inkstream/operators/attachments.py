@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -16,7 +20,7 @@ CHANNELS = {
     "slack": (40000, 1024 * 1024 * 1024),
 }
 BODY_FORMATS = ("text", "markdown", "html")
-BLOCKS = 4096
+BLOCKS, BLOCK_ROWS = 4096, 100_000
 
 
 def channel_scheme(fingerprint: Column) -> Column:
@@ -76,11 +80,10 @@ def store_within_quota(downloads: DataFrame, stored: DataFrame, *, quota: int) -
     accepted = None
     while True:
         waiting = waiting.where(F.col("size_bytes") <= left)
-        bounds = waiting.agg(F.min("id"), F.max("id")).first()
-        if bounds[0] is None:
+        if waiting.isEmpty():
             break
         small = F.col("size_bytes") * 2 <= left
-        summed = running_sum(waiting.withColumn("_small", F.when(small, F.col("size_bytes")).otherwise(0)), "id", "_small", bounds[0], bounds[1])
+        summed = running_sum(waiting.withColumn("_small", F.when(small, F.col("size_bytes")).otherwise(0)), "id", "_small")
         summed = cut_lineage(summed)
         ends = F.when(small, (left - F.col("total")) * 2 < left).otherwise(F.col("size_bytes") <= left - F.col("total"))
         end = summed.where(ends).agg(F.min("id")).first()[0]
@@ -106,10 +109,22 @@ def store_decisions(downloads: DataFrame, stored: DataFrame, *, quota: int) -> D
     return decided.select("id", "outcome", F.when(kept, blob_path(F.col("sha256"))).alias("path"), F.when(~kept, F.lit("quota exceeded")).alias("skip_reason"))
 
 
-def running_sum(rows: DataFrame, order: str, value: str, low: int, high: int, *, blocks: int = BLOCKS) -> DataFrame:
-    """Adds `total`: running sum in `order`. Blocks are summed apart and shifted by their offsets."""
-    width = max(1, (high - low) // blocks + 1)
-    blocked = rows.withColumn("_block", F.floor((F.col(order) - low) / width))
+def running_sum(rows: DataFrame, order: str, value: str, *, blocks: int = BLOCKS) -> DataFrame:
+    """Adds `total`: running sum in `order`, an integer; ties in any order. Blocks are summed apart and shifted by their offsets.
+
+    Blocks end at quantiles of `order`, so they hold about equally many rows however the values lie.
+    """
+    blocks = min(blocks, math.ceil(rows.count() / BLOCK_ROWS))
+    ends = np.array([], dtype=np.int64)
+    if blocks > 1:
+        found = rows.agg(F.percentile_approx(order, [i / blocks for i in range(1, blocks)], 10 * blocks)).first()[0]
+        ends = np.unique(np.array(found, dtype=np.int64))
+
+    @F.pandas_udf("int")
+    def block(values: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(ends, values.to_numpy(np.int64)))
+
+    blocked = rows.withColumn("_block", block(order) if len(ends) else F.lit(0))
     sums = blocked.groupBy("_block").agg(F.sum(value).alias("_s"))
     # At most `blocks` summary rows exist, so one task may order them.
     before = Window.partitionBy(F.lit(0)).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)

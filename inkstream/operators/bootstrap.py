@@ -193,11 +193,8 @@ def assign_ids(document_tags: DataFrame, stored: DataFrame) -> DataFrame:
     """
     known = document_tags.join(stored.select("group_id", "slug", "id"), ["group_id", "slug"], "left")
     fresh = cut_lineage(known.where("id IS NULL").drop("id").withColumn("_one", F.lit(1)))
-    low, high = fresh.agg(F.min("position"), F.max("position")).first()
     top = stored.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-    if low is None:
-        return known.where("id IS NOT NULL")
-    numbered = running_sum(fresh, "position", "_one", low, high)
+    numbered = running_sum(fresh, "position", "_one")
     return known.where("id IS NOT NULL").unionByName(numbered.withColumn("id", F.col("total") + top).drop("total", "_one"))
 
 

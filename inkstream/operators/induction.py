@@ -31,8 +31,7 @@ def fold_duplicates(candidates: DataFrame, members: DataFrame) -> tuple[DataFram
 
 
 def _level(tags: DataFrame, members: DataFrame, call: Call, size: int, *, most: int, least: int) -> tuple[DataFrame, DataFrame]:
-    low, high = tags.agg(F.min("position"), F.max("position")).first()
-    numbered = running_sum(tags.withColumn("_one", F.lit(1)), "position", "_one", low, high)
+    numbered = running_sum(tags.withColumn("_one", F.lit(1)), "position", "_one")
     chunked = cut_lineage(numbered.withColumn("chunk", F.floor((F.col("total") - 1) / size)).select("chunk", *tags.columns))
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:

@@ -39,9 +39,13 @@ def _classes(node: Column) -> Column:
     return F.filter(F.split(F.coalesce(node["attrs"]["class"], F.lit("")), r"\s+"), lambda c: c.rlike(SAFE_CLASS))
 
 
+def _wanted(node: Column) -> Column:
+    return F.slice(_classes(node), 1, 2)
+
+
 def css_part(node: Column) -> Column:
     """Tag with its first two plain classes."""
-    return F.concat(node["tag"], F.array_join(F.transform(F.slice(_classes(node), 1, 2), lambda c: F.concat(F.lit("."), c)), ""))
+    return F.concat(node["tag"], F.array_join(F.transform(_wanted(node), lambda c: F.concat(F.lit("."), c)), ""))
 
 
 def links(parsed: DataFrame, *, with_items: bool = False) -> DataFrame:
@@ -51,18 +55,24 @@ def links(parsed: DataFrame, *, with_items: bool = False) -> DataFrame:
     """
     nodes = F.col("nodes")
 
-    def facts(a: Column) -> Column:
+    def facts(a: Column, page: Column | None) -> Column:
         fields = [
             a["id"].alias("n_id"), a["up"].alias("up"), a["attrs"]["href"].alias("href"), a["attrs"]["title"].alias("title"),
             H.text_of(nodes, a, "").alias("text"), H.text_of(nodes, a, " ").alias("spaced_text"),
             F.split(F.lower(F.coalesce(a["attrs"]["rel"], F.lit(""))), r"\s+").alias("rel"), css_part(a).alias("css"),
         ]
-        if with_items:
-            fields.append(_items_above(nodes, a).alias("above"))
+        if page is not None:
+            fields.append(_items_above(nodes, a, page).alias("above"))
         return F.struct(*fields)
 
-    prepared = _with_dated_elements(parsed) if with_items else parsed
-    found = prepared.withColumn("_links", F.transform(H.select(nodes, "a[href]"), facts))
+    anchors = H.select(nodes, "a[href]")
+    if with_items:
+        # What concerns the whole page is bound once, so that no link computes it again.
+        page = F.struct(_dated_elements(nodes).alias("dated"), _item_kinds(nodes).alias("kinds"))
+        per_link = let(page, lambda p: F.transform(anchors, lambda a: facts(a, p)))
+    else:
+        per_link = F.transform(anchors, lambda a: facts(a, None))
+    found = parsed.withColumn("_links", per_link)
     found = found.withColumn("_abs", U.absolute_urls(F.col("url"), F.col("_links.href")))
     rows = found.select("page_id", "url", F.explode(F.arrays_zip("_links", "_abs")).alias("l"))
     return rows.select("page_id", "url", "l._links.*", F.col("l._abs").alias("target"))
@@ -73,19 +83,15 @@ def _same_host(target: Column, url: Column) -> Column:
     return F.coalesce(scheme.isin("http", "https") & (U.host_of(target) == U.host_of(url)), F.lit(False))
 
 
-def _with_dated_elements(parsed: DataFrame) -> DataFrame:
-    """Adds `_dated`: innermost elements with a date in their own text."""
-    nodes = F.col("nodes")
+def _dated_elements(nodes: Column) -> Column:
+    """Innermost elements with a date in their own text."""
     dated_texts = F.filter(nodes, lambda n: (n["tag"] == "#text") & n["text"].rlike(PAGE_DATE))
-    holders = parsed.withColumn("_holders", F.transform(dated_texts, lambda t: F.get(nodes, t["up"])))
-    innermost = F.filter(
-        "_holders", lambda e: ~F.exists("_holders", lambda o: (o["id"] > e["id"]) & (o["id"] <= e["last"]))
-    )
-    return holders.withColumn("_dated", innermost)
+    holders = F.transform(dated_texts, lambda t: F.get(nodes, t["up"]))
+    return let(holders, lambda all_: F.filter(all_, lambda e: ~F.exists(all_, lambda o: (o["id"] > e["id"]) & (o["id"] <= e["last"]))))
 
 
-def _items_above(nodes: Column, a: Column) -> Column:
-    """Candidate items around a link: item_css, item_id, level, n_matching, date_css."""
+def _chain(nodes: Column, a: Column) -> Column:
+    """The up to three elements around a link that could be its list item, innermost first."""
     first = F.get(nodes, a["up"])
     second = F.get(nodes, first["up"])
     chain = F.array(first, second, F.get(nodes, second["up"]))
@@ -93,19 +99,39 @@ def _items_above(nodes: Column, a: Column) -> Column:
     def outside(p: Column) -> Column:
         return p.isNull() | p["tag"].isin("html", "body")
 
+    return let(chain, lambda c: F.filter(c, lambda p, i: ~F.exists(F.slice(c, F.lit(1), i + 1), outside)))
+
+
+def _item_kinds(nodes: Column) -> Column:
+    """Selector of every kind of element around links -> number of elements of the page that it selects.
+
+    Kinds are few on a page, so each is counted once however many links it surrounds.
+    """
+    kind = lambda p: F.struct(css_part(p).alias("css"), p["tag"].alias("tag"), _wanted(p).alias("wanted"))
+    around = F.flatten(F.transform(H.select(nodes, "a[href]"), lambda a: F.transform(_chain(nodes, a), kind)))
+    slim = F.transform(nodes, lambda n: F.struct(n["tag"].alias("tag"), F.split(F.coalesce(n["attrs"]["class"], F.lit("")), r"\s+").alias("classes")))
+
+    def counted(kinds: Column, all_: Column) -> Column:
+        # A tag with dots in its name can spell another kind's selector; the first one stands.
+        first = F.filter(kinds, lambda k, i: ~F.exists(F.slice(kinds, F.lit(1), i), lambda o: o["css"] == k["css"]))
+        selects = lambda k, n: (n["tag"] == k["tag"]) & (F.size(F.array_except(k["wanted"], n["classes"])) == 0)
+        return F.map_from_entries(F.transform(first, lambda k: F.struct(k["css"], F.size(F.filter(all_, lambda n: selects(k, n))))))
+
+    return let(slim, lambda all_: let(F.array_distinct(around), lambda kinds: counted(kinds, all_)))
+
+
+def _items_above(nodes: Column, a: Column, page: Column) -> Column:
+    """Candidate items around a link: item_css, item_id, level, n_matching, date_css."""
+
     def describe(p: Column, level: Column) -> Column:
-        wanted = F.slice(_classes(p), 1, 2)
-        matching = F.filter(
-            nodes, lambda n: (n["tag"] == p["tag"]) & (F.size(F.array_except(wanted, F.split(F.coalesce(n["attrs"]["class"], F.lit("")), r"\s+"))) == 0)
-        )
-        dates = F.filter("_dated", lambda d: (d["id"] > p["id"]) & (d["id"] <= p["last"]))
+        dates = F.filter(page["dated"], lambda d: (d["id"] > p["id"]) & (d["id"] <= p["last"]))
+        css = css_part(p)
         return F.struct(
-            css_part(p).alias("item_css"), p["id"].alias("item_id"), level.alias("level"), F.size(matching).alias("n_matching"),
+            css.alias("item_css"), p["id"].alias("item_id"), level.alias("level"), F.try_element_at(page["kinds"], css).alias("n_matching"),
             F.array_distinct(F.transform(dates, css_part)).alias("date_css"),
         )
 
-    kept = let(chain, lambda c: F.filter(c, lambda p, i: ~F.exists(F.slice(c, F.lit(1), i + 1), outside)))
-    return F.transform(kept, describe)
+    return F.transform(_chain(nodes, a), describe)
 
 
 def selector_candidates(link_rows: DataFrame, *, top: int = 5) -> DataFrame:
@@ -428,17 +454,6 @@ def emit_config(candidates: DataFrame, tagset_group: str | None = None) -> DataF
     return candidates.withColumn("tagset_group", F.lit(tagset_group).cast("string"))
 
 
-def reachable_pages(start: DataFrame, link_rows: DataFrame, fetched: DataFrame, *, depth: int = 2) -> DataFrame:
-    """Bounded breadth-first reading order over already fetched pages: (site, page_id, depth)."""
-    edges = cut_lineage(link_rows.select("page_id", F.col("target").alias("url")).distinct().join(fetched.select("url", F.col("page_id").alias("next_id")), "url").select("page_id", "next_id"))
-    level = start.select("site", "page_id", F.lit(0).alias("depth"))
-    seen = level
-    for step in range(1, depth + 1):
-        level = level.join(edges, "page_id").select("site", F.col("next_id").alias("page_id"), F.lit(step).alias("depth")).distinct()
-        seen = seen.unionByName(level)
-    return seen.groupBy("site", "page_id").agg(F.min("depth").alias("depth"))
-
-
 def last_by_url(resources: DataFrame, scope: str = "page_id", position: str = "position") -> DataFrame:
     """Feeds or sitemaps of a site that were found more than once: the last finding stands, at the first one's place."""
     rest = [c for c in resources.columns if c not in (scope, "url", position)]

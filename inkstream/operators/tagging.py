@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import re
-from collections import defaultdict
 from dataclasses import dataclass
-from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -21,8 +20,8 @@ def top_articles_per_tag(article_tags: DataFrame, score: str, *, k: int = 20) ->
     return article_tags.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= k).drop("_rank")
 
 
-# Centroids of one matrix product; a tag set of any size is met block by block.
-CENTROID_BLOCK = 1024
+# Rows of one matrix product: centroids of a block, vectors of a part.
+CENTROID_BLOCK, VECTOR_PART = 1024, 8192
 
 
 def _unit_rows(rows: list) -> np.ndarray:
@@ -31,49 +30,63 @@ def _unit_rows(rows: list) -> np.ndarray:
     return matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-12)
 
 
-def _best_of_block(vectors: DataFrame, block: list, k: int | None) -> DataFrame:
-    """(article_id, slug, threshold, score) against the centroids of one block: the k best that reach their threshold, or all."""
-    by_size: dict[int, list] = defaultdict(list)
-    for row in block:
-        by_size[len(row["centroid"])].append(row)
-    matrices = {n: (_unit_rows([r["centroid"] for r in rows]), np.array([r["threshold"] for r in rows]), [r["slug"] for r in rows]) for n, rows in by_size.items()}
-    schema = f"article_id {vectors.schema['article_id'].dataType.simpleString()}, slug string, threshold double, score double"
+def _matrices(block: pd.DataFrame) -> dict[int, tuple]:
+    """Unit centroids, thresholds and slugs of a block by dimension."""
+    by_size = block.groupby(block["centroid"].map(len))
+    return {n: (_unit_rows(rows["centroid"].tolist()), rows["threshold"].to_numpy(np.float64), rows["slug"].to_numpy(object)) for n, rows in by_size}
 
-    def run(batches):
-        for batch in batches:
-            parts = []
-            for size, group in batch.groupby(batch["vector"].map(len)):
-                if size not in matrices:
-                    continue
-                tags, floors, slugs = matrices[size]
-                scores = _unit_rows(group["vector"].tolist()) @ tags.T
-                kept = np.ones_like(scores, dtype=bool) if k is None else scores >= floors
-                if k is not None and k < len(slugs):
-                    # Ties at the last place stay; the exact order is made over all blocks.
-                    last = np.partition(np.where(kept, scores, -np.inf), -k, axis=1)[:, -k][:, None]
-                    kept &= scores >= last
-                rows, tag = np.nonzero(kept)
-                parts.append(pd.DataFrame({"article_id": group["article_id"].to_numpy()[rows], "slug": np.array(slugs, dtype=object)[tag], "threshold": floors[tag], "score": scores[rows, tag]}))
-            if parts:
-                yield pd.concat(parts)
-
-    return vectors.select("article_id", "vector").where("vector IS NOT NULL").mapInPandas(run, schema)
+
+def _best_of_block(vectors: pd.DataFrame, matrices: dict[int, tuple], k: int | None) -> pd.DataFrame:
+    """(article_id, slug, threshold, score) against the centroids of one block: the k best that reach their threshold, or all."""
+    parts = [pd.DataFrame({"article_id": vectors["article_id"].iloc[:0], "slug": pd.Series(dtype=object), "threshold": pd.Series(dtype=float), "score": pd.Series(dtype=float)})]
+    for size, group in vectors.groupby(vectors["vector"].map(len)):
+        if size not in matrices:
+            continue
+        tags, floors, slugs = matrices[size]
+        scores = _unit_rows(group["vector"].tolist()) @ tags.T
+        kept = np.ones_like(scores, dtype=bool) if k is None else scores >= floors
+        if k is not None and k < len(slugs):
+            # Ties at the last place stay; the exact order is made over all blocks.
+            last = np.partition(np.where(kept, scores, -np.inf), -k, axis=1)[:, -k][:, None]
+            kept &= scores >= last
+        rows, tag = np.nonzero(kept)
+        parts.append(pd.DataFrame({"article_id": group["article_id"].to_numpy()[rows], "slug": slugs[tag], "threshold": floors[tag], "score": scores[rows, tag]}))
+    return pd.concat(parts[1:]) if len(parts) > 1 else parts[0]
 
 
 def cosine_scores(vectors: DataFrame, centroids: DataFrame, *, k: int | None = None, block_rows: int = CENTROID_BLOCK) -> DataFrame:
     """(article_id, slug, threshold, score) of article vectors and centroids of equal dimension.
 
-    Input: article_id, vector / slug, threshold, centroid. Articles stay where they are; the centroids come in blocks
-    of at most block_rows, each a matrix product per batch. With k, only scores that reach the tag's threshold and are
-    among the k best of the block (with ties) leave the batch.
+    Input: article_id, vector / slug, threshold, centroid. A tag set of at most block_rows goes along with the task and
+    the articles stay where they are. A larger one is cut into blocks and the articles into parts, and each part meets each
+    block by key on the executors. With k, only scores that reach the tag's threshold and are among the k best of
+    the block (with ties) leave a product.
     """
-    usable = centroids.where("centroid IS NOT NULL").select("slug", "threshold", "centroid").orderBy("slug")
-    found, block = None, []
-    rows = usable.toLocalIterator()
-    while block := list(islice(rows, block_rows)):
-        scored = _best_of_block(vectors, block, k)
-        found = scored if found is None else found.unionAll(scored)
-    return _best_of_block(vectors, [], k) if found is None else found
+    schema = f"article_id {vectors.schema['article_id'].dataType.simpleString()}, slug string, threshold double, score double"
+    rows = vectors.select("article_id", "vector").where("vector IS NOT NULL")
+    usable = centroids.where("centroid IS NOT NULL").select("slug", "threshold", "centroid")
+    total = usable.count()
+    if total <= block_rows:
+        # At most block_rows rows, as just counted.
+        found = usable.collect()
+        only = _matrices(pd.DataFrame({c: pd.Series([r[c] for r in found], dtype=object) for c in usable.columns}))
+
+        def along(batches):
+            for batch in batches:
+                yield _best_of_block(batch, only, k)
+
+        return rows.mapInPandas(along, schema)
+    blocks, parts = math.ceil(total / block_rows), max(1, math.ceil(rows.count() / VECTOR_PART))
+    place = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = rows.withColumn("_part", place("article_id", parts)).withColumn("_block", every(blocks))
+    right = usable.withColumn("_block", place("slug", blocks)).withColumn("_part", every(parts))
+
+    def met(some: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
+        return _best_of_block(some, _matrices(block), k)
+
+    keys = ["_part", "_block"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(met, schema)
 
 
 def local_tags(vectors: DataFrame, centroids: DataFrame, *, k: int = 5) -> DataFrame:

@@ -9,6 +9,7 @@ from ..operators import onboarding as O
 from ..operators import selectors as S
 from ..operators import site_walk as W
 from ..operators.extraction import ExtractConfig, extract_articles
+from ..session import cut_lineage
 from .bridge import read, read_spread
 from .catalogue import query
 from .discovery import EXTRACT, ORIGIN
@@ -155,11 +156,17 @@ def page_types(spark, d):
 
 @query("htm9_onb1_onb3_config_candidates")
 def config_candidates(spark, d):
-    pages = parsed(spark, d)
-    links = O.links(pages)
-    selectors = O.selector_candidates(O.links(pages, with_items=True))
+    pages = read_spread(spark, d, "pages", "page_id", "url", "html")
+    return configs(pages)
+
+
+def configs(pages):
+    """Pages are parsed once for their links, which are stored, and once for their types."""
+    tree = O.parse(pages)
+    links = cut_lineage(O.links(tree, with_items=True))
+    selectors = cut_lineage(O.selector_candidates(links))
     resources = pages.select("page_id", F.when(F.col("page_id") % 3 == 0, F.concat("url", F.lit("/feed"))).alias("feed_url"), F.when(F.col("page_id") % 3 == 1, F.concat("url", F.lit("/sitemap.xml"))).alias("sitemap_url"))
-    return O.emit_config(O.config_candidates(O.page_types(pages, selectors), selectors, O.pagination_candidates(links), resources), "campus")
+    return O.emit_config(O.config_candidates(O.page_types(tree, selectors), selectors, O.pagination_candidates(links), resources), "campus")
 
 
 @query("url4_site_slug", """

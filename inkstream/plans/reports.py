@@ -58,15 +58,11 @@ SELECT s.id AS subscription_id, t.id AS site_id FROM subscriptions s JOIN sites
   CASE WHEN site_filter IS NULL OR site_filter = '' THEN true WHEN NOT json_valid(site_filter) THEN false
     WHEN json_type(site_filter) <> 'ARRAY' THEN false ELSE list_contains(CAST(CAST(site_filter AS JSON) AS BIGINT[]), t.id) END""")
 def site_filter(spark, d):
-    from ..operators.matching import site_rule
-
-    subs = table(spark, d, "subscriptions").select(F.col("id").alias("subscription_id"), site_rule(F.col("site_filter")).alias("rule"))
-    sites = table(spark, d, "sites").select(F.col("id").cast("bigint").alias("site_id"))
-    # Listed sites join by id; the unrestricted subscriptions take the whole (small) site list.
-    listed = subs.select("subscription_id", F.explode("rule").alias("site_id")).join(sites, "site_id")
-    every = sites.agg(F.collect_list("site_id").alias("all_sites"))
-    free = subs.where("rule IS NULL").join(F.broadcast(every)).select("subscription_id", F.explode("all_sites").alias("site_id"))
-    return listed.select("subscription_id", "site_id").unionByName(free).select("subscription_id", F.col("site_id").cast("int").alias("site_id"))
+    from ..operators.matching import allowed_pairs, site_rule
+
+    rules = table(spark, d, "subscriptions").select(F.col("id").alias("subscription_id"), site_rule(F.col("site_filter")).alias("rule"))
+    pairs = allowed_pairs(rules, table(spark, d, "sites").select(F.col("id").alias("site_id")))
+    return pairs.select("subscription_id", F.col("site_id").cast("int").alias("site_id"))
 
 
 TITLE_PATTERNS, TEXT_PATTERNS = ["^the\\b", "lorem"], ["license", "token\\s*="]

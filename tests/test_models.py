@@ -36,3 +36,16 @@ def test_freeze_refuses_to_drop_subscribed_tags(spark, tmp_path):
     bad = good.where(F.col("slug") != "a")
     with pytest.raises(ValueError, match="subscribed"):
         B.freeze(bad, stored, links, path, version="v3")
+
+
+def test_local_tags_are_the_same_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(G, "VECTOR_PART", 3)
+    vectors = spark.range(11).selectExpr("id AS article_id", "transform(sequence(1, IF(id = 4, 3, 2)), i -> CAST((id * 7 + i * 5) % 11 - 5 AS DOUBLE)) AS vector")
+    tags = spark.range(9).selectExpr("concat('t', id) AS slug", "0.1D AS threshold", "transform(sequence(1, 2), i -> CAST((id * 3 + i * i) % 7 - 3 AS DOUBLE)) AS centroid")
+    key = lambda rows: sorted((r.article_id, r.slug, round(r.score, 9)) for r in rows.collect())
+    assert key(G.cosine_scores(vectors, tags, block_rows=2)) == key(G.cosine_scores(vectors, tags))
+    best = lambda rows: set(key(rows))
+    whole, cut = best(G.cosine_scores(vectors, tags, k=3)), best(G.cosine_scores(vectors, tags, k=3, block_rows=2))
+    assert whole and whole <= cut
+    assert not G.cosine_scores(vectors, tags.limit(0), k=3).collect()
+    assert not G.cosine_scores(vectors.limit(0), tags, block_rows=2).collect()

@@ -302,3 +302,32 @@ def test_quota_equals_one_file_after_the_other(spark, seed):
     got = A.store_decisions(spark.createDataFrame(files, schema), spark.createDataFrame(stored, schema), quota=4000).collect()
     assert {r.id: r.outcome for r in got} == want and set(want.values()) == {"reused", "downloaded", "skipped"}
     assert all((r.path is None) == (r.outcome == "skipped") == (r.skip_reason is not None) for r in got)
+
+
+def test_running_sum_blocks_follow_the_rows(spark, monkeypatch):
+    from inkstream.operators import attachments as A
+
+    monkeypatch.setattr(A, "BLOCK_ROWS", 10)
+    ids = [*range(100), 10**15, 10**15 + 7, -(10**12)]
+    rows = spark.createDataFrame([(i, i % 5) for i in ids], "id bigint, size bigint")
+    total, expected = 0, {}
+    for i in sorted(ids):
+        total += i % 5
+        expected[i] = total
+    assert {r.id: r.total for r in A.running_sum(rows, "id", "size").collect()} == expected
+    assert not A.running_sum(rows.limit(0), "id", "size").collect()
+
+
+def test_segments_of_full_slots(spark):
+    from inkstream.operators.sequences import with_segments
+
+    # One key with a full hour, a full second and a full microsecond; one with few rows.
+    rows = [("a", 1_000_000 * s, n) for s in range(3) for n in range(4)] + [("a", 5_000_000 + u, n) for u in range(4) for n in range(3)] + [("a", 3_600_000_000 * 2, 0), ("b", 7, 0)]
+    found = with_segments(spark.createDataFrame(rows, "k string, at bigint, n int"), ["k"], "at", rows_per_segment=5).collect()
+    assert sorted((r.k, r.at, r.n) for r in found) == sorted(rows)
+    mine = sorted((r.at, r.segment) for r in found if r.k == "a")
+    assert [s for _, s in mine] == sorted(s for _, s in mine)
+    sizes = {}
+    for at, segment in mine:
+        sizes[segment] = sizes.get(segment, 0) + 1
+    assert len(sizes) > 3 and max(sizes.values()) < 10
