@@ -312,6 +312,31 @@ def text_of(nodes: Column, node: Column, separator: str = " ", *, visible: bool
     return F.array_join(F.transform(F.filter(nodes, wanted), lambda n: n["text"]), separator)
 
 
+# Fixed value: elements that belong to the head where a page does not mark its body.
+HEAD = ("html", "head", "title", "meta", "link", "base", "style", "script", "template", "noscript")
+
+
+def _region(nodes: Column, start: Column, begin: Column) -> Column:
+    """A node that spans everything from node `start` on."""
+    stop = F.array_max(F.transform(nodes, lambda n: n["stop"]))
+    whole = F.get(nodes, 0).withField("id", start.cast("int")).withField("last", (F.size(nodes) - 1).cast("int"))
+    return whole.withField("tag", F.lit("body")).withField("begin", begin).withField("stop", stop)
+
+
+def page_of(nodes: Column) -> Column:
+    """The whole page, which may have several outermost elements."""
+    return _region(nodes, F.lit(0), F.get(nodes, 0)["begin"])
+
+
+def body_of(nodes: Column) -> Column:
+    """The body element, or where none is marked all that follows the head elements at the start."""
+    top = lambda n: (n["up"] == -1) | (F.get(nodes, n["up"])["tag"] == "html")
+    content = F.filter(nodes, lambda n: F.when(n["tag"] == "#text", F.coalesce(top(n), F.lit(True))).otherwise(~n["tag"].isin(*HEAD)))
+    start = F.get(content, 0)
+    implied = _region(nodes, F.coalesce(start["id"], F.size(nodes)), F.coalesce(start["begin"], F.get(nodes, F.size(nodes) - 1)["stop"]))
+    return F.coalesce(first(nodes, "body"), implied)
+
+
 # Own weights of the main-text score, in words: what an element costs, and what makes a word.
 BLOCK_COST, LINK_COST, LETTERS_PER_WORD, LEAST_SCORE = 2.0, 3.0, 6.0, 10.0
 INLINE = ("a", "abbr", "b", "br", "cite", "code", "em", "font", "i", "img", "mark", "q", "s", "small", "span", "strong", "sub", "sup", "time", "u", "wbr")

@@ -174,6 +174,16 @@ def drop_reasons(tags: DataFrame, *, document_count: int, min_docs: int, max_rat
     return tags.select("slug", reason.alias("reason")).where("reason IS NOT NULL")
 
 
+def curation_notes(tags: DataFrame, *, document_count: int, min_docs: int, max_tags: int, max_ratio: float = 0.4) -> DataFrame:
+    """(slug, note): why each tag that `curate` leaves out is left out."""
+    rule = {"document_count": document_count, "min_docs": min_docs, "max_ratio": max_ratio}
+    refused = drop_reasons(tags, **rule)
+    kept = curate(tags, max_tags=max_tags, **rule)
+    beyond = tags.select("slug").join(refused, "slug", "left_anti").join(kept.select("slug"), "slug", "left_anti")
+    both = refused.unionByName(beyond.withColumn("reason", F.lit(f"beyond max_tags={max_tags}")))
+    return both.select("slug", F.concat(F.lit("dropped '"), "slug", F.lit("': "), "reason").alias("note"))
+
+
 def report_lines(tags: DataFrame) -> DataFrame:
     """One report section per tag, in curation order."""
     dash = F.lit("—")
@@ -186,6 +196,26 @@ def report_lines(tags: DataFrame) -> DataFrame:
     return tags.select("slug", "coverage", section.alias("section"))
 
 
+def report_document(kept: DataFrame, notes: DataFrame, *, group: str, mode: str, document_count: int, status: str) -> DataFrame:
+    """(part, position, text): the pieces of a whole report; joined in that order by line breaks they are the document.
+
+    Part 0 is the heading, 1 the sections of the kept tags in curation order, 2 the heading of what was merged or dropped, 3
+    its notes (position, note), or one line that there are none.
+    """
+    lines = [f"# Tagset bootstrap report: {group}", "", f"- Status: **{status}**", f"- Build mode: `{mode}`", f"- Historical articles: {document_count}", "- Curated tags: "]
+    head = kept.agg(F.count(F.lit(1)).alias("n")).select(
+        F.lit(0).alias("part"), F.lit(0).cast("bigint").alias("position"), F.concat(F.lit("\n".join(lines)), F.col("n").cast("string"), F.lit("\n\n## Tags\n")).alias("text")
+    )
+    # Curation leaves at most max_tags tags, so one task may number them.
+    order = Window.partitionBy(F.lit(0)).orderBy(F.col("coverage").desc(), "slug")
+    sections = report_lines(kept).select(F.lit(1).alias("part"), F.row_number().over(order).cast("bigint").alias("position"), F.col("section").alias("text"))
+    first = notes.agg(F.count(F.lit(1)).alias("n")).select(
+        F.lit(2).alias("part"), F.lit(0).cast("bigint").alias("position"), F.when(F.col("n") > 0, "## Merged / dropped\n").otherwise("## Merged / dropped\n\n- None").alias("text")
+    )
+    rest = notes.select(F.lit(3).alias("part"), F.col("position").cast("bigint").alias("position"), F.concat(F.lit("- "), "note").alias("text"))
+    return head.unionByName(sections).unionByName(first).unionByName(rest)
+
+
 def assign_ids(document_tags: DataFrame, stored: DataFrame) -> DataFrame:
     """Stable ids: known (group_id, slug) keep theirs, new ones continue after the largest id.
 
@@ -222,11 +252,22 @@ def cluster_vectors(vectors: DataFrame, *, k: int, seed: int = 7) -> DataFrame:
     return model.transform(features).select("id", F.col("prediction").alias("label"))
 
 
-def backfill_pages(max_pages: int) -> int:
-    """History runs read between 1 and 500 pages per entry."""
-    if not 1 <= max_pages <= 500:
-        raise ValueError("max_pages must be between 1 and 500")
-    return max_pages
+# Fixed value: pages of one entry that a history run may read.
+MAX_HISTORY_PAGES = 500
+
+
+def history_entries(entries: DataFrame, asked: Column) -> tuple[DataFrame, DataFrame]:
+    """(entries to read back, refused ones with `reason`) of a history run.
+
+    Entries as in `sources.discovery.page_urls`, without max_pages. `asked` pages are read, or up to the last known one
+    (max_page) where none are asked for; an entry without pagination, or outside of 1 to MAX_HISTORY_PAGES, is refused alone.
+    """
+    pages = F.coalesce(asked, F.col("max_page"))
+    reason = F.when(F.coalesce("mode", F.lit("none")) == "none", "no pagination").when(
+        ~F.coalesce(pages.between(1, MAX_HISTORY_PAGES), F.lit(False)), f"pages must be in 1..{MAX_HISTORY_PAGES}"
+    )
+    judged = entries.withColumn("max_pages", pages.cast("int")).withColumn("reason", reason)
+    return judged.where("reason IS NULL").drop("reason"), judged.where("reason IS NOT NULL")
 
 
 def require(problems: DataFrame, message: str, columns: Sequence[str]) -> None:

@@ -89,11 +89,11 @@ def extract_articles(pages: DataFrame, config: ExtractConfig, *, key: str = "pag
     nodes = F.col("_nodes")
     chosen = config.selectors.get("content")
     unread = ", ".join([*config.strip_selectors, "script", "style", "template"])
-    named, body = F.coalesce(H.first(nodes, "article"), H.first(nodes, "main")), F.coalesce(H.first(nodes, "body"), F.get(nodes, 0))
+    named, body = F.coalesce(H.first(nodes, "article"), H.first(nodes, "main")), H.body_of(nodes)
     selected = H.first(nodes, chosen) if chosen else F.get(nodes, F.lit(-1))
     parsed = pages if "_nodes" in pages.columns else pages.withColumn("_nodes", H.dom("html"))
     parsed = parsed.withColumn("_selected", selected)
-    parsed = parsed.withColumn("_content", F.col("_selected") if chosen else H.first(nodes, "body"))
+    parsed = parsed.withColumn("_content", F.col("_selected") if chosen else body)
     if config.attachments:
         parsed = _with_attachments(parsed, config.attachments)
     else:
@@ -125,7 +125,7 @@ def extract_articles(pages: DataFrame, config: ExtractConfig, *, key: str = "pag
     fallback_title = F.when(missed, F.coalesce(H.value_of(nodes, None, "h1"), H.value_of(nodes, None, "title")))
     published = chosen_value("published_at")
     if regex := config.selectors.get("published_at_regex"):
-        page_text = H.text_of(nodes, F.get(nodes, 0))
+        page_text = H.text_of(nodes, H.page_of(nodes))
         group = 1 if "(" in regex.replace("(?:", "").replace("\\(", "") else 0
         published = F.coalesce(F.nullif(F.regexp_extract(page_text, regex, group), F.lit("")), published)
     extracted = parsed.select(

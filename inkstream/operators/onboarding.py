@@ -231,7 +231,7 @@ def median_of(days: Column) -> Column:
 
 def page_median_day(parsed: DataFrame) -> DataFrame:
     nodes = F.col("nodes")
-    return parsed.select("page_id", median_of(page_date_days(H.text_of(nodes, F.get(nodes, 0)))).alias("median_day"))
+    return parsed.select("page_id", median_of(page_date_days(H.text_of(nodes, H.page_of(nodes)))).alias("median_day"))
 
 
 def pagination_direction(candidates: DataFrame) -> DataFrame:
@@ -381,7 +381,7 @@ def article_text(parsed: DataFrame) -> DataFrame:
     """(page_id, url, title, text) used to compare two forms of one article."""
     nodes = F.col("nodes")
     title = F.coalesce(H.value_of(nodes, None, "h1"), H.value_of(nodes, None, "title"), F.lit(""))
-    root = F.coalesce(H.first(nodes, "article, main"), H.first(nodes, "body"), F.get(nodes, 0))
+    root = F.coalesce(H.first(nodes, "article, main"), H.body_of(nodes))
     # The rule compares the first 20,000 characters.
     return parsed.select("page_id", "url", title.alias("title"), F.substring(H.text_of(nodes, root), 1, 20_000).alias("text"))
 
@@ -405,8 +405,7 @@ def page_types(parsed: DataFrame, selectors: DataFrame) -> DataFrame:
     """Type of every page: html_list, likely_spa, navigation, article, possible_list or unknown."""
     nodes = F.col("nodes")
     title = F.coalesce(H.value_of(nodes, None, "title"), U.host_of(F.col("url")))
-    body = F.coalesce(H.first(nodes, "body"), F.get(nodes, 0))
-    text = H.text_of(nodes, body)
+    text = H.text_of(nodes, H.body_of(nodes))
     facts = parsed.select(
         "page_id", "url", title.alias("title"), text.alias("_text"),
         F.size(H.select(nodes, "script")).alias("_scripts"), F.size(H.select(nodes, "[id=root], [id=app], [data-reactroot]")).alias("_roots"),
@@ -454,6 +453,55 @@ def emit_config(candidates: DataFrame, tagset_group: str | None = None) -> DataF
     return candidates.withColumn("tagset_group", F.lit(tagset_group).cast("string"))
 
 
+# For every key of a site report the confidence of a finding, that of a missing one, and what is then said.
+FINDINGS = {
+    "page_type": ("medium", "failed", "page not read"),
+    "render_js": ("high", "failed", "page not read"),
+    "feed": ("high", "low", "no declared or common feed validated"),
+    "sitemap": ("high", "low", "no robots/common sitemap validated"),
+    "list_pages": ("medium", "failed", "no likely list page found"),
+    "item_selector": ("medium", "failed", "no repeated link structure found"),
+    "pagination": ("medium", "low", "no pagination links found"),
+    "url_canonical.rules": ("medium", "low", "no confirmed dual forms"),
+    "attachments.link_patterns": ("medium", "low", "no attachment patterns found"),
+}
+SURE_TYPE = 0.8
+
+
+def site_findings(pages: DataFrame, found: dict[str, DataFrame]) -> DataFrame:
+    """(page_id, key, value, confidence, evidence): one row for each page and each key of `found`, missing ones included.
+
+    pages: page_id. found: key of FINDINGS -> (page_id, value, evidence) with at most one row a page and optionally
+    `confidence`, which then stands instead of the fixed one. Rows are tagged with their key and meet the pages once.
+    """
+    tagged = None
+    for key, rows in found.items():
+        given = F.col("confidence") if "confidence" in rows.columns else F.lit(None)
+        part = rows.select("page_id", F.lit(key).alias("key"), F.col("value").cast("string").alias("value"), given.cast("string").alias("_given"), "evidence", F.lit(True).alias("_hit"))
+        tagged = part if tagged is None else tagged.unionByName(part)
+    rules = F.array(*[F.struct(F.lit(k).alias("key"), *[F.lit(v).alias(n) for n, v in zip(("_yes", "_no", "_missing"), FINDINGS[k])]) for k in found])
+    wanted = pages.select("page_id", F.explode(rules).alias("_r")).select("page_id", "_r.*")
+    hit = F.col("_hit").isNotNull()
+    confidence = F.when(hit, F.coalesce("_given", "_yes")).otherwise(F.col("_no"))
+    evidence = F.when(hit, F.col("evidence")).otherwise(F.col("_missing"))
+    return wanted.join(tagged, ["page_id", "key"], "left").select("page_id", "key", "value", confidence.alias("confidence"), evidence.alias("evidence"))
+
+
+def type_findings(types: DataFrame) -> dict[str, DataFrame]:
+    """The findings about type and rendering that follow from `page_types`."""
+    sure = F.when(F.col("confidence") >= SURE_TYPE, "high").otherwise("medium")
+    length = F.concat(F.lit("static text length "), F.col("text_length").cast("string"))
+    needs = F.col("likely_needs_js")
+    return {
+        "page_type": types.select("page_id", F.col("page_type").alias("value"), sure.alias("confidence"), length.alias("evidence")),
+        "render_js": types.select("page_id", needs.alias("value"), F.when(needs, "medium").otherwise("high").alias("confidence"), F.lit("static HTML heuristic only").alias("evidence")),
+    }
+
+
+def needs_review(findings: DataFrame) -> DataFrame:
+    return findings.where(F.col("confidence").isin("low", "failed"))
+
+
 def last_by_url(resources: DataFrame, scope: str = "page_id", position: str = "position") -> DataFrame:
     """Feeds or sitemaps of a site that were found more than once: the last finding stands, at the first one's place."""
     rest = [c for c in resources.columns if c not in (scope, "url", position)]

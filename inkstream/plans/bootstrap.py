@@ -9,7 +9,7 @@ from ..operators import bootstrap as B
 from ..operators import density as D
 from ..operators import induction as I
 from ..operators.sinks import insert_if_absent
-from ..session import new_shared_path
+from ..session import cut_lineage, new_shared_path
 from ..sources import versions as V
 from ..sources.files import document_checksum, verify_tagsets
 from ..sources.site_files import import_sites as import_site_rows
@@ -99,6 +99,22 @@ def report(spark, d):
     return B.report_lines(B.merge_candidates(candidates(spark, d))).select("slug", "section")
 
 
+@query("bst4_report_document", MERGED + """
+, kept AS (SELECT slug, coverage FROM merged WHERE coverage >= 6 AND coverage / 100.0 <= 0.4 ORDER BY merged.coverage DESC, slug LIMIT 80)
+SELECT 0 AS part, 0::BIGINT AS position, '# Tagset bootstrap report: campus' || chr(10) || chr(10) || '- Status: **draft**' || chr(10) || '- Build mode: `llm`' || chr(10) || '- Historical articles: 100' || chr(10) || '- Curated tags: ' || (SELECT CAST(count(*) AS STRING) FROM kept) || chr(10) || chr(10) || '## Tags' || chr(10) AS text
+UNION ALL SELECT 1, row_number() OVER (ORDER BY kept.coverage DESC, slug), '### `' || slug || '`' FROM kept
+UNION ALL SELECT 2, 0, '## Merged / dropped' || chr(10)
+UNION ALL SELECT 3, CAST(substr(slug, 2) AS BIGINT), '- dropped ''' || slug || ''': ' || CASE WHEN coverage < 6 THEN 'coverage ' || CAST(coverage AS STRING) || ' < 6' WHEN coverage / 100.0 > 0.4 THEN 'coverage ' || CAST(coverage AS STRING) || '/100 too broad' ELSE 'beyond max_tags=80' END FROM merged WHERE slug NOT IN (SELECT slug FROM kept)""")
+def report_document(spark, d):
+    """Sections are compared by their first words here; `bst4_report` compares them whole."""
+    merged = cut_lineage(B.merge_candidates(candidates(spark, d)))
+    rule = {"document_count": 100, "min_docs": 6, "max_tags": 80}
+    kept = B.curate(merged, **rule)
+    notes = B.curation_notes(merged, **rule).select(F.substring("slug", 2, 20).cast("bigint").alias("position"), "note")
+    pieces = B.report_document(kept, notes, group="campus", mode="llm", document_count=100, status="draft")
+    return pieces.withColumn("text", F.when(F.col("part") == 1, F.substring_index("text", " — ", 1)).otherwise(F.col("text")))
+
+
 @query("agg19_stm13_stable_ids", cte("tags") + """
 , doc AS (SELECT group_id, CASE WHEN id % 3 = 0 THEN slug ELSE 'new-' || CAST(id AS STRING) END AS slug, id AS position FROM tags),
 j AS (SELECT d.*, t.id FROM doc d LEFT JOIN tags t ON t.group_id = d.group_id AND t.slug = d.slug)

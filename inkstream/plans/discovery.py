@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import html as H
 from ..functions.dates import to_iso
 from ..functions.urls import CanonicalConfig, canonical_url, url_hash
+from ..operators import bootstrap as B
 from ..operators.extraction import AttachmentConfig, ExtractConfig, extract_articles
 from ..sources import discovery as D
 from .bridge import EPOCH, read, read_spread
@@ -79,6 +80,35 @@ def page_urls(spark, d):
     return D.page_urls(entries).select("page_id", "page_index", "page_url")
 
 
+HISTORY_SQL = f"""
+WITH e AS (SELECT page_id, url, {ORIGIN} AS o, CASE page_id % 4 WHEN 0 THEN 'none' WHEN 1 THEN 'query_param' ELSE 'url_template' END AS mode,
+ CASE WHEN page_id % 5 = 0 THEN NULL ELSE page_id % 700 END AS asked, CASE WHEN page_id % 3 = 0 THEN NULL ELSE 3 END AS max_page FROM pages),
+j AS (SELECT *, coalesce(asked, max_page) AS n FROM e)"""
+
+
+def history(spark, d):
+    k = F.col("page_id") % 4
+    entries = read(spark, d, "pages").select(
+        "page_id", F.regexp_replace("url", "[?#].*", "").alias("entry_url"), F.when(k == 0, "none").when(k == 1, "query_param").otherwise("url_template").alias("mode"),
+        F.concat(F.regexp_extract("url", "^https?://[^/]+", 0), F.lit("/old/{page}.html")).alias("template"), F.lit("p").alias("param"), F.lit("asc").alias("page_order"),
+        F.when(F.col("page_id") % 3 != 0, 3).alias("max_page"), F.when(F.col("page_id") % 5 != 0, F.col("page_id") % 700).alias("asked"),
+    )
+    return B.history_entries(entries, F.col("asked"))
+
+
+@query("bst8_history_pages", HISTORY_SQL + """
+SELECT page_id, CAST(i AS INT) AS page_index, CASE WHEN i = 0 THEN regexp_replace(url, '[?#].*', '') WHEN mode = 'url_template' THEN o || '/old/' || CAST(i + 1 AS STRING) || '.html'
+ ELSE regexp_replace(url, '[?#].*', '') || '?p=' || CAST(i + 1 AS STRING) END AS page_url FROM (SELECT *, unnest(range(0, n)) AS i FROM j WHERE mode <> 'none' AND n BETWEEN 1 AND 500) x""")
+def history_pages(spark, d):
+    return D.page_urls(history(spark, d)[0]).select("page_id", "page_index", "page_url")
+
+
+@query("bst8_refused_history", HISTORY_SQL + """
+SELECT page_id, CASE WHEN mode = 'none' THEN 'no pagination' ELSE 'pages must be in 1..500' END AS reason FROM j WHERE mode = 'none' OR n IS NULL OR n NOT BETWEEN 1 AND 500""")
+def refused_history(spark, d):
+    return history(spark, d)[1].select("page_id", "reason")
+
+
 PAGE_DAY = f"{EPOCH} + (page_id % 30) * 86400"
 
 
@@ -220,6 +250,25 @@ def sanitize(spark, d):
     return rows.select("doc_id", F.md5(H.sanitize_html("html", "base")).alias("clean_md5"))
 
 
+@query("htm2_attachment_fallback", """
+WITH p AS (SELECT page_id, CAST(page_id AS STRING) AS p, CAST(page_id % 4 AS INT) AS n, 'Body ' || CAST(page_id AS STRING) || repeat(' word', CAST(page_id % 20 AS INT)) AS t FROM pages),
+j AS (SELECT *, [('https://f.example.com/' || p || '-' || CAST(i AS STRING) || '.pdf?a=1&b=2') FOR i IN range(0, n)] AS urls, [CASE WHEN i = 1 THEN '附件' ELSE 'File <' || CAST(i AS STRING) || '>' END FOR i IN range(0, n)] AS names FROM p)
+SELECT page_id, CASE WHEN length(t) < 60 AND n > 0 THEN t || chr(10) || '正文见附件：' || array_to_string(names, '、') ELSE t END AS content_text,
+ CASE WHEN length(t) < 60 AND n = 0 THEN 'ContentTooShort' END AS error,
+ CASE WHEN length(t) < 60 AND n > 0 THEN array_to_string([('<li><a href="' || replace(urls[i], '&', '&amp;') || '">' || replace(replace(names[i], '<', '&lt;'), '>', '&gt;') || '</a></li>') FOR i IN range(1, n + 1)], '') ELSE '' END AS listed FROM j""")
+def attachment_fallback(spark, d):
+    """Short texts name their files, whose links follow the text; long ones and pages without files stay as they are."""
+    p = F.col("page_id").cast("string")
+    link = lambda i: F.concat(F.lit('<a href="https://f.example.com/'), p, F.lit("-"), i.cast("string"), F.lit('.pdf?a=1&amp;b=2">'), F.when(i == 1, "").otherwise(F.concat(F.lit("File &lt;"), i.cast("string"), F.lit("&gt;"))), F.lit("</a>"))
+    n = (F.col("page_id") % 4).cast("int")
+    links = F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(0), n - 1), link), " ")).otherwise("")
+    html = F.concat(F.lit("<html><body><h1>Title</h1><article><p>Body "), p, F.repeat(F.lit(" word"), (F.col("page_id") % 20).cast("int")), F.lit("</p></article><div>"), links, F.lit("</div></body></html>"))
+    config = ExtractConfig(selectors={"title": "h1", "content": "article"}, min_content_length=60, attachments=AttachmentConfig(link_patterns=(r"\.pdf",)))
+    found = extract_articles(read(spark, d, "pages").select("page_id", "url", html.alias("html")), config)
+    items = F.regexp_extract_all(F.regexp_replace("content_html", ' rel="[^"]*"', ""), F.lit("<li>.*?</li>"), F.lit(0))
+    return found.select("page_id", "content_text", "error", F.array_join(items, "").alias("listed"))
+
+
 @query("htm1_main_text", """
 WITH p AS (SELECT page_id, CAST(page_id % 4 + 2 AS INT) AS n FROM pages)
 SELECT page_id, array_to_string([('Paragraph ' || CAST(i AS STRING) || ' of page ' || CAST(page_id AS STRING) || repeat(' and more words', CAST((page_id + i) % 9 + 3 AS INT)) || '.') FOR i IN range(0, n)], chr(10)) AS content_text,

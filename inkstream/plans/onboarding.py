@@ -243,6 +243,92 @@ def built_selectors(spark, d):
     return found.select("page_id", "item_selector", "link_selector", "title_selector", "published_at_selector", "matches", "confidence", F.array_join("samples", "; ").alias("samples"), "evidence")
 
 
+@query("htm9_onb1_onb3_built_configs", BUILT + """
+SELECT page_id, trim(regexp_replace(regexp_replace(lower(regexp_extract(url, '^https?://([^/:?#]+)', 1)), '^www[.]', ''), '[^a-z0-9]+', '-', 'g'), '-') AS slug, 'Site ' || CAST(page_id AS STRING) AS name, o || '/' AS base_url, false AS enabled, false AS render_js,
+ CASE page_id % 3 WHEN 0 THEN 'rss' WHEN 1 THEN 'sitemap' ELSE 'html_list' END AS discovery_mode, url || CASE page_id % 3 WHEN 0 THEN '/feed' WHEN 1 THEN '/sitemap.xml' ELSE '' END AS entry_url,
+ CASE WHEN page_id % 3 = 2 THEN 'li.row.r' || k END AS item_selector, CASE WHEN page_id % 3 = 2 THEN 'a.t.t' || k || '@href' END AS link_selector, CASE WHEN page_id % 3 = 2 THEN 'a.t.t' || k END AS title_selector,
+ CASE WHEN page_id % 3 = 2 THEN 'span.d' END AS published_at_selector, CASE WHEN page_id % 3 = 2 AND page_id % 2 = 0 THEN 'next_link' END AS pagination_mode,
+ CASE WHEN page_id % 3 = 2 AND page_id % 2 = 0 THEN 'a[rel="next"]' END AS pagination_argument, 'campus' AS tagset_group FROM (SELECT p.*, url FROM p JOIN pages USING (page_id)) q""")
+def built_configs(spark, d):
+    """Feeds before sitemaps before lists; every second page has a next link."""
+    return configs(paged_lists(spark, d))
+
+
+def paged_lists(spark, d, least=3):
+    n, k = (F.col("page_id") % 5 + least).cast("int"), (F.col("page_id") % 3).cast("string")
+    more = F.when(F.col("page_id") % 2 == 0, '<p><a rel="next" href="/more">more</a></p>').otherwise("")
+    html = F.concat(list_page(n, k, F.concat(F.lit("Site "), F.col("page_id").cast("string"))), more)
+    return read(spark, d, "pages").select("page_id", "url", html.alias("html"))
+
+
+@query("mth4_built_pages", """
+WITH p AS (SELECT page_id, page_id % 6 AS k, page_id % 5 + 3 AS n FROM pages), c AS (SELECT *, round_even(0.3::DOUBLE * n / 8 + 0.25 + 0.2 + 0.04, 3) AS c FROM p)
+SELECT page_id, CASE k WHEN 0 THEN 'likely_spa' WHEN 1 THEN 'navigation' WHEN 2 THEN 'article' WHEN 3 THEN 'article' WHEN 4 THEN 'possible_list' ELSE 'unknown' END AS page_type,
+ CASE k WHEN 0 THEN 0.8::DOUBLE WHEN 1 THEN 0.75 WHEN 2 THEN 0.7 WHEN 3 THEN 0.7 WHEN 4 THEN round_even(c * 0.8, 6) ELSE 0.35 END AS confidence, k = 0 AS likely_needs_js FROM c""")
+def built_page_types(spark, d):
+    """One kind of page for each branch of the decision."""
+    p, k = F.col("page_id").cast("string"), F.col("page_id") % 6
+    item = lambda i: F.concat(F.lit('<li><a href="/x/'), i.cast("string"), F.lit('">Entry number '), i.cast("string"), F.lit("</a></li>"))
+    entries = lambda n: F.array_join(F.transform(F.sequence(F.lit(1), n.cast("int")), item), "")
+    body = (
+        F.when(k == 0, F.lit('<div id="root"></div><script>a</script>'))
+        .when(k == 1, F.concat(F.lit("<ul>"), entries(F.lit(9)), F.lit("</ul>")))
+        .when(k == 2, F.concat(F.lit("<div>"), F.repeat(F.lit("some words "), 60), F.lit("</div>")))
+        .when(k == 3, F.lit("<p>one</p><p>two</p><p>three</p>"))
+        .when(k == 4, F.concat(F.lit("<ul>"), entries(F.col("page_id") % 5 + 3), F.lit("</ul>")))
+        .otherwise(F.lit("<div>short</div>"))
+    )
+    html = F.concat(F.lit("<html><head><title>Page "), p, F.lit("</title></head><body>"), body, F.lit("</body></html>"))
+    pages = read(spark, d, "pages").select("page_id", F.concat(F.lit("https://x.example.com/p/"), p).alias("url"), html.alias("html"))
+    tree = O.parse(pages)
+    return O.page_types(tree, O.selector_candidates(O.links(tree, with_items=True))).select("page_id", "page_type", "confidence", "likely_needs_js")
+
+
+@query("prj3_onb1_site_findings", """
+WITH p AS (SELECT page_id, CAST(page_id % 5 + 1 AS INT) AS n, page_id % 2 = 0 AS paged, url FROM pages), c AS (SELECT *, round_even(0.30::DOUBLE * n / 8 + 0.25 + 0.20 * ((n - 1)::DOUBLE / n) + 0.15 + 0.10, 3) AS c FROM p)
+SELECT page_id, 'item_selector' AS key, 'failed' AS confidence, 'no repeated link structure found' AS evidence FROM c WHERE n < 3
+UNION ALL SELECT page_id, 'list_pages', 'failed', 'no likely list page found' FROM c WHERE n < 3
+UNION ALL SELECT page_id, 'pagination', 'low', 'no pagination links found' FROM c WHERE NOT paged
+UNION ALL SELECT page_id, 'feed', 'low', 'no declared or common feed validated' FROM c WHERE page_id % 3 <> 0
+UNION ALL SELECT page_id, 'sitemap', 'low', 'no robots/common sitemap validated' FROM c WHERE page_id % 3 <> 1""")
+def findings_to_review(spark, d):
+    """What the inspection of each page found, and of that what a person has to look at."""
+    return O.needs_review(inspected(spark, d)).select("page_id", "key", "confidence", "evidence")
+
+
+@query("onb1_confident_findings", """
+WITH p AS (SELECT page_id, CAST(page_id % 5 + 1 AS INT) AS n, CAST(page_id % 3 AS STRING) AS k, page_id % 2 = 0 AS paged, url FROM pages), c AS (SELECT *, round_even(0.30::DOUBLE * n / 8 + 0.25 + 0.20 * ((n - 1)::DOUBLE / n) + 0.15 + 0.10, 3) AS c FROM p)
+SELECT page_id, 'page_type' AS key, CASE WHEN n >= 3 THEN 'html_list' ELSE 'unknown' END AS value, CASE WHEN n >= 3 AND c >= 0.8 THEN 'high' ELSE 'medium' END AS confidence FROM c
+UNION ALL SELECT page_id, 'render_js', 'false', 'high' FROM c
+UNION ALL SELECT page_id, 'item_selector', 'li.row.r' || k, 'medium' FROM c WHERE n >= 3
+UNION ALL SELECT page_id, 'list_pages', url, 'medium' FROM c WHERE n >= 3
+UNION ALL SELECT page_id, 'pagination', 'next_link', 'medium' FROM c WHERE paged
+UNION ALL SELECT page_id, 'feed', url || '/feed', 'high' FROM c WHERE page_id % 3 = 0
+UNION ALL SELECT page_id, 'sitemap', url || '/sitemap.xml', 'high' FROM c WHERE page_id % 3 = 1""")
+def confident_findings(spark, d):
+    rows = inspected(spark, d)
+    return rows.where(F.col("confidence").isin("high", "medium")).select("page_id", "key", "value", "confidence")
+
+
+def inspected(spark, d):
+    pages = paged_lists(spark, d, least=1).withColumn("html", F.regexp_replace("html", "<title>[^<]*</title>", ""))
+    tree = O.parse(pages)
+    links = cut_lineage(O.links(tree, with_items=True))
+    selectors = cut_lineage(O.selector_candidates(links))
+    types = cut_lineage(O.page_types(tree, selectors))
+    best = selectors.where("rank = 1")
+    paging = O.pagination_candidates(links).where("rank = 1")
+    k = F.col("page_id") % 3
+    return O.site_findings(pages, {
+        **O.type_findings(types),
+        "item_selector": best.select("page_id", F.col("item_selector").alias("value"), "evidence"),
+        "list_pages": types.where("page_type IN ('html_list', 'possible_list')").select("page_id", F.col("url").alias("value"), F.lit("ranked static list/navigation candidates").alias("evidence")),
+        "pagination": paging.select("page_id", F.col("mode").alias("value"), F.lit("pagination links").alias("evidence")),
+        "feed": pages.where(k == 0).select("page_id", F.concat("url", F.lit("/feed")).alias("value"), F.lit("validated RSS/Atom XML").alias("evidence")),
+        "sitemap": pages.where(k == 1).select("page_id", F.concat("url", F.lit("/sitemap.xml")).alias("value"), F.lit("validated sitemap XML").alias("evidence")),
+    })
+
+
 @query("onb1_site_walk", """
 WITH p AS (SELECT page_id, page_id % 7 AS site FROM pages),
 edges AS (SELECT page_id, page_id + 14 AS t, 1 AS r, 'list keyword in link text, URL' AS evidence FROM p UNION ALL SELECT page_id, page_id + 7, 2, 'list keyword in URL' FROM p UNION ALL SELECT page_id, page_id + 35, 3, 'list keyword in URL' FROM p),

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from ..functions.dates import to_iso
 from ..operators import filters as S
 from ..operators import reports as R
+from ..operators.sinks import append_audit
+from ..session import new_shared_path
 from .bridge import NOW, cte, read, table
 from .catalogue import query
 from .dialect import DUCK
@@ -437,6 +439,19 @@ def findings(spark, d):
     return read(spark, d, "pages").select("page_id", level.alias("confidence")).where(F.col("confidence").isin("low", "failed"))
 
 
+@query("snk10_audit_append", cte("audit_log") + """
+SELECT id, user_id, action, CASE WHEN id % 3 = 0 THEN 'Cookie: ***' WHEN id % 3 = 1 THEN 'https://h.example/p?token=***&x=' || CAST(id AS STRING) ELSE detail END AS detail FROM audit_log""")
+def audit_append(spark, d):
+    """Two appends to one audit table, whose details hold secrets; what was written is read back."""
+    path = new_shared_path(spark, "audit")
+    k, number = F.col("id") % 3, F.col("id").cast("string")
+    detail = F.when(k == 0, F.concat(F.lit("Cookie: sid="), number)).when(k == 1, F.concat(F.lit("https://h.example/p?token="), number, F.lit("&x="), number)).otherwise(F.col("detail"))
+    entries = table(spark, d, "audit_log").select("id", "user_id", "action", detail.alias("detail"), "created_at")
+    for part in (0, 1):
+        append_audit(entries.where(F.pmod("id", F.lit(2)) == part), path)
+    return spark.read.parquet(path).select("id", "user_id", "action", "detail")
+
+
 @query("top7_ordered_tags", cte("article_tags", "tags") + """
 SELECT article_id, string_agg(t.name || ':' || CAST(x.conf_pct AS STRING), '|' ORDER BY x.conf_pct DESC, t.id) AS tags FROM article_tags x JOIN tags t ON t.id = x.tag_id GROUP BY article_id""")
 def ordered_tags(spark, d):

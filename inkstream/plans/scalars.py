@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import dates as D
@@ -179,6 +183,36 @@ def sniff(spark, d):
     return read(spark, d, "part").select("p_partkey", N.sniff_mime(F.concat(F.unhex(magic), F.encode("p_name", "UTF-8"))).alias("mime"))
 
 
+@F.pandas_udf("binary")
+def container(folders: pd.Series, notes: pd.Series) -> pd.Series:
+    """A ZIP file with one entry in each of the named folders (comma-separated) and a note beside them."""
+
+    def pack(names: str, note: str) -> bytes:
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
+            archive.writestr("note.txt", note)
+            for name in names.split(","):
+                archive.writestr(f"{name}/part.xml", note)
+        return out.getvalue()
+
+    return pd.Series([pack(names, note) for names, note in zip(folders, notes)], dtype=object)
+
+
+OFFICE = "application/vnd.openxmlformats-officedocument."
+
+
+@query("str9_office_containers", f"""
+SELECT p_partkey, CASE WHEN p_partkey % 7 = 6 THEN 'application/octet-stream' ELSE CASE p_partkey % 7 WHEN 0 THEN '{OFFICE}wordprocessingml.document' WHEN 1 THEN '{OFFICE}spreadsheetml.sheet'
+ WHEN 2 THEN '{OFFICE}presentationml.presentation' WHEN 3 THEN '{OFFICE}wordprocessingml.document' ELSE 'application/zip' END END AS mime FROM part""")
+def office_containers(spark, d):
+    """Real containers: documents, sheets, slides, one with several such folders, other folders, and torn files."""
+    k = F.col("p_partkey") % 7
+    folders = F.when(k == 0, "word").when(k == 1, "xl").when(k == 2, "docProps,ppt").when(k == 3, "xl,word").otherwise("data,wordy")
+    rows = read(spark, d, "part").select("p_partkey", container(folders, F.col("p_name")).alias("content"))
+    content = F.when(F.col("p_partkey") % 7 == 6, F.substring("content", 1, 40)).otherwise(F.col("content"))
+    return rows.select("p_partkey", content.alias("content")).select("p_partkey", N.sniff_mime(F.col("content")).alias("mime"))
+
+
 DATE = "coalesce(strftime(a.published_at + INTERVAL 8 HOUR, '%Y-%m-%d %H:%M'), '未知时间')"
 GIVEN_SUMMARY = "trim(a.summary, ' ' || chr(9) || chr(10) || chr(13) || chr(160))"
 

@@ -205,3 +205,21 @@ def test_main_block_is_the_largest_sum(spark):
             got = sum(s for _, s in scores[r.b.id : r.b.last + 1])
             assert abs(got - total) < 1e-6 and scores[r.b.id][0] and scores[r.b.last][0]
     assert found > 20
+
+
+def test_pages_without_a_marked_body(spark):
+    from inkstream.functions import html as H
+    from pyspark.sql import functions as F
+
+    pages = [
+        (1, "<title>t</title><div>one</div><p>two</p>", "one two", "t one two"),
+        (2, "<html><head><title>t</title><script>s</script></head><div>one</div>two</html>", "one two", "t s one two"),
+        (3, "<title>t</title><body><div>one</div></body>", "one", "t one"),
+        (4, "<title>t</title>", "", "t"),
+        (5, "plain <b>text</b>", "plain text", "plain text"),
+        (6, "<html><head><title>t</title></head>bare</html>", "bare", "t bare"),
+    ]
+    rows = spark.createDataFrame([p[:2] for p in pages], "id int, html string").withColumn("nodes", H.dom("html"))
+    nodes = F.col("nodes")
+    got = rows.select("id", H.text_of(nodes, H.body_of(nodes)).alias("body"), H.text_of(nodes, H.page_of(nodes)).alias("page")).collect()
+    assert {(r.id, r.body, r.page) for r in got} == {(i, body, page) for i, _, body, page in pages}
