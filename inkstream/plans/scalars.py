@@ -7,6 +7,7 @@ import zipfile
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import dates as D
 from ..functions import message as G
@@ -183,7 +184,7 @@ def sniff(spark, d):
     return read(spark, d, "part").select("p_partkey", N.sniff_mime(F.concat(F.unhex(magic), F.encode("p_name", "UTF-8"))).alias("mime"))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def container(folders: pd.Series, notes: pd.Series) -> pd.Series:
     """A ZIP file with one entry in each of the named folders (comma-separated) and a note beside them."""
 
