@@ -1,6 +1,7 @@
 from datetime import datetime
 
 from pyspark.sql import functions as F
+from pyspark.util import PythonEvalType
 
 from inkstream.functions import html as H
 from inkstream.operators import onboarding as O
@@ -223,3 +224,37 @@ def test_pages_without_a_marked_body(spark):
     nodes = F.col("nodes")
     got = rows.select("id", H.text_of(nodes, H.body_of(nodes)).alias("body"), H.text_of(nodes, H.page_of(nodes)).alias("page")).collect()
     assert {(r.id, r.body, r.page) for r in got} == {(i, body, page) for i, _, body, page in pages}
+
+
+def test_a_parse_holds_few_pages_at_once(spark):
+    """Nodes take many times the room of their page, so a task must not keep those of a whole Arrow batch."""
+    live = [0]
+
+    class Held(list):
+        def __init__(self, nodes):
+            super().__init__(nodes)
+            live[0] += 1
+
+        def __del__(self):
+            live[0] -= 1
+
+    def parse(page):
+        held = Held(H.tree(page))
+        held[0]["attrs"] = {"live": str(live[0])}
+        return held
+
+    pages = spark.range(0, 1000, 1, 1).select(F.format_string("<p>%d</p>", "id").alias("html"))
+    nodes = pages.select(H.isolated(parse)("html").alias("n")).select("n.nodes")
+    most = nodes.agg(F.max(F.get("nodes", 0)["attrs"]["live"].cast("int"))).first()[0]
+    assert most <= 100
+    for column in (H.dom, H.xml_dom):
+        assert column.evalType == PythonEvalType.SQL_BATCHED_UDF
+
+
+def test_odd_texts_parse_as_before(spark):
+    texts = [None, "", "  ", "<p>a&#0;b&#xD800;\U0001f600<br/>", "<a b c=''>x", "<![x[y]]>z", "<!DOCTYPE html><p>a<p>b"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, html string").select("i", H.dom("html").alias("n"), H.xml_dom("html").alias("x"))
+    for i, found, strict in ((r["i"], r["n"], r["x"]) for r in rows.collect()):
+        expected = None if texts[i] is None else H.tree(texts[i])
+        assert (found is None) == (expected is None) and (strict is not None) == bool(H._xml_nodes(texts[i]))
+        assert [n.asDict() for n in found or []] == (expected or [])
