@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 from inkstream.operators import attachments as A
 from inkstream.operators import bootstrap as B
 from inkstream.operators import delivery as V
+from inkstream.operators import matching as M
 from inkstream.operators import sequences as Q
 from inkstream.operators.near_duplicates import ball1, ball2, band_masks, mark_crawl_duplicates, near_pairs
+from inkstream.operators.sinks import absent
 from inkstream.sources.files import promote, recover, stage
 
 
@@ -331,3 +333,44 @@ def test_segments_of_full_slots(spark):
     for at, segment in mine:
         sizes[segment] = sizes.get(segment, 0) + 1
     assert len(sizes) > 3 and max(sizes.values()) < 10
+
+
+def test_new_deliveries_of_single_texts_take_little_room(spark, tmp_path, monkeypatch):
+    """Planned rows are stored narrow; those whose text has no copy and no neighbour aren't grouped again."""
+    written = {}
+    for name in ("as_table", "cut_lineage"):
+        kept = getattr(V, name, None)
+        if kept is not None:
+            monkeypatch.setattr(V, name, lambda df, *rest, kept=kept, name=name: written.setdefault(name, []).append(df.columns) or kept(df, *rest))
+    rng = random.Random(3)
+    fps = {a: signed(rng.getrandbits(64)) for a in range(40)}
+    fps.update({40: fps[0], 41: None})
+    frame = spark.createDataFrame([(s, 1, a) for s in range(20) for a in fps], "subscription_id bigint, target_id bigint, article_id bigint")
+    prints = spark.createDataFrame(list(fps.items()), "article_id bigint, fp bigint")
+    stored = spark.createDataFrame([(3, 1, 40, "sent", 100), (4, 1, 7, "failed", 100)], "subscription_id bigint, target_id bigint, article_id bigint, status string, at bigint")
+    stored = stored.withColumn("based_at", F.timestamp_seconds("at")).drop("at")
+    done = V.suppress_duplicates(frame, prints, stored, at=F.timestamp_seconds(F.lit(200))).collect()
+    got = {(r.subscription_id, r.article_id): r.duplicate_of for r in done}
+    expected = {(s, a): None for s in range(20) for a in fps if (s, a) not in ((3, 40), (4, 7))}
+    expected.update({(s, 40): 0 for s in range(20) if s != 3} | {(3, 0): 40})
+    assert got == expected and len(done) == len(got)
+    assert written["as_table"] and not any("target_id" in c and "article_id" in c for c in written["cut_lineage"])
+
+
+def test_absent_rows(spark):
+    rows = spark.createDataFrame([(1, 1), (1, 2), (2, 1), (3, 3), (3, 3)], "a int, b int")
+    stored = spark.createDataFrame([(1, 1), (1, 1), (2, 2), (9, 9)], "a int, b int")
+    found = absent(rows, stored, ["a", "b"], by="b")
+    assert found.columns == ["a", "b"] and sorted(map(tuple, found.collect())) == [(1, 2), (2, 1), (3, 3), (3, 3)]
+
+
+def test_fan_out_makes_tasks_for_its_rows(spark, monkeypatch):
+    """Many rows may come out of few; the tasks follow from the rows that come out, and no key makes too many of them."""
+    matches = spark.createDataFrame([(a, p, 60 if p == "x" else 3) for p, n in (("x", 50), ("y", 2)) for a in range(n)], "article_id bigint, profile string, n bigint")
+    plan = spark.createDataFrame([(s, p, 60 if p == "x" else 3) for p, n in (("x", 60), ("y", 3)) for s in range(n)], "subscription_id bigint, profile string, n bigint")
+    for name, value in (("CHUNK_ROWS", 7), ("BLOCK_MATCHES", 10), ("ROWS_PER_TASK", 100)):
+        monkeypatch.setattr(M, name, value, raising=False)
+    made = M.expand_profiles(matches, plan, "n")
+    assert sorted(made.select("profile", "article_id", "subscription_id").collect()) == sorted((p, a, s) for p, n, m in (("x", 50, 60), ("y", 2, 3)) for a in range(n) for s in range(m))
+    sizes = made.groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) > 8 and max(r["count"] for r in sizes) < 1000
