@@ -258,3 +258,20 @@ def test_odd_texts_parse_as_before(spark):
         expected = None if texts[i] is None else H.tree(texts[i])
         assert (found is None) == (expected is None) and (strict is not None) == bool(H._xml_nodes(texts[i]))
         assert [n.asDict() for n in found or []] == (expected or [])
+
+
+def test_page_texts_and_links_pass_row_by_row(spark):
+    """Arrow batches count rows, not room: what holds whole texts or all links of a page comes in small batches."""
+    from pyspark.util import PythonEvalType
+
+    from inkstream.functions import text as X
+    from inkstream.functions import urls as U
+
+    for call in (H.sanitize_html, U.absolute_urls, X.simhash64("md5")):
+        assert call.evalType == PythonEvalType.SQL_BATCHED_UDF
+    rows = [(0, None, None, None), (1, "<p>a b c<script>x", "https://x.example/a/", ["b", None, "//[", "?q"]), (2, "<i>", None, [])]
+    frame = spark.createDataFrame(rows, "i int, html string, base string, links array<string>")
+    got = frame.select("i", H.sanitize_html("html", "base").alias("h"), U.absolute_urls("base", "links").alias("u"), X.simhash64("md5")("html").alias("f")).orderBy("i").collect()
+    assert [r.h for r in got] == [None, "<p>a b c</p>", ""]
+    assert [r.u for r in got] == [None, ["https://x.example/a/b", None, None, "https://x.example/a/?q"], []]
+    assert got[0].f == 0 and got[1].f == X._fingerprint(rows[1][1], X._md5_low) and got[1].f != 0
