@@ -1,5 +1,6 @@
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 from pyspark.util import PythonEvalType
 
@@ -7,6 +8,7 @@ from inkstream.functions import html as H
 from inkstream.operators import onboarding as O
 from inkstream.operators.extraction import AttachmentConfig, ExtractConfig, extract_articles
 from inkstream.operators.run_once import crawl
+from inkstream.session import cut_lineage
 from inkstream.sources import discovery as D
 
 LIST = """<ul class="list"><li id="line_0"><a class="title tt1" href="/info/1/1.htm" title="First notice title">First...</a><p class="date">2026-07-21</p></li>
@@ -275,3 +277,24 @@ def test_page_texts_and_links_pass_row_by_row(spark):
     assert [r.h for r in got] == [None, "<p>a b c</p>", ""]
     assert [r.u for r in got] == [None, ["https://x.example/a/b", None, None, "https://x.example/a/?q"], []]
     assert got[0].f == 0 and got[1].f == X._fingerprint(rows[1][1], X._md5_low) and got[1].f != 0
+
+
+@pytest.mark.parametrize("name", ["htm9_onb1_onb3_built_configs"])
+def test_configurations_take_pages_row_by_row(spark, tmp_path, monkeypatch, name):
+    """Every Python step of the whole query, those before its stored tables too, passes small batches of pages."""
+    from inkstream.plans import load_all, onboarding
+
+    query = load_all()[name]
+    pages(spark, *[(i, f"https://x.example/{i}/", LIST) for i in range(3)]).write.parquet(f"{tmp_path}/pages.parquet")
+    steps = []
+
+    def stored(frame):
+        steps.append(frame)
+        return cut_lineage(frame)
+
+    monkeypatch.setattr(onboarding, "cut_lineage", stored)
+    steps.append(query.run(spark, str(tmp_path)))
+    plans = [frame._jdf.queryExecution().optimizedPlan().toString() for frame in steps]
+    assert sum(plan.count("BatchEvalPython") for plan in plans) >= 3
+    assert not any("ArrowEvalPython" in plan for plan in plans)
+    assert [row.page_id for row in steps[-1].orderBy("page_id").collect()] == [0, 1, 2]
