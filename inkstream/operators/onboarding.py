@@ -405,7 +405,8 @@ def page_types(parsed: DataFrame, selectors: DataFrame) -> DataFrame:
     """Type of every page: html_list, likely_spa, navigation, article, possible_list or unknown."""
     nodes = F.col("nodes")
     title = F.coalesce(H.value_of(nodes, None, "title"), U.host_of(F.col("url")))
-    text = H.text_of(nodes, H.body_of(nodes))
+    # Bound once, so that no node of the page looks for the body again.
+    text = let(H.body_of(nodes), lambda body: H.text_of(nodes, body))
     facts = parsed.select(
         "page_id", "url", title.alias("title"), text.alias("_text"),
         F.size(H.select(nodes, "script")).alias("_scripts"), F.size(H.select(nodes, "[id=root], [id=app], [data-reactroot]")).alias("_roots"),

@@ -298,3 +298,13 @@ def test_configurations_take_pages_row_by_row(spark, tmp_path, monkeypatch, name
     assert sum(plan.count("BatchEvalPython") for plan in plans) >= 3
     assert not any("ArrowEvalPython" in plan for plan in plans)
     assert [row.page_id for row in steps[-1].orderBy("page_id").collect()] == [0, 1, 2]
+
+
+def test_page_types_look_for_the_body_once(spark):
+    """The body of a page is bound before its nodes are held against it, so the work is in proportion to the nodes."""
+    tree = O.parse(pages(spark, (1, "https://x.example/a", LIST), (2, "https://x.example/b", f"<html><title>t</title><body>{LIST}</body></html>"), (3, "https://x.example/c", None)))
+    found = O.page_types(tree, O.selector_candidates(O.links(tree, with_items=True)))
+    # The implied body reads its first node's number and place; a search inside the lambda over all nodes would double that.
+    assert found._jdf.queryExecution().analyzed().toString().count("noscript") == 2
+    text = " ".join(["First...", "2026-07-21", "Second...", "2026-07-20", "Away"])
+    assert {row.page_id: row.text_length for row in found.collect()} == {1: len(text), 2: len(text), 3: None}
