@@ -279,7 +279,7 @@ def test_page_texts_and_links_pass_row_by_row(spark):
     assert got[0].f == 0 and got[1].f == X._fingerprint(rows[1][1], X._md5_low) and got[1].f != 0
 
 
-@pytest.mark.parametrize("name", ["htm9_onb1_onb3_built_configs"])
+@pytest.mark.parametrize("name", ["htm9_onb1_onb3_config_candidates", "htm9_onb1_onb3_built_configs"])
 def test_configurations_take_pages_row_by_row(spark, tmp_path, monkeypatch, name):
     """Every Python step of the whole query, those before its stored tables too, passes small batches of pages."""
     from inkstream.plans import load_all, onboarding
