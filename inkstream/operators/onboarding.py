@@ -5,9 +5,6 @@ Links and their surroundings are exploded once; everything after that is groupin
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,6 +12,7 @@ from pyspark.sql.window import Window
 
 from ..functions import html as H
 from ..functions import urls as U
+from ..functions.alignment import similarity
 from ..functions.dates import PAGE_DATE, let, page_date_days
 from ..session import cut_lineage
 
@@ -360,30 +358,18 @@ def dual_form_pairs(urls: DataFrame) -> DataFrame:
 MIN_SIMILARITY = 0.85
 
 
-def _similarity(left: str, right: str) -> float:
-    if left == right:
-        return 1.0
-    matcher = SequenceMatcher(None, left, right, autojunk=False)
-    # Both bounds lie above the ratio, so a pair they rule out needs no alignment.
-    for bound in (matcher.real_quick_ratio, matcher.quick_ratio):
-        if bound() < MIN_SIMILARITY:
-            return 0.0
-    return matcher.ratio()
-
-
-@F.pandas_udf(T.DoubleType())
-def text_similarity(left: pd.Series, right: pd.Series) -> pd.Series:
-    """Ratio of matching text; 0 for pairs that stay below the minimum."""
-    return pd.Series([_similarity(a or "", b or "") for a, b in zip(left, right)])
+@F.udf(T.DoubleType(), useArrow=False)
+def text_similarity(left: str, right: str) -> float:
+    """Ratio of matching text; 0 for pairs that stay below the minimum. Pairs of whole texts pass row by row."""
+    return similarity(left or "", right or "", MIN_SIMILARITY)
 
 
 def article_text(parsed: DataFrame) -> DataFrame:
-    """(page_id, url, title, text) used to compare two forms of one article."""
+    """(page_id, url, title, text) used to compare two forms of one article, the text whole."""
     nodes = F.col("nodes")
     title = F.coalesce(H.value_of(nodes, None, "h1"), H.value_of(nodes, None, "title"), F.lit(""))
     root = F.coalesce(H.first(nodes, "article, main"), H.body_of(nodes))
-    # The rule compares the first 20,000 characters.
-    return parsed.select("page_id", "url", title.alias("title"), F.substring(H.text_of(nodes, root), 1, 20_000).alias("text"))
+    return parsed.select("page_id", "url", title.alias("title"), H.text_of(nodes, root).alias("text"))
 
 
 def confirm_dual_forms(pairs: DataFrame, texts: DataFrame) -> DataFrame:

@@ -1,9 +1,12 @@
+import random
 from datetime import datetime
+from difflib import SequenceMatcher
 
 import pytest
 from pyspark.sql import functions as F
 from pyspark.util import PythonEvalType
 
+from inkstream.functions import alignment
 from inkstream.functions import html as H
 from inkstream.operators import onboarding as O
 from inkstream.operators.extraction import AttachmentConfig, ExtractConfig, extract_articles
@@ -136,6 +139,35 @@ def test_dual_forms(spark):
     assert [(r.left_id, r.right_id) for r in confirmed] == [(1, 2)] and 0.95 < confirmed[0].confidence <= 0.99
 
 
+def test_dual_forms_compare_whole_texts(spark):
+    def page(i, tail):
+        return (i, f"https://h/{i}", f"<h1>T</h1><article><p>{'same words in both forms ' * 1000}</p><p>{tail}</p></article>")
+
+    one = page(1, " ".join(f"left{n}" for n in range(2000)))
+    texts = O.article_text(O.parse(pages(spark, one, page(2, " ".join(f"right{n}" for n in range(2000, 4000))), page(3, " ".join(f"left{n}" for n in range(1990)))))).cache()
+    assert texts.agg(F.min(F.char_length("text"))).first()[0] > 35_000
+    pairs = spark.createDataFrame([(1, 2), (1, 3)], "left_id bigint, right_id bigint")
+    # Equal for 20,000 characters, then different in 1 and 2.
+    assert [(r.left_id, r.right_id) for r in O.confirm_dual_forms(pairs, texts).collect()] == [(1, 3)]
+
+
+@pytest.mark.parametrize("meetings", [0, alignment.PLAIN_MEETINGS])
+def test_alignment_equals_difflib(meetings, monkeypatch):
+    monkeypatch.setattr(alignment, "PLAIN_MEETINGS", meetings)
+    draw = random.Random(5)
+    for n in range(300):
+        letters = draw.choice(["ab", "abcdefgh ", "a\xf1\U0001f600z"])
+        left = "".join(draw.choice(letters) for _ in range(draw.randint(0, 90)))
+        right = list(left)
+        for _ in range(draw.randint(0, 12)):
+            at = draw.randint(0, len(right))
+            right = draw.choice([right[:at] + [draw.choice(letters)] + right[at:], right[:at] + right[at + 1 :], right[at:] + right[:at]])
+        right = "".join(right)
+        ratio = SequenceMatcher(None, left, right, autojunk=False).ratio()
+        assert alignment.similarity(left, right) == ratio
+        assert alignment.similarity(left, right, 0.85) == (ratio if ratio >= 0.85 else 0.0)
+
+
 def test_crawl_skips_known_and_similar_pages(spark):
     body = "<h1>T</h1><article>" + "one two three four five six seven " * 6 + "</article>"
     found = pages(spark, (1, "https://h/1", body), (2, "https://h/2/", body), (3, "https://h/2#x", body), (4, "https://h/4", "<h1>U</h1><article>entirely different words here now</article>"))
