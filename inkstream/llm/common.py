@@ -180,10 +180,13 @@ HUB_PARTS = 8
 
 
 def _with_least(edges: DataFrame, least: DataFrame) -> DataFrame:
-    """edges (a, b) with m of least (a, m); the edges of one a are spread over HUB_PARTS keys."""
+    """edges (a, b) with m of least (a, m); the edges of one a are spread over HUB_PARTS keys.
+
+    Spark sizes the repeated side as if it were not repeated, and might broadcast it; so the join is named.
+    """
     left = edges.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(HUB_PARTS)))
     right = least.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(HUB_PARTS - 1).cast("long"))))
-    return left.join(right, ["a", "part"]).drop("part")
+    return left.join(right.hint("merge"), ["a", "part"]).drop("part")
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:

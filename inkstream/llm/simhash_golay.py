@@ -138,6 +138,8 @@ def keys_of(fps: np.ndarray, probe: bool, tables: tuple[np.ndarray, np.ndarray])
 
 
 def _keyed(fps: DataFrame, probe: bool, column: str) -> DataFrame:
+    """(key, column). A join of these needs a hint: Spark sizes them like fps, of which they hold dozens of times the rows."""
+
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
         tables = error_tables()
 
@@ -173,7 +175,7 @@ def _through_middles(members: DataFrame, max_bits: int) -> DataFrame:
 
     reach = {0: (1, 1), 1: (1, 65), 2: (65, 65), 3: (65, 2081)}[max_bits]
     centres = around(reach[0], "b").groupBy("z").agg(F.min("b").alias("b"))
-    return around(reach[1], "a").join(centres, "z").filter("a <> b").select("a", "b")
+    return around(reach[1], "a").join(centres.hint("merge"), "z").filter("a <> b").select("a", "b")
 
 
 def links(fps: DataFrame, max_bits: int = MAX_BITS, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
@@ -188,10 +190,10 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, bucket_limit: int = BUCKET_L
     sizes = sizes.groupBy("key").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
     crowded = written(sizes.filter(F.col("x") * F.col("y") > bucket_limit * bucket_limit).select("key"), "crowded")
     if crowded.isEmpty():
-        return probe.join(nearest, (probe["key"] == nearest["key"]) & (F.col("a") < F.col("b")) & near).select("a", "b")
+        return probe.join(nearest.hint("merge"), (probe["key"] == nearest["key"]) & (F.col("a") < F.col("b")) & near).select("a", "b")
     members = probe.join(crowded, "key", "left_semi").select(F.col("a").alias("fp")).unionAll(nearest.join(crowded, "key", "left_semi").select(F.col("b").alias("fp")))
     probe, nearest = probe.join(crowded, "key", "left_anti"), nearest.join(crowded, "key", "left_anti")
-    plain = probe.join(nearest, (probe["key"] == nearest["key"]) & (F.col("a") < F.col("b")) & near).select("a", "b")
+    plain = probe.join(nearest.hint("merge"), (probe["key"] == nearest["key"]) & (F.col("a") < F.col("b")) & near).select("a", "b")
     return plain.unionAll(_through_middles(members.distinct(), max_bits))
 
 

@@ -5,8 +5,9 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
-from inkstream.llm import simhash_golay
+from inkstream.llm import common, simhash_golay
 from inkstream.llm.common import components
 
 
@@ -143,3 +144,13 @@ def test_further_rounds_only_join_more(plain):
     assert got == {i: want.get(i, i) for i in ids}
     assert sum(i != c for i, c in got.items()) > sum(i != c for i, c in one.items())
     assert all(got[i] == got[c] for i, c in one.items()) and got[201] == 200
+
+
+def test_keys_are_never_broadcast(spark, monkeypatch):
+    """Keys and repeated minima are dozens of times the table that Spark takes their size from."""
+    fps = spark.range(2000).select(F.xxhash64("id").alias("fp"))
+    edges = spark.range(2000).select(F.col("id").alias("a"), (F.col("id") / 2).cast("long").alias("b"))
+    plans = [simhash_golay.links(fps), simhash_golay._through_middles(fps.limit(20), 3), common._with_least(edges, edges.select("a", F.col("b").alias("m")))]
+    for plan in plans:
+        text = plan._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in text and "BroadcastHashJoin" not in text, text
