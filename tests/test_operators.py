@@ -374,3 +374,16 @@ def test_fan_out_makes_tasks_for_its_rows(spark, monkeypatch):
     assert sorted(made.select("profile", "article_id", "subscription_id").collect()) == sorted((p, a, s) for p, n, m in (("x", 50, 60), ("y", 2, 3)) for a in range(n) for s in range(m))
     sizes = made.groupBy(F.spark_partition_id()).count().collect()
     assert len(sizes) > 8 and max(r["count"] for r in sizes) < 1000
+
+
+def test_planned_rows_know_stored_articles_before_the_fan_out(spark):
+    articles = spark.createDataFrame([(1, 7), (2, 7), (3, 7)], "id bigint, site_id bigint")
+    tags = spark.createDataFrame([(i, 5, 90) for i in (1, 2, 3)], "article_id bigint, tag_id bigint, confidence int")
+    subs = spark.createDataFrame([(s, s, True, "any", 60, None, None) for s in range(4)], "id bigint, user_id bigint, enabled boolean, match_mode string, min_confidence int, site_filter string, quiet_hours string")
+    picks = spark.createDataFrame([(s, 5) for s in range(4)], "subscription_id bigint, tag_id bigint")
+    targets = spark.createDataFrame([(10 + s, s, True) for s in range(4)], "id bigint, user_id bigint, enabled boolean")
+    links = spark.createDataFrame([], "subscription_id bigint, target_id bigint")
+    plan = lambda **k: M.plan_deliveries(articles, tags, subs, picks, targets, links, at=F.timestamp_seconds(F.lit(0)), **k)
+    rows = plan(marked=spark.createDataFrame([(2,), (9,), (None,)], "article_id bigint"))
+    assert sorted((r.subscription_id, r.article_id, r.target_id, r.marked) for r in rows.collect()) == [(s, a, 10 + s, a == 2) for s in range(4) for a in (1, 2, 3)]
+    assert rows.drop("marked").exceptAll(plan()).isEmpty() and plan().count() == 12
