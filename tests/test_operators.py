@@ -387,3 +387,8 @@ def test_planned_rows_know_stored_articles_before_the_fan_out(spark):
     rows = plan(marked=spark.createDataFrame([(2,), (9,), (None,)], "article_id bigint"))
     assert sorted((r.subscription_id, r.article_id, r.target_id, r.marked) for r in rows.collect()) == [(s, a, 10 + s, a == 2) for s in range(4) for a in (1, 2, 3)]
     assert rows.drop("marked").exceptAll(plan()).isEmpty() and plan().count() == 12
+    # Times are put into words per subscription, below the join that makes the rows.
+    shown = plan(shown=lambda t: F.date_format(t, "yyyy"))
+    assert shown.count() == 12 and {r.next_attempt_at for r in shown.collect()} == {"1970"}
+    text = shown._jdf.queryExecution().optimizedPlan().toString()
+    assert text.rindex("date_format") > text.index("Join")
