@@ -169,23 +169,25 @@ def first_of(ids: np.ndarray, scores: np.ndarray, count: int) -> np.ndarray:
     return at[np.lexsort((ids[at], -scores[at]))][:count]
 
 
-def block_hits(block: Block, anchors: list[dict], order: np.ndarray, count: int, same: bool) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(anchor id, window, ids, scores): the first `count` rows of the block in each window of each anchor."""
-    for begin in range(0, len(anchors), _ANCHORS_AT_ONCE):
-        some = anchors[begin : begin + _ANCHORS_AT_ONCE]
-        matrix = np.zeros((len(some), len(order)), np.int64)
-        for i, anchor in enumerate(some):
-            matrix[i, : len(anchor["v"])] = anchor["v"]
-        ids, labels = (np.array([a[c] for a in some], np.int64) for c in ("id", "label"))
-        allowed = ((labels[:, None] == block.labels) == same) & (ids[:, None] != block.ids)
-        least = np.array([min(w["low"] for w in a["windows"]) for a in some], np.float64)
-        for i, rows, scores in block.scores(matrix[:, order], least, allowed):
+def block_hits(block: Block, anchors: pa.StructArray, order: np.ndarray, count: int, same: bool) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(anchor id, window, ids, scores): the first `count` rows of the block in each window of each anchor (id, label, v, windows)."""
+    ids, labels, v, windows = anchors.flatten()
+    ids, labels, matrix = np.asarray(ids), np.asarray(labels), _matrix(v, len(order), order)
+    ends = np.asarray(windows.offsets)
+    number, low, high = (np.asarray(c) for c in windows.values.flatten())
+    least = np.minimum.reduceat(low[: ends[-1]], ends[:-1]).astype(np.float64)
+    for begin in range(0, len(ids), _ANCHORS_AT_ONCE):
+        some = slice(begin, begin + _ANCHORS_AT_ONCE)
+        allowed = ((labels[some, None] == block.labels) == same) & (ids[some, None] != block.ids)
+        for i, rows, scores in block.scores(matrix[some], least[some], allowed):
+            if not len(rows):
+                continue
             scores = scores.astype(np.int64)
-            for window in some[i]["windows"]:
-                inside = np.flatnonzero((scores >= window["low"]) & (scores <= window["high"]))
+            for w in range(ends[begin + i], ends[begin + i + 1]):
+                inside = np.flatnonzero((scores >= low[w]) & (scores <= high[w]))
                 if len(inside):
                     best = inside[first_of(block.ids[rows[inside]], scores[inside], count)]
-                    yield some[i]["id"], window["window"], block.ids[rows[best]], scores[best]
+                    yield int(ids[begin + i]), int(number[w]), block.ids[rows[best]], scores[best]
 
 
 def search(index: DataFrame, blocks: int, anchors: DataFrame, order: np.ndarray, count: int, same: bool) -> DataFrame:
@@ -204,7 +206,7 @@ def search(index: DataFrame, blocks: int, anchors: DataFrame, order: np.ndarray,
                 if number != batch["block"][row].as_py():
                     number = batch["block"][row].as_py()
                     block = Block(*(batch[c][row].as_py() for c in ("ids", "labels", "vectors", "width")))
-                found = list(block_hits(block, batch["anchors"][row].as_py(), order, count, same))
+                found = list(block_hits(block, batch["anchors"][row].values, order, count, same))
                 sizes = [len(f[2]) for f in found]
                 columns = [np.repeat(np.array([f[0] for f in found], np.int64), sizes), np.repeat(np.array([f[1] for f in found], np.int32), sizes)]
                 columns += [np.concatenate([f[i] for f in found] or [np.zeros(0, np.int64)]) for i in (2, 3)]
@@ -293,7 +295,8 @@ def mine(rows: DataFrame, is_anchor: Column, *, positives: int = POSITIVES, nega
     # One row per dimension.
     energy = rows.select(F.posexplode("v").alias("d", "x")).groupBy("d").agg(F.sum(F.col("x").cast("double") * F.col("x")).alias("e")).collect()
     order = np.array([r["d"] for r in sorted(energy, key=lambda r: (-r["e"], r["d"]))])
-    blocks = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / block_rows))
+    # Every anchor goes to every block, so there are as many as the cores and the memory ask for, and no more.
+    blocks = max(4 * spark.sparkContext.defaultParallelism, math.ceil(total / block_rows))
     index = written(inverted_blocks(rows, blocks, dims, order), "negatives-index")
 
     # About SAMPLE_ROWS rows, whatever the table's size.

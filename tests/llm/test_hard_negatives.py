@@ -97,3 +97,19 @@ def test_windows_that_need_several_rounds(spark, monkeypatch):
     monkeypatch.setattr(hard_negatives, "GROWTH", 2)
     rows = vectors(400, 16, 3)
     assert mined(spark, rows, 25, block_rows=60) == plain_mine(rows, lambda i: i % 25 == 0)
+
+
+def test_blocks_do_not_follow_the_shuffle_partitions(spark, monkeypatch):
+    """Anchors go to every block: many partitions must not cut small tables into more blocks."""
+    draw = np.random.default_rng(4)
+    rows = spark.createDataFrame([(i, i % 3, [int(x) for x in draw.integers(-200, 200, 6)]) for i in range(300)], "id bigint, label bigint, v array<bigint>")
+    made, whole = [], hard_negatives.inverted_blocks
+    monkeypatch.setattr(hard_negatives, "inverted_blocks", lambda rows, blocks, *a: made.append(blocks) or whole(rows, blocks, *a))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    want = {tuple(r) for r in hard_negatives.mine(rows, F.col("id") % 10 == 0).collect()}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "64")
+        got = {tuple(r) for r in hard_negatives.mine(rows, F.col("id") % 10 == 0).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got == want and want and made[0] == made[1] == 4 * spark.sparkContext.defaultParallelism
